@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from oracle import placements
+from oracle import impressions, placements
 
 
 def all_sql() -> dict[str, str]:
     q = {}
     q.update(placements.queries())
+    q.update(impressions.queries())
     return q

@@ -40,7 +40,68 @@ def placement_queries() -> dict[str, Query]:
     }
 
 
+# ----------------------------------------------------------------- impressions
+from viewlens.config import fixture_config  # noqa: E402
+from viewlens.plans import detail as D  # noqa: E402
+from viewlens.plans import events as EV  # noqa: E402
+from viewlens.plans import impressions as IM  # noqa: E402
+from viewlens.plans import reports as RP  # noqa: E402
+
+
+class ImpressionRun:
+    """The impression audit over one scale-factor folder, built lazily."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, cfg=None):
+        self.cfg = cfg or fixture_config()
+        self.logs = FixtureLogs(spark, sf_dir)
+
+    def bids(self):
+        return IM.bid_domains(self.logs.bids, self.cfg)
+
+    def notify(self):
+        return IM.view_notify(self.logs.notify, self.cfg)
+
+    def tx(self):
+        return IM.transactions(self.logs.ads, self.bids(), self.notify(), self.cfg)
+
+    def first(self):
+        return EV.first_feature_event(self.logs.events, self.cfg)
+
+    def feats(self):
+        return EV.features(self.first())
+
+    def rollup(self):
+        return EV.event_rollup(self.logs.events, self.cfg)
+
+    def detail(self):
+        return D.impression_detail(self.tx(), self.rollup(), self.feats(), self.cfg)
+
+    def clean(self):
+        return D.clean_impressions(self.detail())
+
+
+def impression_queries() -> dict[str, Query]:
+    R = ImpressionRun
+    return {
+        "bid_domains": lambda s, d: R(s, d).bids(),
+        "view_notify": lambda s, d: R(s, d).notify(),
+        "transactions": lambda s, d: R(s, d).tx(),
+        "transactions_multiplicity": lambda s, d: IM.transactions_multiplicity(R(s, d).tx()),
+        "multi_row_transactions": lambda s, d: IM.multi_row_transactions(R(s, d).tx()),
+        "multi_row_count": lambda s, d: IM.multi_row_count(R(s, d).tx()),
+        "first_feature_event": lambda s, d: R(s, d).first(),
+        "features": lambda s, d: R(s, d).feats(),
+        "event_rollup_checked": lambda s, d: (lambda r: EV.event_rollup_checked(r.rollup(), r.feats(), r.cfg))(R(s, d)),
+        "impression_detail": lambda s, d: R(s, d).detail(),
+        "issue_crosstab": lambda s, d: D.issue_crosstab(R(s, d).detail()),
+        "issue_rows": lambda s, d: D.issue_rows(R(s, d).detail()),
+        "clean_impressions": lambda s, d: R(s, d).clean(),
+        "browser_summary": lambda s, d: RP.browser_summary(R(s, d).clean()),
+    }
+
+
 def all_queries() -> dict[str, Query]:
     q = {}
     q.update(placement_queries())
+    q.update(impression_queries())
     return q

@@ -35,9 +35,14 @@ def company(key: Column) -> Column:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    """The pages (id, url) and their count as a literal.
+
+    The count is one scalar from the Parquet footers (no data scan); as a
+    literal it folds into the join key.  A scalar subquery inside a join key
+    is not reliably planned by Spark 4.1 under AQE.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    n_pages = pages.select(F.count(F.lit(1))).scalar()
-    return pages, n_pages
+    return pages, F.lit(pages.count())
 
 
 def placement_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
