@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from oracle import impressions, placements
+from oracle import impressions, operators, placements
 
 
 def all_sql() -> dict[str, str]:
     q = {}
     q.update(placements.queries())
     q.update(impressions.queries())
+    q.update(operators.queries())
     return q

@@ -26,13 +26,34 @@ def first_per_key(df: DataFrame, key: str | list[str], order: str | list[str],
 def share_of_total(df: DataFrame, count_col: str, name: str, scale: float = 1.0) -> DataFrame:
     """``count / sum(count)`` over the whole frame, times ``scale``.
 
-    Meant for an already grouped frame (few rows): the total is one global
-    aggregate, joined back as a scalar, not a single-partition window.
+    Only for an already grouped frame whose row count is bounded by the
+    number of groups (a histogram, a flag cross-tab): the total is a window
+    over the whole frame, i.e. one partition of those few rows.
     """
-    total = df.select(F.sum(count_col)).scalar()
+    total = F.sum(count_col).over(Window.partitionBy())
     return df.withColumn(name, F.col(count_col).cast("double") / total.cast("double") * F.lit(scale))
 
 
+def with_position(sorted_df: DataFrame, name: str = "pos") -> DataFrame:
+    """1-based position of each row of a sorted frame, computed distributed.
+
+    The sorted frame is checkpointed to the shared work folder (its range
+    partitions then stay fixed), each row gets its index inside its partition,
+    and the partition offsets -- one row per partition, a bounded broadcast --
+    are a running sum.  No row ever moves to a single task.
+    """
+    from viewlens.session import work_dir
+    work_dir(sorted_df.sparkSession)
+    df = sorted_df.checkpoint(eager=True)
+    df = df.withColumn("_pid", F.spark_partition_id())
+    df = df.withColumn("_idx", F.monotonically_increasing_id() - F.col("_pid").cast("long") * F.lit(1 << 33))
+    counts = df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = df.join(F.broadcast(offs.select("_pid", "_off")), "_pid")
+    return out.withColumn(name, F.col("_off") + F.col("_idx") + 1).drop("_pid", "_idx", "_off")
+
+
 def with_group_stats(df: DataFrame, keys: list[str], c: str,
                      stats: dict[str, str] | None = None) -> DataFrame:
     """Add per-group statistics of ``c`` to every row of the group.

@@ -7,7 +7,7 @@ the two left joins add no shuffle of their own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viewlens.config import RunConfig
@@ -15,6 +15,7 @@ from viewlens.functions.features import FEATURE_COLUMNS
 from viewlens.functions.scalars import duration_us, flag
 from viewlens.operators.filters import differs, issue_predicate
 from viewlens.operators.joins import attach_features, without
+from viewlens.operators.windows import share_of_total
 from viewlens.plans.events import detail_rollup_columns
 
 T = "transaction_nbr"
@@ -68,8 +69,7 @@ def issue_crosstab(detail: DataFrame) -> DataFrame:
     whole result is small."""
     g = detail.groupBy(*[flag(p()).alias(n) for n, p in ISSUE_FLAGS.items()]) \
               .agg(F.count(F.lit(1)).alias("n"))
-    pct = F.col("n").cast("double") / F.sum("n").over(Window.partitionBy()).cast("double") * 100
-    return g.withColumn("pct", pct).orderBy("pct", *ISSUE_FLAGS)
+    return share_of_total(g, "n", "pct", scale=100).orderBy("pct", *ISSUE_FLAGS)
 
 
 def issue_tests() -> list:

@@ -8,7 +8,7 @@ join, so a transaction with many bids never fans out raw rows: the original
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viewlens.config import RunConfig
@@ -16,6 +16,7 @@ from viewlens.functions.scalars import domain_name
 from viewlens.operators.aggregates import global_count, multiplicity
 from viewlens.operators.filters import for_tenant, in_window, is_in, multi_row, not_in
 from viewlens.operators.joins import attach_notify
+from viewlens.operators.windows import share_of_total
 
 T = "transaction_nbr"
 
@@ -97,10 +98,8 @@ def transactions_multiplicity(tx: DataFrame) -> DataFrame:
     """How many transaction groups had each row count, with the share of all
     groups and its complement, by row count.  The share is a window over the
     whole histogram, which has one row per distinct ``nrows`` (a handful)."""
-    h = multiplicity(tx, "nrows", "trans")
-    share = F.col("trans").cast("double") / F.sum("trans").over(Window.partitionBy()).cast("double")
-    return h.select("nrows", "trans", share.alias("prop_trans"), (1 - share).alias("prop_rest")) \
-            .orderBy("nrows")
+    h = share_of_total(multiplicity(tx, "nrows", "trans"), "trans", "prop_trans")
+    return h.withColumn("prop_rest", 1 - F.col("prop_trans")).orderBy("nrows")
 
 
 def multi_row_transactions(tx: DataFrame) -> DataFrame:

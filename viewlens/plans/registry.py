@@ -100,8 +100,80 @@ def impression_queries() -> dict[str, Query]:
     }
 
 
+# --------------------------------------------------- single-operator queries
+from pyspark.sql import functions as F  # noqa: E402
+
+from viewlens.functions import scalars as S  # noqa: E402
+from viewlens.functions.features import parse_feature_string  # noqa: E402
+from viewlens.operators import aggregates as A  # noqa: E402
+from viewlens.operators import filters as FL  # noqa: E402
+from viewlens.operators import joins as J  # noqa: E402
+from viewlens.operators import windows as WN  # noqa: E402
+from viewlens.config import EVENT_CODES, EXCLUDED_MEDIA_SIZES  # noqa: E402
+
+
+def _ratio_kind(c):
+    return (F.when(c.isNull(), "null").when(F.isnan(c), "nan")
+             .when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise("finite"))
+
+
+def operator_queries() -> dict[str, Query]:
+    cfg = fixture_config()
+    L = FixtureLogs
+    return {
+        "in_window": lambda s, d: L(s, d).bids.where(FL.in_window("bid_ts", cfg.ad_start, cfg.ad_end))
+            .select("transaction_nbr", "bid_ts", "operation_id"),
+        "not_in": lambda s, d: L(s, d).notify.where(FL.not_in("media_size_id", EXCLUDED_MEDIA_SIZES))
+            .select("transaction_nbr", "media_size_id"),
+        "anti_join": lambda s, d: J.without(L(s, d).ads, L(s, d).notify, "transaction_nbr")
+            .select("transaction_nbr", "server_id", "content_url"),
+        "min_max_check": lambda s, d: L(s, d).events.groupBy("transaction_nbr").agg(*A.min_max_check({
+            "browser_desc": ("browser_desc", "browser_desc_check"),
+            "operating_system_desc": ("operating_system_desc", "operating_system_desc_check"),
+            "device_desc": ("device_desc", "device_desc_check")})),
+        "event_counts": lambda s, d: L(s, d).events.groupBy("transaction_nbr").agg(*A.event_counts(EVENT_CODES)),
+        "event_times": lambda s, d: L(s, d).events.groupBy("transaction_nbr").agg(*A.event_times(EVENT_CODES)),
+        "first_per_key": lambda s, d: WN.first_per_key(L(s, d).events, "publisher_id", ["event_ts", "logrec_sk"])
+            .select("publisher_id", "logrec_sk", "event_ts"),
+        "share_of_total": lambda s, d: WN.share_of_total(
+            L(s, d).events.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")), "n", "share"),
+        "group_stats": lambda s, d: WN.with_group_stats(
+            _clean(s, d), ["publisher_id"], "total_impressions",
+            {"mean_total": "mean", "sd_total": "sd", "max_total": "max", "min_total": "min", "n": "count"}),
+        "n_unique_nulls": lambda s, d: ImpressionRun(s, d).tx().groupBy("company_id").agg(
+            A.n_unique("bid_url").alias("urls_with_null"), F.count_distinct("bid_url").alias("urls")),
+        "count_at_least": lambda s, d: _clean(s, d).groupBy("publisher_id").agg(
+            A.count_at_least("total_impressions", 1000).alias("more_1000_imps"),
+            A.count_at_least("measured_impressions", 100).alias("more_100_meas")),
+        "mean_sd": lambda s, d: _clean(s, d).groupBy("placement_id").agg(*A.mean_sd("in_view", "in_view")),
+        "ratio_zero": lambda s, d: P.publisher_day(_clean(s, d)).select(
+            "publisher_id", "date", _ratio_kind(F.col("viewed_rate")).alias("viewed_rate_kind"),
+            S.ratio("viewed_impressions", "measured_impressions", on_zero="null").alias("viewed_rate_or_null")),
+        "domain_name": lambda s, d: FixtureLogs(s, d).spark.read.parquet(f"{d}/pages.parquet")
+            .select("page_id", "url", S.domain_name("url").alias("domain")),
+        "feature_split": lambda s, d: L(s, d).events.select(
+            "transaction_nbr", "logrec_sk", *parse_feature_string("event_detail_desc")),
+        "round_half_even": lambda s, d: _clean(s, d).select(
+            "date", "publisher_id", "placement_id",
+            (F.col("in_view") * F.col("measured_impressions") / 100).alias("raw_viewed"),
+            S.round_half_even(F.col("in_view") * F.col("measured_impressions") / 100).alias("viewed_half_even"),
+            F.round(F.col("in_view") * F.col("measured_impressions") / 100).alias("viewed_half_up")),
+        "parse_numbers": lambda s, d: L(s, d).placements.select(
+            "in_view", "measured_impressions",
+            S.parse_number(S.strip_chars("in_view", "%")).alias("in_view_value"),
+            S.parse_number(S.strip_chars("measured_impressions", ",")).alias("measured_value")),
+        "parse_date": lambda s, d: L(s, d).placements.select(
+            F.col("date").alias("date_text"), S.parse_date("date").alias("date_value")),
+        "nan_last_order": lambda s, d: WN.with_position(WN.order_by(
+            P.publisher_summary(P.publisher_day(_clean(s, d))), "mean_viewed_rate", desc=True,
+            ties=["publisher_id"]).select("publisher_id", "mean_viewed_rate"), "pos"),
+        "detail_snapshot": lambda s, d: RP.detail_snapshot(ImpressionRun(s, d).detail(), "detail_snapshot"),
+    }
+
+
 def all_queries() -> dict[str, Query]:
     q = {}
     q.update(placement_queries())
     q.update(impression_queries())
+    q.update(operator_queries())
     return q
