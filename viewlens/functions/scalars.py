@@ -69,19 +69,23 @@ def strip_chars(c: str | Column, chars: str) -> Column:
 
 # Numbers as R's as.numeric reads them: optional sign, decimal digits with an
 # optional fraction and exponent, or Inf / NaN; blanks around are allowed.
+# (Documentation of the accepted form; ``parse_number`` enforces it cheaply.)
 R_NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|Inf|inf|NaN)\s*$"
 
 
 def parse_number(c: str | Column) -> Column:
     """Text -> double; anything R would not read as a number gives NULL.
 
-    ``try_cast`` alone would also accept Spark-only spellings such as ``1d``.
+    ``try_cast`` trims blanks and gives NULL for text that is not a number; the
+    only spellings it accepts that R does not are a trailing ``d``/``f`` type
+    suffix (``1d``, ``2.5F``), rejected here by a last-character test rather
+    than a per-row regular expression.
     """
     s = col(c).cast("string")
-    t = F.trim(s)
-    t = F.when(F.lower(t).isin("inf", "+inf"), F.lit("Infinity")) \
-         .when(F.lower(t) == "-inf", F.lit("-Infinity")).otherwise(t)
-    return F.when(s.rlike(R_NUMBER_PATTERN), t.try_cast("double"))
+    t = F.lower(F.trim(s))
+    suffixed = F.substring(t, -1, 1).isin("d", "f") & ~t.isin("inf", "+inf", "-inf")
+    # Empty text (the usual "missing") is decided here: a failed cast is slow.
+    return F.when((t != "") & ~suffixed, s.try_cast("double"))
 
 
 def zero_if_missing(c: str | Column) -> Column:
