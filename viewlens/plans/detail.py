@@ -7,7 +7,7 @@ the two left joins add no shuffle of their own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from viewlens.config import RunConfig
@@ -94,6 +94,18 @@ CLEAN_COLUMNS = (
 
 def clean_impressions(detail: DataFrame, issues: DataFrame | None = None) -> DataFrame:
     """Detail rows of transactions with no issue row at all (an issue on one
-    row removes the whole transaction), narrowed to the published columns."""
-    issues = issue_rows(detail) if issues is None else issues
-    return without(detail, issues.select(T).distinct(), T).select(*CLEAN_COLUMNS)
+    row removes the whole transaction), narrowed to the published columns.
+
+    With a published ``issues`` table the transactions are removed by an anti
+    join.  Without one, the detail is not built a second time for the
+    blacklist: a per-transaction "any issue" flag is a window over
+    ``transaction_nbr``, by which the detail is already hash-partitioned and
+    sorted (all its joins are on that key), so it adds no shuffle and no sort.
+    Rows without a transaction key are never blacklisted (they match nothing
+    in the original left-join form), so they keep flag 0.
+    """
+    if issues is not None:
+        return without(detail, issues.select(T).distinct(), T).select(*CLEAN_COLUMNS)
+    bad = F.max(flag(issue_predicate(issue_tests()))).over(Window.partitionBy(T))
+    bad = F.when(F.col(T).isNull(), F.lit(0)).otherwise(bad)
+    return detail.withColumn("_bad", bad).where(F.col("_bad") == 0).select(*CLEAN_COLUMNS)
