@@ -119,3 +119,22 @@ def test_feature_columns_null_without_event_and_blank_when_short(spark):
     f = run.feats()
     short = f.where(F.col("vidogg") == "").select("fontface", "vidh264", "vendor").distinct().collect()
     assert short and all(tuple(r) == ("0", "1", "") for r in short)   # "6;0101": four flags, then blanks
+
+
+def test_options_dedupe_bids_extra_flags_length_check(spark):
+    ads, bids, notify = _logs(spark)
+    cfg = dataclasses.replace(CFG, dedupe_bids=True)
+    tx = IM.transactions(ads, IM.bid_domains(bids, cfg), IM.view_notify(notify, cfg), cfg)
+    got = {(r.transaction_nbr, r.bid_url): r.nrows for r in tx.collect()}
+    assert got[(1, "a.com")] == 2 and got[(1, "z.com")] == 2        # ad rows only
+    run = ImpressionRun(spark, SF_SMALL)
+    d = run.detail()
+    ct = D.issue_crosstab(d, extra_flags=True)
+    assert len(ct.columns) == 8 + 7 + 2 and ct.agg(F.sum("n")).first()[0] == d.count()
+    # every transaction removed for an ad-vs-event mismatch only shows in the extra flags
+    extra = [c for c in ct.columns if "_vs_" in c]
+    assert ct.where(F.greatest(*extra) == 1).count() > 0
+    from viewlens.plans.events import features
+    f = features(run.first(), check_length=True)
+    bad = dict(rows(f.groupBy("feature_string_ok").count()))
+    assert set(bad) == {0, 1} and bad[0] == f.where(F.col("vidogg") == "").count()

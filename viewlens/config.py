@@ -31,7 +31,12 @@ class RunConfig:
     included).  ``event_start``/``event_end`` are the event *dates*, widened by
     ``slack_days`` on each side.  ``feature_window`` bounds the events whose
     feature string is parsed; ``None`` means the widened event-date window.
-    ``tenant=None`` disables the tenant filter.
+    ``tenant=None`` disables the tenant filter.  ``feature_tenant`` also
+    applies it to the feature events (the original does not).
+    ``dedupe_bids`` counts each distinct bid URL once in ``nrows`` (the
+    original counts every bid row).  ``check_feature_length`` adds a column
+    telling whether the packed feature string is long enough (35 characters)
+    for its fixed flag offsets.
     """
 
     ad_start: dt.datetime
@@ -49,6 +54,8 @@ class RunConfig:
     feature_event_codes: tuple[int, ...] = FEATURE_EVENT_CODES
     feature_window: tuple[dt.datetime, dt.datetime] | None = None
     feature_tenant: bool = False
+    dedupe_bids: bool = False
+    check_feature_length: bool = False
     extra: dict = field(default_factory=dict, compare=False)
 
     @property

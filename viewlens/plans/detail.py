@@ -63,13 +63,26 @@ AD_EVENT_PAIRS = (
 )
 
 
-def issue_crosstab(detail: DataFrame) -> DataFrame:
+def pair_flag_name(a: str, b: str) -> str:
+    return f"{a}_vs_{b}"
+
+
+def issue_crosstab(detail: DataFrame, extra_flags: bool = False) -> DataFrame:
     """Impressions per combination of the eight issue flags, with the percent
     of all impressions.  At most 256 groups, so the percent's window over the
-    whole result is small."""
-    g = detail.groupBy(*[flag(p()).alias(n) for n, p in ISSUE_FLAGS.items()]) \
-              .agg(F.count(F.lit(1)).alias("n"))
-    return share_of_total(g, "n", "pct", scale=100).orderBy("pct", *ISSUE_FLAGS)
+    whole result is small.
+
+    ``extra_flags`` adds one flag per ad-serve vs event pair that the issue
+    rows also test (the original cross-tab leaves them out), at most 2^15
+    groups.
+    """
+    flags = [flag(p()).alias(n) for n, p in ISSUE_FLAGS.items()]
+    names = list(ISSUE_FLAGS)
+    if extra_flags:
+        flags += [flag(differs(a, b)).alias(pair_flag_name(a, b)) for a, b in AD_EVENT_PAIRS]
+        names += [pair_flag_name(a, b) for a, b in AD_EVENT_PAIRS]
+    g = detail.groupBy(*flags).agg(F.count(F.lit(1)).alias("n"))
+    return share_of_total(g, "n", "pct", scale=100).orderBy("pct", *names)
 
 
 def issue_tests() -> list:

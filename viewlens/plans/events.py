@@ -45,9 +45,21 @@ def first_feature_event(events: DataFrame, cfg: RunConfig) -> DataFrame:
     return first.select(*FIRST_EVENT_COLUMNS, "r_n")
 
 
-def features(first: DataFrame) -> DataFrame:
-    """The packed capability string split into 51 columns."""
-    return first.select(T, *parse_feature_string("event_detail_desc"))
+FEATURE_MIN_LENGTH = 35
+
+
+def features(first: DataFrame, check_length: bool = False) -> DataFrame:
+    """The packed capability string split into 51 columns.
+
+    ``check_length`` adds ``feature_string_ok``: 1 when the string reaches the
+    last fixed flag offset (35), else 0 -- the flags of a shorter string are
+    partly blank.
+    """
+    cols = [T, *parse_feature_string("event_detail_desc")]
+    if check_length:
+        ok = F.when(F.length("event_detail_desc") >= FEATURE_MIN_LENGTH, 1).otherwise(0)
+        cols.append(ok.alias("feature_string_ok"))
+    return first.select(*cols)
 
 
 def rollup_events(events: DataFrame, cfg: RunConfig) -> DataFrame:

@@ -90,7 +90,8 @@ def transactions(ads: DataFrame, bids: DataFrame, notify: DataFrame, cfg: RunCon
     j = ad_groups.join(bid_groups, keys, "left")
     j = attach_notify(j, notify.select(T, "view_notify"))
     j = j.withColumn("content_url", F.coalesce(F.col("bid_url"), domain_name("dmm_url"))) \
-         .withColumn("nrows", F.col("ad_rows") * F.coalesce(F.col("bid_rows"), F.lit(1)))
+         .withColumn("nrows", F.col("ad_rows") * F.coalesce(
+             F.lit(1) if cfg.dedupe_bids else F.col("bid_rows"), F.lit(1)))
     return j.select(*TRANSACTION_COLUMNS)
 
 

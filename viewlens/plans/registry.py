@@ -68,7 +68,7 @@ class ImpressionRun:
         return EV.first_feature_event(self.logs.events, self.cfg)
 
     def feats(self):
-        return EV.features(self.first())
+        return EV.features(self.first(), self.cfg.check_feature_length)
 
     def rollup(self):
         return EV.event_rollup(self.logs.events, self.cfg)
