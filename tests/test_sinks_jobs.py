@@ -54,3 +54,30 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "impressions" in df.columns
     _ = ImpressionRun
+
+
+def test_bucketed_job_joins_detail_without_shuffle(spark):
+    from viewlens.plans import detail as D
+    cfg = fixture_config()
+    logs = FixtureLogs(spark, SF_SMALL)
+    out = impression_job(logs.ads, logs.bids, logs.notify, logs.events, cfg, prefix="bk_", buckets=4)
+    tx, rollup, feats = spark.table("bk_transactions"), spark.table("bk_event_rollup"), spark.table("bk_features")
+    detail = D.impression_detail(tx, rollup, feats, cfg)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # as at scale: no broadcast
+    try:
+        plan = D.impression_detail(tx, rollup, feats, cfg)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dt_, is_ = spark.table("bk_impression_detail"), spark.table("bk_issue_rows")
+        plan2 = D.clean_impressions(dt_, is_)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "LeftAnti" in plan2 and "Exchange" not in plan2, plan2
+    assert same_rows(all_queries()["impression_detail"](spark, SF_SMALL), detail)
+    assert same_rows(all_queries()["clean_impressions"](spark, SF_SMALL), out["clean_impressions"])
+    for t in ("bk_transactions", "bk_event_rollup", "bk_features", "bk_impression_detail", "bk_issue_rows"):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")

@@ -15,31 +15,48 @@ from viewlens.plans import events as EV
 from viewlens.plans import impressions as IM
 from viewlens.plans import placements as P
 from viewlens.plans import reports as RP
+from viewlens.session import table_path
 from viewlens.sources.sinks import publish
 
 
 def impression_job(ads: DataFrame, bids: DataFrame, notify: DataFrame, events: DataFrame,
-                   cfg: RunConfig, prefix: str = "") -> dict[str, DataFrame]:
+                   cfg: RunConfig, prefix: str = "", buckets: int | None = None) -> dict[str, DataFrame]:
     """The whole impression audit.  Returns the published frames by name;
     the two small audit reports (multiplicity, issue cross-tab) are returned
-    unwritten for the caller to collect."""
+    unwritten for the caller to collect.
+
+    ``buckets``: publish transactions, event roll-up, features, detail and
+    issue rows as catalog tables bucketed (and sorted) by ``transaction_nbr``
+    into that many buckets, stored in the shared work folder.  The detail
+    then joins the three inputs, and the clean rows drop the issue
+    transactions, with no shuffle at all.  Pick it so one bucket is ~200 MB
+    of transactions.
+    """
     name = lambda n: f"{prefix}{n}"
     out: dict[str, DataFrame] = {}
+
+    def keyed(df: DataFrame, n: str) -> DataFrame:
+        if buckets:
+            return publish(df, name(n), as_table=True, buckets=buckets,
+                           path=table_path(df.sparkSession, name(n)))
+        return publish(df, name(n))
+
     b = IM.bid_domains(bids, cfg)
     n = IM.view_notify(notify, cfg)
-    tx = publish(IM.transactions(ads, b, n, cfg), name("transactions"))
+    tx = keyed(IM.transactions(ads, b, n, cfg), "transactions")
     out["transactions"] = tx
     out["transactions_multiplicity"] = IM.transactions_multiplicity(tx)
     out["multi_row_transactions"] = publish(IM.multi_row_transactions(tx), name("multi_row_transactions"))
-    feats = publish(EV.features(EV.first_feature_event(events, cfg)), name("features"))
-    rollup = publish(EV.event_rollup(events, cfg), name("event_rollup"))
+    feats = keyed(EV.features(EV.first_feature_event(events, cfg), cfg.check_feature_length), "features")
+    rollup = keyed(EV.event_rollup(events, cfg), "event_rollup")
     out["features"] = feats
     out["event_rollup_checked"] = publish(EV.event_rollup_checked(rollup, feats, cfg),
                                           name("event_rollup_checked"))
-    detail = RP.detail_snapshot(D.impression_detail(tx, rollup, feats, cfg), name("impression_detail"))
+    d = D.impression_detail(tx, rollup, feats, cfg)
+    detail = keyed(d, "impression_detail") if buckets else RP.detail_snapshot(d, name("impression_detail"))
     out["impression_detail"] = detail
     out["issue_crosstab"] = D.issue_crosstab(detail)
-    issues = publish(D.issue_rows(detail), name("issue_rows"))
+    issues = keyed(D.issue_rows(detail), "issue_rows")
     out["issue_rows"] = issues
     clean = publish(D.clean_impressions(detail, issues), name("clean_impressions"))
     out["clean_impressions"] = clean
