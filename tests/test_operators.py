@@ -117,3 +117,15 @@ def test_feature_string_layout(spark):
     assert a["silverlight_version"] == "" and a["browser_version"] == "26"
     b = dict(zip(FEATURE_COLUMNS, out[1]))  # a short string: past the end gives ''
     assert b["svg"] == "0" and b["vidh264"] == "1" and b["vidogg"] == "" and b["vendor"] == ""
+
+
+def test_window_literals_ignore_session_time_zone(spark):
+    df = spark.createDataFrame([(dt.datetime(2014, 6, 23),), (dt.datetime(2014, 6, 23, 0, 0, 1),)], "ts timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "America/Los_Angeles", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            p = FL.in_window("ts", dt.datetime(2014, 6, 10, 19), dt.datetime(2014, 6, 23))
+            assert df.where(p).count() == 1, tz
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

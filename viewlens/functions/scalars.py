@@ -22,10 +22,14 @@ def col(c: str | Column) -> Column:
 
 
 def lit_ts(v: dt.datetime | str) -> Column:
-    """A ``timestamp_ntz`` literal (the logs carry wall-clock time)."""
+    """A ``timestamp_ntz`` literal (the logs carry wall-clock time).
+
+    Built from text, so neither the Python process's nor the session's time
+    zone can shift it.
+    """
     if isinstance(v, str):
         v = dt.datetime.fromisoformat(v)
-    return F.lit(v).cast("timestamp_ntz")
+    return F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def lit_date(v: dt.date | str) -> Column:
