@@ -88,6 +88,16 @@ SELECT publisher_id, mean_viewed_rate,
                           DESC NULLS LAST, publisher_id) AS pos
 FROM (SELECT publisher_id, avg(viewed_rate) AS mean_viewed_rate FROM pub_day GROUP BY publisher_id) s"""
     q["detail_snapshot"] = AUDIT + "SELECT * FROM detail"
+    q["date_time_join"] = LOGS + "SELECT logrec_sk, event_ts FROM event_log"
+    q["event_span"] = LOGS + """
+SELECT transaction_nbr, min(event_ts) AS start_events, max(event_ts) AS end_events,
+       date_diff('microsecond', min(event_ts), max(event_ts)) AS events_duration_us
+FROM event_log GROUP BY transaction_nbr"""
+    q["day_window"] = LOGS + """
+SELECT logrec_sk, event_date,
+       CASE WHEN event_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' THEN 1 ELSE 0 END AS in_core
+FROM event_log
+WHERE event_date >= DATE '2024-01-10' - INTERVAL 1 DAY AND event_date <= DATE '2024-01-20' + INTERVAL 1 DAY"""
     return q
 
 

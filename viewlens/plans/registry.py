@@ -101,6 +101,8 @@ def impression_queries() -> dict[str, Query]:
 
 
 # --------------------------------------------------- single-operator queries
+import datetime as dt  # noqa: E402
+
 from pyspark.sql import functions as F  # noqa: E402
 
 from viewlens.functions import scalars as S  # noqa: E402
@@ -112,6 +114,10 @@ from viewlens.operators import windows as WN  # noqa: E402
 from viewlens.config import EVENT_CODES, EXCLUDED_MEDIA_SIZES  # noqa: E402
 
 
+# Day window of the slack-window check (inside the fixture's event dates).
+DAY_WINDOW = (dt.date(2024, 1, 10), dt.date(2024, 1, 20))
+
+
 def _ratio_kind(c):
     return (F.when(c.isNull(), "null").when(F.isnan(c), "nan")
              .when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise("finite"))
@@ -168,6 +174,14 @@ def operator_queries() -> dict[str, Query]:
             P.publisher_summary(P.publisher_day(_clean(s, d))), "mean_viewed_rate", desc=True,
             ties=["publisher_id"]).select("publisher_id", "mean_viewed_rate"), "pos"),
         "detail_snapshot": lambda s, d: RP.detail_snapshot(ImpressionRun(s, d).detail(), "detail_snapshot"),
+        "date_time_join": lambda s, d: L(s, d).events.select(
+            "logrec_sk", S.to_ts("event_date", F.date_format("event_ts", "HH:mm:ss.SSSSSS")).alias("event_ts")),
+        "event_span": lambda s, d: L(s, d).events.groupBy("transaction_nbr").agg(*A.span("event_ts"))
+            .withColumn("events_duration_us", S.duration_us("start_events", "end_events")),
+        "day_window": lambda s, d: L(s, d).events.where(
+            FL.in_day_window("event_date", DAY_WINDOW[0], DAY_WINDOW[1], slack_days=1))
+            .select("logrec_sk", "event_date",
+                    S.flag(FL.in_day_window("event_date", DAY_WINDOW[0], DAY_WINDOW[1])).alias("in_core")),
     }
 
 
