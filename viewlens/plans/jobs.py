@@ -20,7 +20,8 @@ from viewlens.sources.sinks import publish
 
 
 def impression_job(ads: DataFrame, bids: DataFrame, notify: DataFrame, events: DataFrame,
-                   cfg: RunConfig, prefix: str = "", buckets: int | None = None) -> dict[str, DataFrame]:
+                   cfg: RunConfig, prefix: str = "", buckets: int | None = None,
+                   out_dir: str | None = None) -> dict[str, DataFrame]:
     """The whole impression audit.  Returns the published frames by name;
     the two small audit reports (multiplicity, issue cross-tab) are returned
     unwritten for the caller to collect.
@@ -31,46 +32,55 @@ def impression_job(ads: DataFrame, bids: DataFrame, notify: DataFrame, events: D
     then joins the three inputs, and the clean rows drop the issue
     transactions, with no shuffle at all.  Pick it so one bucket is ~200 MB
     of transactions.
+    ``out_dir``: folder for the published tables (default: the shared work
+    folder).
     """
     name = lambda n: f"{prefix}{n}"
+    where = lambda n: f"{out_dir.rstrip('/')}/{name(n)}" if out_dir else None
     out: dict[str, DataFrame] = {}
 
     def keyed(df: DataFrame, n: str) -> DataFrame:
         if buckets:
             return publish(df, name(n), as_table=True, buckets=buckets,
-                           path=table_path(df.sparkSession, name(n)))
-        return publish(df, name(n))
+                           path=where(n) or table_path(df.sparkSession, name(n)))
+        return publish(df, name(n), path=where(n))
 
     b = IM.bid_domains(bids, cfg)
     n = IM.view_notify(notify, cfg)
     tx = keyed(IM.transactions(ads, b, n, cfg), "transactions")
     out["transactions"] = tx
     out["transactions_multiplicity"] = IM.transactions_multiplicity(tx)
-    out["multi_row_transactions"] = publish(IM.multi_row_transactions(tx), name("multi_row_transactions"))
+    out["multi_row_transactions"] = publish(IM.multi_row_transactions(tx), name("multi_row_transactions"),
+                                            path=where("multi_row_transactions"))
     feats = keyed(EV.features(EV.first_feature_event(events, cfg), cfg.check_feature_length), "features")
     rollup = keyed(EV.event_rollup(events, cfg), "event_rollup")
     out["features"] = feats
     out["event_rollup_checked"] = publish(EV.event_rollup_checked(rollup, feats, cfg),
-                                          name("event_rollup_checked"))
+                                          name("event_rollup_checked"), path=where("event_rollup_checked"))
     d = D.impression_detail(tx, rollup, feats, cfg)
-    detail = keyed(d, "impression_detail") if buckets else RP.detail_snapshot(d, name("impression_detail"))
+    detail = keyed(d, "impression_detail") if buckets else \
+        RP.detail_snapshot(d, name("impression_detail"), path=where("impression_detail"))
     out["impression_detail"] = detail
     out["issue_crosstab"] = D.issue_crosstab(detail)
     issues = keyed(D.issue_rows(detail), "issue_rows")
     out["issue_rows"] = issues
-    clean = publish(D.clean_impressions(detail, issues), name("clean_impressions"))
+    clean = publish(D.clean_impressions(detail, issues), name("clean_impressions"),
+                    path=where("clean_impressions"))
     out["clean_impressions"] = clean
     out["browser_summary"] = publish(RP.browser_summary(clean), name("browser_summary"),
-                                     cluster_by=None, single_file=True)
+                                     cluster_by=None, single_file=True, path=where("browser_summary"))
     return out
 
 
 def placement_job(raw: DataFrame, prefix: str = "", min_total: float = 1000,
-                  min_days: int = 20) -> dict[str, DataFrame]:
-    """The whole placement analysis from the file as read."""
+                  min_days: int = 20, out_dir: str | None = None) -> dict[str, DataFrame]:
+    """The whole placement analysis from the file as read.  The cleaned rows,
+    publisher-days and stable placements are published (``out_dir`` or the
+    shared work folder); the summaries are returned as frames."""
     name = lambda n: f"{prefix}{n}"
-    clean = publish(P.placement_clean(raw), name("placement_clean"), cluster_by=None)
-    pub_day = publish(P.publisher_day(clean), name("publisher_day"), cluster_by=None)
+    where = lambda n: f"{out_dir.rstrip('/')}/{name(n)}" if out_dir else None
+    clean = publish(P.placement_clean(raw), name("placement_clean"), cluster_by=None, path=where("placement_clean"))
+    pub_day = publish(P.publisher_day(clean), name("publisher_day"), cluster_by=None, path=where("publisher_day"))
     totals = P.placement_totals(clean)
     return {
         "placement_clean": clean,
@@ -78,7 +88,7 @@ def placement_job(raw: DataFrame, prefix: str = "", min_total: float = 1000,
         "publisher_day": pub_day,
         "publisher_summary": P.publisher_summary(pub_day),
         "stable_placements": publish(P.stable_placements(clean, min_total, min_days, ordered=False),
-                                     name("stable_placements"), cluster_by=None),
+                                     name("stable_placements"), cluster_by=None, path=where("stable_placements")),
         "placement_summary": P.placement_summary(clean, min_total, min_days),
         "placement_totals": totals,
         "publishers_per_placement": P.publishers_per_placement(totals),
