@@ -40,14 +40,20 @@ def get_session(master: str | None = None, app: str = "viewlens",
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for materialised intermediates and published tables.
 
-    On a cluster this is ``spark.checkpoint.dir`` as the cluster sets it.  Only
-    when the session has none (tests, a laptop) is a local folder created.
+    On a cluster this is ``spark.checkpoint.dir`` as the cluster sets it, and
+    a cluster session without one is an error: a machine-local folder would
+    not survive the loss of the machine and is not seen by other executors.
+    Only a ``local`` session (tests, a laptop) without one gets a temporary
+    folder.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's "
+                               "distributed file system) for materialised intermediates")
         d = tempfile.mkdtemp(prefix="viewlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
