@@ -11,16 +11,16 @@ SF_ORACLE = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
+    # spark.checkpoint.dir comes from the environment's defaults when set;
+    # viewlens.session.work_dir makes a temporary one only where it is unset.
     from pyspark.sql import SparkSession
-    ckpt = str(tmp_path_factory.mktemp("ckpt"))
     s = (SparkSession.builder.master("local[4]").appName("viewlens-tests")
          .config("spark.sql.shuffle.partitions", "4")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.adaptive.enabled", "true")
-         .config("spark.checkpoint.dir", ckpt)
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
