@@ -36,9 +36,11 @@ def test_strip_and_parse(spark):
 
 
 def test_parse_date_month_first_and_bad_text(spark):
-    df = spark.createDataFrame([("06-10-2014",), ("6-1-2014",), ("2014-06-10",), ("",), (None,)], "d string")
+    df = spark.createDataFrame([("06-10-2014",), ("6-1-2014",), ("2014-06-10",), ("",), (None,),
+                                (" 06-10-2014 00:00",), ("13-01-2014",), ("02-30-2014",)], "d string")
     got = [r[0] for r in rows(df.select(S.parse_date("d")))]
-    assert got == [dt.date(2014, 6, 10), dt.date(2014, 6, 1), None, None, None]
+    assert got == [dt.date(2014, 6, 10), dt.date(2014, 6, 1), None, None, None,
+                   dt.date(2014, 6, 10), None, None]
 
 
 def test_ratio_ieee_and_null(spark):

@@ -61,8 +61,20 @@ def day_of(ts: str | Column) -> Column:
     return F.to_date(col(ts))
 
 
+# Leading month-day-year of a text, as R's as.Date(x, "%m-%d-%Y") reads it
+# (leading blanks skipped, anything after the year ignored).
+LEADING_MDY = r"^\s*(\d{1,2}-\d{1,2}-\d{4})"
+
+
 def parse_date(c: str | Column, fmt: str = "M-d-yyyy") -> Column:
-    """Text -> date; text that does not parse gives NULL."""
+    """Text -> date; text that does not parse gives NULL.
+
+    For the default month-day-year format only the leading date is read, so
+    ``"06-10-2014 00:00"`` gives 2014-06-10 as in R; other formats must match
+    the whole text.
+    """
+    if fmt == "M-d-yyyy":
+        return F.try_to_date(F.regexp_extract(col(c), LEADING_MDY, 1), fmt)
     return F.try_to_date(col(c), fmt)
 
 
