@@ -81,7 +81,7 @@ SELECT in_view, measured_impressions,
        TRY_CAST(replace(measured_impressions, ',', '') AS DOUBLE) AS measured_value
 FROM placement_raw"""
     q["parse_date"] = RAW + """
-SELECT "date" AS date_text, CAST(try_strptime(regexp_extract("date", '^\s*(\d{1,2}-\d{1,2}-\d{4})', 1), '%m-%d-%Y') AS DATE) AS date_value FROM placement_raw"""
+SELECT "date" AS date_text, CAST(try_strptime(regexp_extract("date", '^\\s*(\\d{1,2}-\\d{1,2}-\\d{4})', 1), '%m-%d-%Y') AS DATE) AS date_value FROM placement_raw"""
     q["nan_last_order"] = CLEAN + "," + _pub_day() + """
 SELECT publisher_id, mean_viewed_rate,
        row_number() OVER (ORDER BY CASE WHEN isnan(mean_viewed_rate) THEN NULL ELSE mean_viewed_rate END

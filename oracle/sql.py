@@ -23,7 +23,7 @@ placement_raw AS (
 
 CTE["placement_clean"] = """
 placement_clean0 AS (
-  SELECT CAST(try_strptime(regexp_extract("date", '^\s*(\d{1,2}-\d{1,2}-\d{4})', 1), '%m-%d-%Y') AS DATE) AS "date",
+  SELECT CAST(try_strptime(regexp_extract("date", '^\\s*(\\d{1,2}-\\d{1,2}-\\d{4})', 1), '%m-%d-%Y') AS DATE) AS "date",
          TRY_CAST(publisher_id AS BIGINT) AS publisher_id,
          TRY_CAST(placement_id AS BIGINT) AS placement_id,
          coalesce(TRY_CAST(replace(in_view, '%', '') AS DOUBLE), 0) AS in_view,

@@ -7,13 +7,13 @@ the two left joins add no shuffle of their own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from viewlens.config import RunConfig
 from viewlens.functions.features import FEATURE_COLUMNS
-from viewlens.functions.scalars import duration_us, flag
-from viewlens.operators.filters import differs, issue_predicate
+from viewlens.functions.scalars import duration_us
+from viewlens.operators.filters import differs
 from viewlens.operators.joins import attach_features, without
 from viewlens.operators.windows import share_of_total
 from viewlens.plans.events import detail_rollup_columns
@@ -40,17 +40,16 @@ def impression_detail(tx: DataFrame, rollup: DataFrame, feats: DataFrame, cfg: R
     return j.withColumn("events_duration_us", duration_us("start_events", "end_events"))
 
 
-# The eight issue kinds of the cross-tab.
+# The eight issue kinds of the cross-tab, as SQL predicates.
 ISSUE_FLAGS = {
-    "multiple_10s": lambda: F.col("event_10s") > 1,
-    "multiple_90s": lambda: F.col("event_90s") > 1,
-    "both_10_and_90": lambda: (F.col("event_10s") > 0) & (F.col("event_90s") > 0),
-    "multiple_versions": lambda: differs("script_version_id", "script_version_id_check"),
-    "multiple_cookies": lambda: differs("dtm_id", "dtm_id_check"),
-    "multiple_browser": lambda: differs("browser_desc", "browser_desc_check"),
-    "multiple_browser_versions": lambda: differs("browser_major_version_attr",
-                                                 "browser_major_version_attr_check"),
-    "multiple_os": lambda: differs("operating_system_desc", "operating_system_desc_check"),
+    "multiple_10s": "event_10s > 1",
+    "multiple_90s": "event_90s > 1",
+    "both_10_and_90": "event_10s > 0 AND event_90s > 0",
+    "multiple_versions": "script_version_id <> script_version_id_check",
+    "multiple_cookies": "dtm_id <> dtm_id_check",
+    "multiple_browser": "browser_desc <> browser_desc_check",
+    "multiple_browser_versions": "browser_major_version_attr <> browser_major_version_attr_check",
+    "multiple_os": "operating_system_desc <> operating_system_desc_check",
 }
 
 # Ad-serve vs event attribute pairs that must agree.
@@ -62,6 +61,14 @@ AD_EVENT_PAIRS = (
     ("dmm_device_desc", "device_desc"),
 )
 
+# Predicates are SQL text: ``<>`` and ``>`` keep three-valued logic (a NULL
+# side is no evidence, and a NULL test makes a 0 flag), and each flag or the
+# whole test is one expression for the JVM to parse.
+
+
+def _flag(pred: str, name: str) -> Column:
+    return F.expr(f"CASE WHEN {pred} THEN 1 ELSE 0 END AS `{name}`")
+
 
 def pair_flag_name(a: str, b: str) -> str:
     return f"{a}_vs_{b}"
@@ -76,22 +83,28 @@ def issue_crosstab(detail: DataFrame, extra_flags: bool = False) -> DataFrame:
     rows also test (the original cross-tab leaves them out), at most 2^15
     groups.
     """
-    flags = [flag(p()).alias(n) for n, p in ISSUE_FLAGS.items()]
+    flags = [_flag(p, n) for n, p in ISSUE_FLAGS.items()]
     names = list(ISSUE_FLAGS)
     if extra_flags:
-        flags += [flag(differs(a, b)).alias(pair_flag_name(a, b)) for a, b in AD_EVENT_PAIRS]
+        flags += [_flag(f"{a} <> {b}", pair_flag_name(a, b)) for a, b in AD_EVENT_PAIRS]
         names += [pair_flag_name(a, b) for a, b in AD_EVENT_PAIRS]
     g = detail.groupBy(*flags).agg(F.count(F.lit(1)).alias("n"))
     return share_of_total(g, "n", "pct", scale=100).orderBy("pct", *names)
 
 
+def issue_sql() -> str:
+    """The 15 tests OR-ed: the eight issue kinds and the seven ad/event pairs."""
+    tests = list(ISSUE_FLAGS.values()) + [f"{a} <> {b}" for a, b in AD_EVENT_PAIRS]
+    return " OR ".join(f"({t})" for t in tests)
+
+
 def issue_tests() -> list:
-    return [p() for p in ISSUE_FLAGS.values()] + [differs(a, b) for a, b in AD_EVENT_PAIRS]
+    return [F.expr(p) for p in ISSUE_FLAGS.values()] + [differs(a, b) for a, b in AD_EVENT_PAIRS]
 
 
 def issue_rows(detail: DataFrame) -> DataFrame:
     """Impression rows with any inconsistency (15 tests; NULL is no evidence)."""
-    return detail.where(issue_predicate(issue_tests()))
+    return detail.where(F.expr(issue_sql()))
 
 
 CLEAN_COLUMNS = (
@@ -119,6 +132,6 @@ def clean_impressions(detail: DataFrame, issues: DataFrame | None = None) -> Dat
     """
     if issues is not None:
         return without(detail, issues.select(T).distinct(), T).select(*CLEAN_COLUMNS)
-    bad = F.max(flag(issue_predicate(issue_tests()))).over(Window.partitionBy(T))
+    bad = F.max(F.expr(f"CASE WHEN {issue_sql()} THEN 1 ELSE 0 END")).over(Window.partitionBy(T))
     bad = F.when(F.col(T).isNull(), F.lit(0)).otherwise(bad)
     return detail.withColumn("_bad", bad).where(F.col("_bad") == 0).select(*CLEAN_COLUMNS)

@@ -70,8 +70,9 @@ def rollup_events(events: DataFrame, cfg: RunConfig) -> DataFrame:
 
 
 def _mm(src: str, check: bool = True) -> list:
-    out = [F.min(src).alias(src)]
-    return out + [F.max(src).alias(f"{src}_check")] if check else out
+    """The value (min) and, with ``check``, its check (max) of one attribute."""
+    out = [F.expr(f"min(`{src}`) AS `{src}`")]
+    return out + [F.expr(f"max(`{src}`) AS `{src}_check`")] if check else out
 
 
 def event_rollup(events: DataFrame, cfg: RunConfig) -> DataFrame:

@@ -57,6 +57,26 @@ TRANSACTION_COLUMNS = (
     "publisher_id", "message_campaign_id", "user_ip", "nrows", "view_notify", "server_id")
 
 
+# (function, ad-log column, output): "value" (min) and "check" (max) pairs and
+# single representatives of each (transaction, ad URL, company) group.
+AD_GROUP_AGGS = (
+    ("min", "dmm_date", "dmm_date"), ("max", "dmm_date", "dmm_date_check"),
+    ("min", "company_id", "company_id_dmm"), ("max", "company_id", "company_id_check"),
+    ("min", "status_id", "status_id"), ("max", "status_id", "status_id_check"),
+    ("min", "media_size_id", "media_size_id"), ("max", "media_size_id", "media_size_id_check"),
+    ("min", "browser_desc", "dmm_browser"), ("max", "browser_desc", "browser_check"),
+    ("min", "browser_major_version_attr", "dmm_browser_major_version"),
+    ("min", "browser_minor_version_attr", "dmm_browser_minor_version"),
+    ("min", "operating_system_desc", "dmm_os"),
+    ("min", "device_desc", "dmm_device_desc"),
+    ("min", "device_type_attr", "dmm_device_type_attr"),
+    ("min", "publisher_id", "publisher_id"),
+    ("min", "message_campaign_id", "message_campaign_id"),
+    ("min", "CAST(user_ip AS STRING)", "user_ip"),
+    ("max", "server_id", "server_id"),
+)
+
+
 def transactions(ads: DataFrame, bids: DataFrame, notify: DataFrame, cfg: RunConfig) -> DataFrame:
     """One row per transaction x ad URL x bid URL x company.
 
@@ -66,21 +86,8 @@ def transactions(ads: DataFrame, bids: DataFrame, notify: DataFrame, cfg: RunCon
     """
     a = served_ads(ads, cfg)
     ad_groups = a.groupBy(T, F.col("content_url").alias("dmm_url"), "company_id").agg(
-        F.min("dmm_date").alias("dmm_date"), F.max("dmm_date").alias("dmm_date_check"),
-        F.min("company_id").alias("company_id_dmm"), F.max("company_id").alias("company_id_check"),
-        F.min("status_id").alias("status_id"), F.max("status_id").alias("status_id_check"),
-        F.min("media_size_id").alias("media_size_id"), F.max("media_size_id").alias("media_size_id_check"),
-        F.min("browser_desc").alias("dmm_browser"), F.max("browser_desc").alias("browser_check"),
-        F.min("browser_major_version_attr").alias("dmm_browser_major_version"),
-        F.min("browser_minor_version_attr").alias("dmm_browser_minor_version"),
-        F.min("operating_system_desc").alias("dmm_os"),
-        F.min("device_desc").alias("dmm_device_desc"),
-        F.min("device_type_attr").alias("dmm_device_type_attr"),
-        F.min("publisher_id").alias("publisher_id"),
-        F.min("message_campaign_id").alias("message_campaign_id"),
-        F.min(F.col("user_ip").cast("string")).alias("user_ip"),
-        F.count(F.lit(1)).alias("ad_rows"),
-        F.max("server_id").alias("server_id"))
+        *[F.expr(f"{fn}({src}) AS {out}") for fn, src, out in AD_GROUP_AGGS],
+        F.count(F.lit(1)).alias("ad_rows"))
     # With one tenant on both sides the company key is constant, so join on the
     # transaction alone: the bid join, notify join and the later roll-up joins
     # then share one hash partitioning on transaction_nbr.
