@@ -80,3 +80,8 @@ def test_bucketed_job_joins_detail_without_shuffle(spark):
     assert same_rows(all_queries()["clean_impressions"](spark, SF_SMALL), out["clean_impressions"])
     for t in ("bk_transactions", "bk_event_rollup", "bk_features", "bk_impression_detail", "bk_issue_rows"):
         spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
+def test_publish_without_the_cluster_key(spark, tmp_path):
+    df = spark.range(10).withColumnRenamed("id", "placement_id")
+    assert publish(df, "no_key", path=str(tmp_path / "nk")).count() == 10

@@ -26,13 +26,16 @@ def publish(df: DataFrame, name: str, cluster_by: str | None = "transaction_nbr"
     """Write ``df`` durably (replacing any previous version) and return the
     written data read back, which also cuts the lineage.
 
-    ``cluster_by`` lays rows out by that key: a ``rebalance`` hint, so AQE
-    splits a skewed key over several files instead of one huge task.  With
+    ``cluster_by`` lays rows out by that key (ignored when the frame has no
+    such column): a ``rebalance`` hint, so AQE splits a skewed key over
+    several files instead of one huge task.  With
     ``as_table`` and ``buckets`` the table is bucketed by the key, so later
     joins on it need no shuffle.  ``single_file`` is for small summaries only.
     ``path`` defaults to a folder under the shared work folder.
     """
     spark = df.sparkSession
+    if cluster_by and cluster_by not in df.columns:
+        cluster_by = None          # frames without the key keep Spark's layout
     if single_file:
         df = df.coalesce(1)
     elif cluster_by and not buckets:
