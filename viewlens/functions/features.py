@@ -57,6 +57,6 @@ def split_fields(c: str, layout: list[tuple[str, int]] | None = None, sep: str =
     return [F.expr(f"split_part(`{c}`, '{sep}', {n}) AS `{name}`") for name, n in (layout or field_layout())]
 
 
-def parse_feature_string(c: str | Column) -> list[Column]:
+def parse_feature_string(c: str) -> list[Column]:
     """All 51 feature columns of a packed string."""
     return flag_chars(c) + split_fields(c)

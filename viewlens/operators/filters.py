@@ -25,7 +25,7 @@ def in_window(ts: str | Column, start: dt.datetime, end: dt.datetime,
     return p
 
 
-def in_day_window(d: str | Column, start: dt.date, end: dt.date, slack_days: int = 0) -> Column:
+def in_day_window(d: str | Column, start: dt.date, end: dt.date, slack_days: int = 1) -> Column:
     """``start - slack <= d <= end + slack`` on a date column."""
     lo = start - dt.timedelta(days=slack_days)
     hi = end + dt.timedelta(days=slack_days)

@@ -181,7 +181,7 @@ def operator_queries() -> dict[str, Query]:
         "day_window": lambda s, d: L(s, d).events.where(
             FL.in_day_window("event_date", DAY_WINDOW[0], DAY_WINDOW[1], slack_days=1))
             .select("logrec_sk", "event_date",
-                    S.flag(FL.in_day_window("event_date", DAY_WINDOW[0], DAY_WINDOW[1])).alias("in_core")),
+                    S.flag(FL.in_day_window("event_date", DAY_WINDOW[0], DAY_WINDOW[1], slack_days=0)).alias("in_core")),
     }
 
 
