@@ -65,3 +65,25 @@ def test_detail_joins_add_no_shuffle_of_their_own(spark, no_broadcast):
     # detail = transactions + roll-up (1 shuffle) + first feature event (1 shuffle); the joins add none
     assert n(p_detail) == n(p_tx) + 2, (n(p_tx), n(p_detail))
     assert n(p_clean) == n(p_detail)            # the blacklist window adds none
+
+
+def test_date_partitioned_logs_are_pruned(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from viewlens.config import fixture_config
+    from viewlens.plans import events as EV
+    from viewlens.plans import impressions as IM
+    from viewlens.sources.fixtures import FixtureLogs
+    cfg = fixture_config()
+    logs = FixtureLogs(spark, SF_SMALL)
+    # a few days either side of the window's end are enough to see pruning
+    bids = logs.bids.withColumn("bid_date", F.to_date("bid_ts")) \
+        .where(F.col("bid_date").between("1999-12-25", "2000-01-05"))
+    bids.coalesce(1).write.partitionBy("bid_date").parquet(str(tmp_path / "bids"))
+    logs.events.coalesce(1).write.partitionBy("event_date").parquet(str(tmp_path / "events"))
+    pb = plan_of(IM.bid_domains(spark.read.parquet(str(tmp_path / "bids")), cfg))
+    pe = plan_of(EV.event_rollup(spark.read.parquet(str(tmp_path / "events")), cfg))
+    assert re.search(r"PartitionFilters: \[[^\]]*bid_date", pb), pb
+    assert re.search(r"PartitionFilters: \[[^\]]*event_date", pe), pe
+    full = IM.bid_domains(bids.drop("bid_date"), cfg)
+    part = IM.bid_domains(spark.read.parquet(str(tmp_path / "bids")), cfg)
+    assert full.count() == part.count() > 0
