@@ -138,3 +138,17 @@ def test_options_dedupe_bids_extra_flags_length_check(spark):
     f = features(run.first(), check_length=True)
     bad = dict(rows(f.groupBy("feature_string_ok").count()))
     assert set(bad) == {0, 1} and bad[0] == f.where(F.col("vidogg") == "").count()
+
+
+def test_one_pass_summary_equals_separate_rollup_and_features(spark):
+    from conftest import same_rows
+    from viewlens.plans import events as EV
+    run = ImpressionRun(spark, SF_SMALL)
+    for cfg in (run.cfg, dataclasses.replace(run.cfg, feature_tenant=True),
+                dataclasses.replace(run.cfg, tenant=2, event_end=dt.date(2024, 1, 10))):
+        summ = EV.event_summary(run.logs.events, cfg)
+        assert same_rows(EV.event_rollup(run.logs.events, cfg), EV.rollup_from_summary(summ, cfg))
+        assert same_rows(EV.features(EV.first_feature_event(run.logs.events, cfg)), EV.features_from_summary(summ))
+        r = ImpressionRun(spark, SF_SMALL, cfg)
+        old = D.impression_detail(r.tx(), r.rollup(), r.feats(), cfg)
+        assert same_rows(old, r.detail())

@@ -25,7 +25,8 @@ def no_broadcast(spark):
 
 def test_rollups_aggregate_map_side_before_shuffle(spark):
     run = ImpressionRun(spark, SF_SMALL)
-    for df in (run.rollup(), run.tx(), run.notify()):
+    from viewlens.plans.events import event_summary
+    for df in (run.rollup(), run.tx(), run.notify(), event_summary(run.logs.events, run.cfg)):
         p = plan_of(df)
         assert re.search(r"partial_(min|count|max|sum)", p), p
 
@@ -62,8 +63,8 @@ def test_detail_joins_add_no_shuffle_of_their_own(spark, no_broadcast):
     p_detail = plan_of(run.detail())
     p_clean = plan_of(run.clean())
     n = lambda p: len(re.findall(r"Exchange hashpartitioning", p))
-    # detail = transactions + roll-up (1 shuffle) + first feature event (1 shuffle); the joins add none
-    assert n(p_detail) == n(p_tx) + 2, (n(p_tx), n(p_detail))
+    # detail = transactions + the one-pass event summary (1 shuffle); the join adds none
+    assert n(p_detail) == n(p_tx) + 1, (n(p_tx), n(p_detail))
     assert n(p_clean) == n(p_detail)            # the blacklist window adds none
 
 

@@ -36,7 +36,7 @@ def test_impression_job_matches_registered_queries(spark):
     out = impression_job(logs.ads, logs.bids, logs.notify, logs.events, fixture_config(), prefix="job_")
     q = all_queries()
     for name in ("transactions", "impression_detail", "issue_rows", "clean_impressions", "browser_summary",
-                 "issue_crosstab", "event_rollup_checked"):
+                 "issue_crosstab", "event_rollup_checked", "features"):
         want = q[name](spark, SF_SMALL)
         assert same_rows(want, out[name]), name
 
@@ -60,12 +60,12 @@ def test_bucketed_job_joins_detail_without_shuffle(spark):
     cfg = fixture_config()
     logs = FixtureLogs(spark, SF_SMALL)
     out = impression_job(logs.ads, logs.bids, logs.notify, logs.events, cfg, prefix="bk_", buckets=4)
-    tx, rollup, feats = spark.table("bk_transactions"), spark.table("bk_event_rollup"), spark.table("bk_features")
-    detail = D.impression_detail(tx, rollup, feats, cfg)
+    tx, summary = spark.table("bk_transactions"), spark.table("bk_event_summary")
+    detail = D.impression_detail_one_pass(tx, summary, cfg)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # as at scale: no broadcast
     try:
-        plan = D.impression_detail(tx, rollup, feats, cfg)._jdf.queryExecution().executedPlan().toString()
+        plan = D.impression_detail_one_pass(tx, summary, cfg)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
@@ -78,7 +78,7 @@ def test_bucketed_job_joins_detail_without_shuffle(spark):
     assert "LeftAnti" in plan2 and "Exchange" not in plan2, plan2
     assert same_rows(all_queries()["impression_detail"](spark, SF_SMALL), detail)
     assert same_rows(all_queries()["clean_impressions"](spark, SF_SMALL), out["clean_impressions"])
-    for t in ("bk_transactions", "bk_event_rollup", "bk_features", "bk_impression_detail", "bk_issue_rows"):
+    for t in ("bk_transactions", "bk_event_summary", "bk_impression_detail", "bk_issue_rows"):
         spark.sql(f"DROP TABLE IF EXISTS {t}")
 
 

@@ -40,6 +40,17 @@ def impression_detail(tx: DataFrame, rollup: DataFrame, feats: DataFrame, cfg: R
     return j.withColumn("events_duration_us", duration_us("start_events", "end_events"))
 
 
+def impression_detail_one_pass(tx: DataFrame, summary: DataFrame, cfg: RunConfig) -> DataFrame:
+    """``impression_detail`` from ``event_summary``: the roll-up and the
+    features of a transaction are one row there, so the detail is a single
+    left join on the key both sides are partitioned by.  Transactions with
+    features but no roll-up rows get NULL roll-up columns, and the other way
+    round, exactly as with the two separate left joins."""
+    b = tx.select(*[F.col(s).alias(d) for s, d in TX_COLUMNS.items()])
+    a = summary.select(*detail_rollup_columns(cfg), *FEATURE_COLUMNS)
+    return b.join(a, T, "left").withColumn("events_duration_us", duration_us("start_events", "end_events"))
+
+
 # The eight issue kinds of the cross-tab, as SQL predicates.
 ISSUE_FLAGS = {
     "multiple_10s": "event_10s > 1",

@@ -120,3 +120,75 @@ def event_rollup_checked(rollup: DataFrame, feats: DataFrame, cfg: RunConfig) ->
 
 __all__ = ["FEATURE_COLUMNS", "event_rollup", "event_rollup_checked", "features",
            "first_feature_event", "feature_events", "detail_rollup_columns"]
+
+
+# ----------------------------------------------------------- one-pass summary
+def _rollup_condition(cfg: RunConfig):
+    return (in_day_window("event_date", cfg.event_start, cfg.event_end, cfg.slack_days)
+            & for_tenant("company_id", cfg.tenant) & is_in("script_version_id", cfg.versions))
+
+
+def _feature_condition(cfg: RunConfig):
+    if cfg.feature_window:
+        w = in_window("event_ts", cfg.feature_window[0], cfg.feature_window[1], date_col="event_date")
+    else:
+        w = in_day_window("event_date", cfg.event_start, cfg.event_end, cfg.slack_days)
+    p = w & is_in("event_id", cfg.feature_event_codes) & is_in("script_version_id", cfg.versions)
+    return p & for_tenant("company_id", cfg.tenant) if cfg.feature_tenant else p
+
+
+def event_summary(events: DataFrame, cfg: RunConfig) -> DataFrame:
+    """The roll-up and the parsed first feature event of every transaction
+    from ONE scan and ONE shuffle of the event log.
+
+    Rows passing either filter are grouped once by transaction.  Each roll-up
+    aggregate only sees rows passing the roll-up filter, so a transaction with
+    no such row gets NULL in every roll-up column (what the separate roll-up's
+    left join gives); ``has_rollup`` marks the others.  The first feature
+    event is the minimum of ``struct(logrec_sk, ...)`` over rows passing the
+    feature filter (the row with the smallest ``logrec_sk``, as
+    ``first_feature_event``), combined map-side like every other aggregate.
+    """
+    rc, fc = _rollup_condition(cfg), _feature_condition(cfg)
+    ev = events.where(rc | fc).withColumn("_r", rc).withColumn("_f", fc)
+    r = F.col("_r")
+    only = lambda c: F.when(r, F.col(c))
+    aggs = []
+    for src, check in (("script_version_id", True), ("dtm_id", True), ("cookie_dtm_id", True),
+                       ("company_id", False)):
+        aggs.append(F.min(only(src)).alias(src))
+        if check:
+            aggs.append(F.max(only(src)).alias(f"{src}_check"))
+    aggs += [F.min(only("event_ts")).alias("start_events"), F.max(only("event_ts")).alias("end_events")]
+    for src in ("server_id", "publisher_id", "message_campaign_id", "template_id", "browser_desc",
+                "browser_major_version_attr", "browser_minor_version_attr", "operating_system_desc",
+                "device_desc", "device_type_attr", "device_manufacturer_attr"):
+        aggs += [F.min(only(src)).alias(src), F.max(only(src)).alias(f"{src}_check")]
+    for c in cfg.event_codes:
+        aggs.append(F.expr(f"sum(CASE WHEN _r THEN CASE WHEN event_id = {int(c)} THEN 1 ELSE 0 END END)"
+                           f" AS event_{int(c)}s"))
+        aggs.append(F.expr(f"max(CASE WHEN _r THEN CASE WHEN event_id = {int(c)} THEN elapsed_time_ms_meas"
+                           f" ELSE 0 END END) AS event_{int(c)}_time"))
+    d90 = F.when(r & (F.col("event_id") == 90), F.col("event_detail_desc"))
+    aggs += [F.min(d90).alias("event_90_detail"), F.max(d90).alias("event_90_detail_check")]
+    aggs.append(F.max(F.when(r, F.lit(1))).alias("has_rollup"))
+    aggs.append(F.max(F.when(F.col("_f"), F.lit(1))).alias("has_features"))
+    first = F.struct(*[F.col(c) for c in ("logrec_sk", *FIRST_EVENT_COLUMNS[1:])])
+    aggs.append(F.min(F.when(F.col("_f"), first)).alias("_first"))
+    g = ev.groupBy(T).agg(*aggs)
+    g = g.withColumn("event_detail_desc", F.col("_first.event_detail_desc"))
+    return g.select("*", *parse_feature_string("event_detail_desc")).drop("_first", "event_detail_desc")
+
+
+def rollup_from_summary(summary: DataFrame, cfg: RunConfig) -> DataFrame:
+    """``event_rollup`` rows out of ``event_summary``."""
+    cols = [c for c in summary.columns if c not in FEATURE_COLUMNS and c not in SUMMARY_MARKERS]
+    return summary.where(F.col("has_rollup") == 1).select(*cols)
+
+
+def features_from_summary(summary: DataFrame) -> DataFrame:
+    """``features`` rows out of ``event_summary``."""
+    return summary.where(F.col("has_features") == 1).select(T, *FEATURE_COLUMNS)
+
+
+SUMMARY_MARKERS = ("has_rollup", "has_features")

@@ -26,11 +26,11 @@ def impression_job(ads: DataFrame, bids: DataFrame, notify: DataFrame, events: D
     the two small audit reports (multiplicity, issue cross-tab) are returned
     unwritten for the caller to collect.
 
-    ``buckets``: publish transactions, event roll-up, features, detail and
-    issue rows as catalog tables bucketed (and sorted) by ``transaction_nbr``
-    into that many buckets, stored in the shared work folder.  The detail
-    then joins the three inputs, and the clean rows drop the issue
-    transactions, with no shuffle at all.  Pick it so one bucket is ~200 MB
+    ``buckets``: publish transactions, the event summary (roll-up and
+    features), detail and issue rows as catalog tables bucketed (and sorted)
+    by ``transaction_nbr`` into that many buckets, stored in the shared work
+    folder.  The detail then joins its inputs, and the clean rows drop the
+    issue transactions, with no shuffle at all.  Pick it so one bucket is ~200 MB
     of transactions.
     ``out_dir``: folder for the published tables (default: the shared work
     folder).
@@ -52,12 +52,14 @@ def impression_job(ads: DataFrame, bids: DataFrame, notify: DataFrame, events: D
     out["transactions_multiplicity"] = IM.transactions_multiplicity(tx)
     out["multi_row_transactions"] = publish(IM.multi_row_transactions(tx), name("multi_row_transactions"),
                                             path=where("multi_row_transactions"))
-    feats = keyed(EV.features(EV.first_feature_event(events, cfg), cfg.check_feature_length), "features")
-    rollup = keyed(EV.event_rollup(events, cfg), "event_rollup")
+    # roll-up and first feature event from one scan and one shuffle of the events
+    summary = keyed(EV.event_summary(events, cfg), "event_summary")
+    rollup, feats = EV.rollup_from_summary(summary, cfg), EV.features_from_summary(summary)
+    out["event_summary"] = summary
     out["features"] = feats
     out["event_rollup_checked"] = publish(EV.event_rollup_checked(rollup, feats, cfg),
                                           name("event_rollup_checked"), path=where("event_rollup_checked"))
-    d = D.impression_detail(tx, rollup, feats, cfg)
+    d = D.impression_detail_one_pass(tx, summary, cfg)
     detail = keyed(d, "impression_detail") if buckets else \
         RP.detail_snapshot(d, name("impression_detail"), path=where("impression_detail"))
     out["impression_detail"] = detail

@@ -74,7 +74,8 @@ class ImpressionRun:
         return EV.event_rollup(self.logs.events, self.cfg)
 
     def detail(self):
-        return D.impression_detail(self.tx(), self.rollup(), self.feats(), self.cfg)
+        # one scan and one shuffle of the event log for roll-up and features
+        return D.impression_detail_one_pass(self.tx(), EV.event_summary(self.logs.events, self.cfg), self.cfg)
 
     def clean(self):
         return D.clean_impressions(self.detail())
