@@ -6,12 +6,25 @@ its work grows with them.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
+
+from viewlens.config import EVENT_CODES, EXCLUDED_MEDIA_SIZES, fixture_config
+from viewlens.functions import scalars as S
+from viewlens.functions.features import parse_feature_string
+from viewlens.operators import aggregates as A
+from viewlens.operators import filters as FL
+from viewlens.operators import joins as J
+from viewlens.operators import windows as WN
+from viewlens.plans import detail as D
+from viewlens.plans import events as EV
+from viewlens.plans import impressions as IM
 from viewlens.plans import placements as P
-from viewlens.sources.fixtures import FixtureLogs
+from viewlens.plans import reports as RP
+from viewlens.sources.fixtures import FixtureLogs, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,14 +53,9 @@ def placement_queries() -> dict[str, Query]:
     }
 
 
-# ----------------------------------------------------------------- impressions
-from viewlens.config import fixture_config  # noqa: E402
-from viewlens.plans import detail as D  # noqa: E402
-from viewlens.plans import events as EV  # noqa: E402
-from viewlens.plans import impressions as IM  # noqa: E402
-from viewlens.plans import reports as RP  # noqa: E402
 
 
+# ----------------------------------------------------------------- impressions
 class ImpressionRun:
     """The impression audit over one scale-factor folder, built lazily."""
 
@@ -101,20 +109,9 @@ def impression_queries() -> dict[str, Query]:
     }
 
 
-# --------------------------------------------------- single-operator queries
-import datetime as dt  # noqa: E402
-
-from pyspark.sql import functions as F  # noqa: E402
-
-from viewlens.functions import scalars as S  # noqa: E402
-from viewlens.functions.features import parse_feature_string  # noqa: E402
-from viewlens.operators import aggregates as A  # noqa: E402
-from viewlens.operators import filters as FL  # noqa: E402
-from viewlens.operators import joins as J  # noqa: E402
-from viewlens.operators import windows as WN  # noqa: E402
-from viewlens.config import EVENT_CODES, EXCLUDED_MEDIA_SIZES  # noqa: E402
 
 
+# --------------------------------------------------- single-operator queries
 # Day window of the slack-window check (inside the fixture's event dates).
 DAY_WINDOW = (dt.date(2024, 1, 10), dt.date(2024, 1, 20))
 
@@ -156,7 +153,7 @@ def operator_queries() -> dict[str, Query]:
         "ratio_zero": lambda s, d: P.publisher_day(_clean(s, d)).select(
             "publisher_id", "date", _ratio_kind(F.col("viewed_rate")).alias("viewed_rate_kind"),
             S.ratio("viewed_impressions", "measured_impressions", on_zero="null").alias("viewed_rate_or_null")),
-        "domain_name": lambda s, d: FixtureLogs(s, d).spark.read.parquet(f"{d}/pages.parquet")
+        "domain_name": lambda s, d: table(s, d, "pages")
             .select("page_id", "url", S.domain_name("url").alias("domain")),
         "feature_split": lambda s, d: L(s, d).events.select(
             "transaction_nbr", "logrec_sk", *parse_feature_string("event_detail_desc")),
