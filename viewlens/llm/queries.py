@@ -9,13 +9,29 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from viewlens.llm import exact_dedup, packing, sentencepiece_codec, sharding, token_counts
+from viewlens.llm import (
+    embedding_dedup,
+    exact_dedup,
+    html_extraction,
+    lm_scoring,
+    minhash_dedup,
+    packing,
+    quality,
+    sentencepiece_codec,
+    sharding,
+    token_counts,
+)
 from viewlens.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    labels = quality.best_labels(table(spark, folder, "labels"))
+    return lm_scoring.scores(table(spark, folder, "documents"), labels.where("good = 1").select("id"), PIECE_BPE)
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.with_copies(table(spark, folder, "documents"), carry=("doc_id",))
 
@@ -24,6 +40,18 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), PIECE_BPE)
 
 
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extraction.main_text(table(spark, folder, "pages"))
+
+
+def op5_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_dedup.near_groups(table(spark, folder, "documents"), threshold=85)
+
+
+def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, folder, "embeddings"), similarity=0.9)
+
+
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(packing.pieces(table(spark, folder, "documents"), WORD_BPE))
 
@@ -36,8 +64,18 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shards(table(spark, folder, "documents"), 8)
 
 
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.scores(table(spark, folder, "documents"), quality.best_labels(table(spark, folder, "labels")))
+
+
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_exact_dedup, op3_token_counts, op7_best_fit_packing, op8_sentencepiece, op9_sharding)}
+    op1_lm_scoring, op2_exact_dedup, op3_token_counts, op4_html_extraction, op5_minhash_dedup,
+    op6_embedding_dedup, op7_best_fit_packing, op8_sentencepiece, op9_sharding, op10_quality_classifier, pipeline)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""

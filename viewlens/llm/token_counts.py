@@ -22,7 +22,6 @@ the same recurrence along a plain array, never stored.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,8 +36,6 @@ ZIPF_SHIFT = 2.7
 BYTE_LOG_P = -16.0
 NODES = 400_000
 LONG = 200
-WORDS = re.compile(r"[^ \t-\r]+")
-ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
 
 
 def unigram_log_p(pieces: list[str]) -> dict[str, float]:
@@ -50,9 +47,9 @@ def unigram_log_p(pieces: list[str]) -> dict[str, float]:
     return log_p
 
 
-def split_words(text: str) -> list[str]:
-    """The words between ASCII white space."""
-    return WORDS.findall(text) if ODD_SPACE.search(text) else text.split()
+def split_words(text: str) -> list[bytes]:
+    """The words between ASCII white space, in UTF-8."""
+    return text.encode("utf-8", "replace").split()
 
 
 class UnigramTrie:
@@ -113,7 +110,7 @@ def tables(model: str) -> tuple[WordMemo, UnigramTrie]:
               if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
     ranked = sorted(normal, key=lambda i: (-sp.get_score(i), i))
     trie = UnigramTrie(unigram_log_p([sp.id_to_piece(i) for i in ranked]))
-    return WordMemo(lambda word: trie.insert(MARK + word), 200_000), trie
+    return WordMemo(lambda word: trie.insert(MARK + word.decode()), 200_000), trie
 
 
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,7 +121,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             out = []
             for doc, text in zip(b["doc_id"], b["text"]):
                 words = split_words(text or "")
-                found = [terminal[w] if len(w) < LONG else trie.insert(MARK + w) for w in words]
+                found = [terminal[w] if len(w) < LONG else trie.insert(MARK + w.decode()) for w in words]
                 out.append((doc, len(words), sum([f[0] for f in found]), math.fsum([f[1] for f in found])))
             yield pd.DataFrame(out, columns=["doc_id", "n_pretokens", "n_tokens", "log_p"], dtype=object)
 
