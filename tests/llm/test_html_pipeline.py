@@ -1,0 +1,162 @@
+"""HTML extraction, the pipeline and the registration of the queries."""
+
+import html
+import os
+import random
+import re
+import subprocess
+import sys
+
+import duckdb
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from conftest import ROOT, SF_SMALL
+from viewlens.llm import html_extraction as H
+from viewlens.llm import queries as Q
+from viewlens.llm.gradient_boosting import BoostedTrees
+from viewlens.llm.html_tree import parse
+from viewlens.llm.minhash_dedup import near_groups
+
+PAGES = "/root/testdata/sf0.01/pages.parquet"
+
+
+def article_text(source):
+    """The blocks between the tags of the one article that these pages have."""
+    inner = source[source.index("<article>"):].partition("</article>")[0]
+    blocks = [html.unescape(re.sub("<[^>]*>", "", b)) for b in re.split(r"<(?:p|h1)>", inner)]
+    return "\n".join(b for b in (re.sub(r"\s+", " ", x).strip() for x in blocks) if b)
+
+
+@pytest.fixture(scope="module")
+def pages():
+    return duckdb.sql(f"SELECT page_id, html FROM '{PAGES}' ORDER BY page_id").fetchall()
+
+
+@pytest.fixture(scope="module")
+def model(pages):
+    return H.fit([h for _, h in pages[:100]])
+
+
+def test_main_text_of_all_pages(spark, pages):
+    got = {r.page_id: r for r in H.main_text(spark.read.parquet(PAGES)).collect()}
+    wrong = [i for i, h in pages if got[i].text != article_text(h)]
+    assert len(got) == len(pages) and len(wrong) <= 0.01 * len(pages), wrong[:5]
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_held_out_layouts(model, pages):
+    rng = random.Random(99)
+    layouts = H.Layouts(rng, [t for _, h in pages[120:160] for t in article_text(h).split("\n")])
+    right = 0
+    for _ in range(200):
+        page = layouts.page([layouts.words(4, 70) for _ in range(rng.randint(1, 8))])
+        want = "\n".join(x.text.replace(H.SECRET, "") for x in parse(page) if H.SECRET in x.text)
+        right += H.extract([page.replace(H.SECRET, "")], model)[0] == want
+    assert right >= 195
+
+
+def test_tree_of_broken_markup():
+    def blocks(source):
+        return [x.text for x in parse(source) if x.tag == "#text"]
+    assert blocks("a<p>b<p>c <b>d</p>e") == ["a", "b", "c d", "e"]
+    assert blocks("<ul><li>x<li>y<ul><li>z</ul></ul>") == ["x", "y", "z"]
+    assert blocks('<script>var t="</p>";</script><p>t &amp; u&nbsp;v<br>w</p><!-- c -->') == ["t & u v w"]
+    assert blocks("<style>p{}</style><div hidden>h</div><p title=\"a > b\">q</p>") == ["q"]
+    assert blocks("text only") == ["text only"] and blocks("") == [] and blocks("<div") == []
+    assert blocks("<head><title>t</title><body><p>b") == ["b"]
+    assert blocks("1 < 2 &lt; 3<p>x</q></p>") == ["1 < 2 < 3", "x"]
+    assert blocks("<div>" * 3000 + "deep") == ["deep"]
+
+
+def test_decoder_is_the_best_choice_without_contradiction():
+    rng = np.random.default_rng(2)
+    shape = parse("<div><p>a</p><ul><li>b</li><li>c</li></ul></div><p>d</p>")
+    parents = [x.parent for x in shape]
+    texts = [i for i, x in enumerate(shape) if x.tag == "#text"]
+    for _ in range(100):
+        odds = rng.normal(0, 2, len(shape))
+        best = None
+        for chosen in range(2 ** len(texts)):
+            kept = [t for k, t in enumerate(texts) if chosen >> k & 1]
+            on = set()
+            for i in kept:
+                while i >= 0:
+                    on.add(i)
+                    i = parents[i]
+            score = sum(-np.log1p(np.exp(-odds[i] if i in on else odds[i])) for i in range(len(shape)))
+            if best is None or score > best[0]:
+                best = (score, kept)
+        assert H.decode(shape, odds) == best[1]
+
+
+def test_extraction_of_odd_rows(spark, model):
+    assert H.extract([None, "", "   ", "<p>", "<!--"], model) == [""] * 5
+    df = spark.createDataFrame([(1, "u", None, 1), (1, "u", "", 2), (None, None, "<article><p>" + "long text. " * 9000, 3)],
+                               "page_id long, url string, html string, text int")
+    got = H.main_text(df).collect()
+    assert len(got) == 3 and [r.n_chars for r in got if r.page_id == 1] == [0, 0]
+    assert H.main_text(df.limit(0)).count() == 0
+
+
+def test_boosted_trees_learn_an_exclusive_or():
+    rng = np.random.default_rng(1)
+    x = rng.random((2000, 5))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 3] > 0.3)).astype(float)
+    trees = BoostedTrees(trees=30, depth=3).fit(x[:1500], y[:1500])
+    assert ((trees.log_odds(x[1500:]) > 0) == y[1500:]).mean() > 0.95
+
+
+# --------------------------------------------------------------------- pipeline
+def test_pipeline_stages_filter_and_keep_columns(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF_SMALL)
+        out.write.parquet(str(tmp_path / str(k)))
+        out = spark.read.parquet(str(tmp_path / str(k)))
+        if k < 3:
+            assert out.columns == columns
+            kept = {r.doc_id for r in out.select("doc_id").collect()}
+            assert kept <= {r.doc_id for r in docs.select("doc_id").collect()} and 0 < len(kept) <= before
+            if name == "minhash_dedup":
+                want = {r.doc_id for r in near_groups(docs).collect() if r.kept}
+                assert kept == want
+            if name == "exact_dedup":
+                texts = [re.sub(r"[\x20\x09-\x0D]+", " ", r.text) for r in docs.select("text").collect()]
+                assert len(kept) == len(set(texts))
+        docs = out
+    whole = corpus_pipeline.run(spark, SF_SMALL)
+    assert sorted(map(tuple, whole.select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(
+        map(tuple, docs.select("doc_id", "piece", "length", "ids_crc32").collect()))
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{SF_SMALL}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_every_number_is_registered():
+    import __spark_entry__
+    names = __spark_entry__.queries()
+    assert {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11))
+    assert "pipeline" in names and set(Q.ORACLE_SQL) <= set(names)
+
+
+def test_sql_of_exact_dedup(spark):
+    from oracle.compare import compare, connect
+    df = Q.QUERIES["op2_exact_dedup"](spark, SF_SMALL)
+    rel = connect(SF_SMALL).sql(Q.ORACLE_SQL["op2_exact_dedup"])
+    assert compare(df.columns, [tuple(r) for r in df.collect()], rel.columns, rel.fetchall()) is None
+
+
+def test_library_works_without_the_subpackage(tmp_path):
+    """The entry module and the other queries import when these folders are not there."""
+    import shutil
+    keep = shutil.ignore_patterns("llm", "__pycache__", ".git", "corpus_pipeline.py", "*.json")
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=keep)
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n[:2] == 'op' for n in q); e.oracle_sql()"
+    env = {**os.environ, "PYTHONPATH": ""}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, env=env)
