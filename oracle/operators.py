@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.impressions import AD_WINDOW, CODES, FIELDS, FLAGS, MEDIA_OUT, STEPS, dom
+from oracle.impressions import AD_WINDOW, CODES, MEDIA_OUT, STEPS, dom, feature_columns
 from oracle.placements import _pub_day
 from oracle.sql import n_unique_sql, with_ctes
 
@@ -12,12 +12,6 @@ RAW = with_ctes(["placement_raw"])
 AUDIT = with_ctes(["bid_log", "notify_log", "ad_log", "event_log"], [STEPS])
 
 
-def _feature_cols() -> str:
-    return ", ".join(["substring(event_detail_desc, 1, 1) AS version_nbr"]
-                     + [f"substring(event_detail_desc, {i + 3}, 1) AS {n}" for i, n in enumerate(FLAGS)]
-                     + [f"split_part(event_detail_desc, ';', {i + 3}) AS {n}" for i, n in enumerate(FIELDS)])
-
-
 def queries() -> dict[str, str]:
     q = {}
     q["in_window"] = LOGS + f"SELECT transaction_nbr, bid_ts, operation_id FROM bid_log WHERE bid_ts {AD_WINDOW}"
@@ -69,7 +63,7 @@ SELECT publisher_id, "date",
        CASE WHEN measured_impressions <> 0 THEN viewed_impressions / measured_impressions END AS viewed_rate_or_null
 FROM pub_day"""
     q["domain_name"] = f"SELECT page_id, url, {dom('url')} AS domain FROM pages"
-    q["feature_split"] = LOGS + f"SELECT transaction_nbr, logrec_sk, {_feature_cols()} FROM event_log"
+    q["feature_split"] = LOGS + f"SELECT transaction_nbr, logrec_sk, {feature_columns()} FROM event_log"
     q["round_half_even"] = CLEAN + """
 SELECT "date", publisher_id, placement_id, in_view * measured_impressions / 100 AS raw_viewed,
        round_even(in_view * measured_impressions / 100, 0) AS viewed_half_even,
@@ -83,10 +77,16 @@ FROM placement_raw"""
     q["parse_date"] = RAW + """
 SELECT "date" AS date_text, CAST(try_strptime(regexp_extract("date", '^\\s*(\\d{1,2}-\\d{1,2}-\\d{4})', 1), '%m-%d-%Y') AS DATE) AS date_value FROM placement_raw"""
     q["nan_last_order"] = CLEAN + "," + _pub_day() + """
-SELECT publisher_id, mean_viewed_rate,
-       row_number() OVER (ORDER BY CASE WHEN isnan(mean_viewed_rate) THEN NULL ELSE mean_viewed_rate END
-                          DESC NULLS LAST, publisher_id) AS pos
-FROM (SELECT publisher_id, avg(viewed_rate) AS mean_viewed_rate FROM pub_day GROUP BY publisher_id) s"""
+SELECT publisher_id, "date", viewed_rate,
+       row_number() OVER (ORDER BY CASE WHEN isnan(viewed_rate) THEN NULL ELSE viewed_rate END
+                          DESC NULLS LAST, publisher_id, "date" NULLS LAST) AS pos
+FROM pub_day"""
+    q["split_log_ts"] = """
+SELECT event_id AS transaction_nbr, CAST(ts AS DATE) AS dmm_date,
+       CASE WHEN event_id % 13 = 0 THEN NULL
+            WHEN event_id % 17 = 0 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY
+            ELSE CAST(ts AS TIMESTAMP) END AS dmm_ts
+FROM events"""
     q["detail_snapshot"] = AUDIT + "SELECT * FROM detail"
     q["date_time_join"] = LOGS + "SELECT logrec_sk, event_ts FROM event_log"
     q["event_span"] = LOGS + """

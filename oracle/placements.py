@@ -45,6 +45,24 @@ stable AS (
   WHERE days >= 20)"""
 
 
+SUMMARY = """
+summary AS (
+  SELECT publisher_id, placement_id,
+         max(mean_imps) AS mean_imps, max(max_imps) AS max_imps, max(sd_imps) AS sd_imps,
+         min(min_imps) AS min_imps, max(days) AS days,
+         avg(measure_rate) AS mean_measure_rate, stddev_samp(measure_rate) AS sd_measure_rate,
+         max(measure_rate) AS max_measure_rate, min(measure_rate) AS min_measure_rate,
+         avg(in_view) AS mean_in_view, stddev_samp(in_view) AS sd_in_view,
+         max(in_view) AS max_in_view, min(in_view) AS min_in_view
+  FROM stable GROUP BY publisher_id, placement_id)
+"""
+
+# The scatter plots, as (x, y) columns of the summary.
+SCATTERS = (("mean_in_view", "sd_in_view"), ("mean_imps", "sd_in_view"), ("min_imps", "sd_in_view"),
+            ("days", "sd_in_view"), ("mean_measure_rate", "sd_measure_rate"),
+            ("mean_measure_rate", "mean_in_view"), ("sd_measure_rate", "sd_in_view"))
+
+
 def queries() -> dict[str, str]:
     q = {}
     q["placement_clean"] = W + "SELECT * FROM placement_clean"
@@ -70,17 +88,22 @@ SELECT publisher_id, count(*) AS days,
        avg(viewed_rate) AS mean_viewed_rate, stddev_samp(viewed_rate) AS sd_viewed_rate
 FROM pub_day GROUP BY publisher_id"""
     q["stable_placements"] = W + "," + _stable() + "\nSELECT * FROM stable"
-    q["placement_summary"] = W + "," + _stable() + """
-SELECT publisher_id, placement_id,
-       max(mean_imps) AS mean_imps, max(max_imps) AS max_imps, max(sd_imps) AS sd_imps,
-       min(min_imps) AS min_imps, max(days) AS days,
-       avg(measure_rate) AS mean_measure_rate, stddev_samp(measure_rate) AS sd_measure_rate,
-       max(measure_rate) AS max_measure_rate, min(measure_rate) AS min_measure_rate,
-       avg(in_view) AS mean_in_view, stddev_samp(in_view) AS sd_in_view,
-       max(in_view) AS max_in_view, min(in_view) AS min_in_view
-FROM stable GROUP BY publisher_id, placement_id"""
+    q["placement_summary"] = W + "," + _stable() + "," + SUMMARY + "SELECT * FROM summary"
+    q["stable_placements_order"] = W + "," + _stable() + """
+SELECT publisher_id, placement_id, "date", mean_imps,
+       row_number() OVER (ORDER BY mean_imps DESC NULLS LAST, publisher_id NULLS LAST, placement_id NULLS LAST,
+                          "date" NULLS LAST) AS pos
+FROM stable"""
+    q["placement_summary_order"] = W + "," + _stable() + "," + SUMMARY + """
+SELECT publisher_id, placement_id, sd_in_view,
+       row_number() OVER (ORDER BY sd_in_view DESC NULLS LAST, publisher_id NULLS LAST, placement_id NULLS LAST) AS pos
+FROM summary"""
+    q["key_order"] = W + f"""
+SELECT publisher_id, placement_id, {n_unique_sql('"date"')} AS days,
+       row_number() OVER (ORDER BY publisher_id NULLS LAST, placement_id NULLS LAST) AS pos
+FROM placement_clean GROUP BY publisher_id, placement_id"""
     q["placement_series"] = W + "," + _stable() + """
-SELECT * FROM stable WHERE publisher_id = 1 AND placement_id = 1"""
+SELECT * FROM stable WHERE publisher_id = '1' AND placement_id = '1'"""
     q["placement_totals"] = W + f"""
 SELECT publisher_id, placement_id, {n_unique_sql('"date"')} AS days,
        sum(measured_impressions) AS measured_impressions, sum(total_impressions) AS total_impressions,
@@ -108,13 +131,15 @@ dd AS (
          total_impressions, measured_impressions, viewed_impressions,
          {ratio_sql('measured_impressions', 'total_impressions')} AS measured_rate,
          {ratio_sql('viewed_impressions', 'measured_impressions')} AS viewed_rate
-  FROM d),""" + _stable() + """
-SELECT 'daily' AS chart, series, "date" AS x, y
+  FROM d),""" + _stable() + "," + SUMMARY + f""",
+named AS (SELECT *, coalesce(publisher_id, 'NA') || ' - ' || coalesce(placement_id, 'NA') AS series FROM stable),
+drilled AS (SELECT * FROM named WHERE publisher_id = '1' AND placement_id = '1')
+SELECT 'daily' AS chart, series, "date" AS day, CAST(NULL AS DOUBLE) AS x, y
 FROM dd UNPIVOT INCLUDE NULLS (y FOR series IN (publishers, pub_placements, total_impressions,
       measured_impressions, viewed_impressions, measured_rate, viewed_rate)) u
-UNION ALL
-SELECT 'stable_in_view' AS chart,
-       coalesce(CAST(publisher_id AS VARCHAR), 'NA') || ' - ' || coalesce(CAST(placement_id AS VARCHAR), 'NA') AS series,
-       "date" AS x, in_view AS y
-FROM stable"""
+UNION ALL SELECT 'stable_in_view', series, "date", NULL, in_view FROM named
+{" ".join(f"UNION ALL SELECT 'scatter', '{y} by {x}', NULL, CAST({x} AS DOUBLE), CAST({y} AS DOUBLE) FROM summary"
+          for x, y in SCATTERS)}
+UNION ALL SELECT 'drill_in_view', series, "date", NULL, in_view FROM drilled
+UNION ALL SELECT 'drill_scatter', series, NULL, measured_impressions, in_view FROM drilled"""
     return q

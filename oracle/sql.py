@@ -3,7 +3,7 @@
 The driver registers the parquet tables as views (lineitem, orders, events,
 pages, ...).  The log shapes are rebuilt here from those views with the same
 fixed rules as ``viewlens.sources.fixtures`` but written independently, in
-SQL, the way the original warehouse statements read.
+SQL.
 """
 
 from __future__ import annotations
@@ -24,8 +24,7 @@ placement_raw AS (
 CTE["placement_clean"] = """
 placement_clean0 AS (
   SELECT CAST(try_strptime(regexp_extract("date", '^\\s*(\\d{1,2}-\\d{1,2}-\\d{4})', 1), '%m-%d-%Y') AS DATE) AS "date",
-         TRY_CAST(publisher_id AS BIGINT) AS publisher_id,
-         TRY_CAST(placement_id AS BIGINT) AS placement_id,
+         publisher_id, placement_id,
          coalesce(TRY_CAST(replace(in_view, '%', '') AS DOUBLE), 0) AS in_view,
          coalesce(TRY_CAST(replace(measured_impressions, ',', '') AS DOUBLE), 0) AS measured_impressions,
          coalesce(TRY_CAST(replace(total_impressions, ',', '') AS DOUBLE), 0) AS total_impressions
@@ -41,7 +40,7 @@ CTE["bid_log"] = """
 bid_log AS (
   SELECT l.l_orderkey AS transaction_nbr,
          CASE WHEN l.l_orderkey % 10 < 9 THEN 1 ELSE 2 END AS company_id,
-         CAST(l.l_shipdate AS TIMESTAMP) AS bid_ts,
+         CAST(l.l_shipdate AS DATE) AS bid_date, CAST(l.l_shipdate AS TIMESTAMP) AS bid_ts,
          CAST(l.l_linenumber * 3 AS INTEGER) AS operation_id,
          p.url AS content_url
   FROM lineitem l
@@ -51,7 +50,7 @@ CTE["notify_log"] = """
 notify_log AS (
   SELECT l_orderkey AS transaction_nbr,
          CASE WHEN l_orderkey % 10 < 9 THEN 1 ELSE 2 END AS company_id,
-         CAST(l_shipdate AS TIMESTAMP) AS dmm_ts,
+         CAST(l_shipdate AS DATE) AS dmm_date, CAST(l_shipdate AS TIMESTAMP) AS dmm_ts,
          l_partkey % 60 AS media_size_id
   FROM lineitem WHERE l_returnflag = 'R')"""
 
@@ -63,7 +62,7 @@ orders_x AS (
 ad_log AS (
   SELECT o.o_orderkey AS transaction_nbr,
          CASE WHEN o.o_orderkey % 10 < 9 THEN 1 ELSE 2 END AS company_id,
-         CAST(o.o_orderdate AS DATE) AS dmm_date,
+         CAST(o.o_orderdate + to_seconds(o.o_custkey) AS DATE) AS dmm_date,
          CAST(o.o_orderdate AS TIMESTAMP) + to_seconds(o.o_custkey) AS dmm_ts,
          p.url AS content_url,
          CASE o.o_orderstatus WHEN 'P' THEN 3 WHEN 'F' THEN 12 ELSE 99 END AS status_id,

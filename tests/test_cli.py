@@ -21,6 +21,9 @@ def test_cli_impression_and_placements(spark, tmp_path):
     assert same_rows(q["clean_impressions"](spark, SF_SMALL), res["clean_impressions"])
     csv = tmp_path / "csv"
     logs.placements.coalesce(1).write.option("header", "true").csv(str(csv))
-    main(["placements", "--csv", str(csv), "--out", str(out)])
+    main(["placements", "--csv", str(csv), "--out", str(out), "--publisher", "1", "--placement", "1"])
+    assert same_rows(q["placement_series"](spark, SF_SMALL), spark.read.parquet(str(out / "placement_series")))
     assert same_rows(q["placement_summary"](spark, SF_SMALL), spark.read.parquet(str(out / "placement_summary")))
+    assert spark.read.parquet(str(out / "transactions_multiplicity")).count() > 0
+    assert spark.read.parquet(str(out / "issue_crosstab")).count() > 0
     assert same_rows(q["daily_summary"](spark, SF_SMALL), spark.read.parquet(str(out / "daily_summary")))

@@ -2,12 +2,13 @@
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
 from oracle.compare import compare, connect
+from oracle.registry import all_sql
+from viewlens.plans.registry import all_queries
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = all_queries()
+SQL = all_sql()
 
 
 @pytest.fixture(scope="module")

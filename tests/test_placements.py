@@ -28,11 +28,11 @@ def _write(tmp_path, text=CSV):
 def test_read_and_clean_like_r(spark, tmp_path):
     clean = P.placement_clean(read_placement_csv(spark, _write(tmp_path)))
     got = rows(clean)
-    assert got[0] == (dt.date(2014, 6, 10), 1, 10, 50.0, 1000.0, 2000.0, 500.0)
+    assert got[0] == (dt.date(2014, 6, 10), "1", "10", 50.0, 1000.0, 2000.0, 500.0)
     assert got[1][-1] == 1.0                  # 25 * 3 / 100 = 0.75 -> 1
     assert got[2][3:] == (0.0, 0.0, 1000.0, 0.0)   # missing values -> 0
     assert got[3][-1] == 3.0                  # 51 * 5 / 100 = 2.55 -> 3
-    assert got[4][:3] == (None, None, 10)     # bad date and id -> NA
+    assert got[4][:3] == (None, None, "10")     # bad date and id -> NA
 
 
 def test_half_even_viewed(spark):
@@ -58,10 +58,10 @@ def test_daily_summary_semantics(spark, tmp_path):
 def test_publisher_summary_nan_spreads_like_r(spark, tmp_path):
     clean = P.placement_clean(read_placement_csv(spark, _write(tmp_path)))
     pd_ = P.publisher_day(clean)
-    two = {r.publisher_id: r for r in pd_.where(F.col("publisher_id") == 2).collect()}
-    assert math.isnan(two[2].viewed_rate)     # 0 / 0
+    two = {r.publisher_id: r for r in pd_.where(F.col("publisher_id") == "2").collect()}
+    assert math.isnan(two["2"].viewed_rate)     # 0 / 0
     s = {r.publisher_id: r for r in P.publisher_summary(pd_).collect()}
-    assert math.isnan(s[2].mean_viewed_rate) and s[2].sd_viewed_rate is None and s[1].days == 2
+    assert math.isnan(s["2"].mean_viewed_rate) and s["2"].sd_viewed_rate is None and s["1"].days == 2
 
 
 def test_stable_and_summary_agree(spark):
@@ -89,8 +89,26 @@ def test_totals_and_publishers_per_placement(spark):
 
 def test_chart_series_shapes(spark):
     clean = P.placement_clean(placement_raw(spark, SF_SMALL))
-    cs = P.chart_series(clean)
+    stable, summary = P.stable_placements(clean, ordered=False), P.placement_summary(clean, ordered=False)
+    one = P.placement_series(clean, "1", "1")
+    cs = P.chart_series(P.daily_summary(clean), stable, summary, one)
     days = P.daily_summary(clean).count()
     by_chart = dict(rows(cs.groupBy("chart").count()))
     assert by_chart["daily"] == days * len(P.DAILY_SERIES)
     assert by_chart["stable_in_view"] == P.stable_placements(clean, ordered=False).count()
+    assert by_chart["scatter"] == summary.count() * len(P.SCATTER_PAIRS)
+    assert by_chart["drill_in_view"] == by_chart["drill_scatter"] == one.count() > 0
+    assert cs.where((F.col("day").isNull()) == (F.col("x").isNull())).count() == 0
+
+
+def test_ids_are_kept_as_read(spark):
+    """Ids that are not numbers stay apart, and grouped outputs come in key order on wish."""
+    rows_ = [("01-01-2020", p, "x", "50%", "5", "10") for p in ("pubB", "pubA", "pubA", None)]
+    raw = spark.createDataFrame(rows_, "date string, publisher_id string, placement_id string, in_view string, "
+                                "measured_impressions string, total_impressions string")
+    clean = P.placement_clean(raw)
+    assert P.daily_summary(clean, ordered=True).first().publishers == 3
+    assert [r.publisher_id for r in P.publisher_summary(P.publisher_day(clean), ordered=True).collect()] \
+        == ["pubA", "pubB", None]
+    assert [r[:2] for r in P.placement_totals(clean, ordered=True).collect()] \
+        == [("pubA", "x"), ("pubB", "x"), (None, "x")]

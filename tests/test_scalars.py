@@ -76,3 +76,18 @@ def test_duration_and_to_ts(spark):
     assert ts == dt.datetime(2014, 6, 10, 19, 0, 1)
     df2 = spark.sql("select timestamp_ntz'2024-01-01 00:00:00' s, timestamp_ntz'2024-01-01 00:00:01.5' e")
     assert df2.select(S.duration_us("s", "e")).first()[0] == 1_500_000
+
+
+def test_to_ts_adds_the_time_to_the_day(spark):
+    df = spark.createDataFrame([("2024-01-05", "10:20:30"), ("2024-01-05", "24:00:00"), ("2024-01-05", None),
+                                (None, "10:00:00"), ("2024-01-05", "noon"), ("2024-01-05", "1:2:3.000004")],
+                               "d string, t string").withColumn("d", F.to_date("d"))
+    got = [r[0] for r in df.select(S.to_ts("d", "t")).collect()]
+    day = dt.datetime(2024, 1, 5)
+    assert got == [day.replace(hour=10, minute=20, second=30), day + dt.timedelta(days=1), None, None, None,
+                   day.replace(hour=1, minute=2, second=3, microsecond=4)]
+
+
+def test_scheme_relative_urls_have_a_domain(spark):
+    df = spark.createDataFrame([("//a.com/x",), ("https://www.b.org:8/",), ("c.net/y",), ("/only/path",)], "u string")
+    assert [r[0] for r in df.select(S.domain_name("u")).collect()] == ["a.com", "b.org", "c.net", None]

@@ -53,3 +53,32 @@ SELECT transaction_nbr, event_detail_desc FROM (
   FROM skewed WHERE event_date BETWEEN DATE '2023-12-31' AND DATE '2024-01-31'
     AND event_id IN (10, 90) AND script_version_id IN (6, 7)) a WHERE rn = 1""")
     assert compare(first.columns, [tuple(r) for r in first.collect()], rel.columns, rel.fetchall()) is None
+
+
+def test_hot_ad_transaction_is_split_in_the_executed_plan(spark):
+    """Nine tenths of the ad groups on one transaction: the session's settings let AQE split that join."""
+    from viewlens.plans import impressions as IM
+    from viewlens.session import DEFAULT_CONF
+    cfg = fixture_config()
+    logs = FixtureLogs(spark, SF_SMALL)
+    hot = F.when(F.rand(1) < 0.9, F.lit(1).cast("bigint")).otherwise(F.col("transaction_nbr"))
+    ads = logs.ads.crossJoin(spark.range(40)).withColumn("transaction_nbr", hot) \
+        .withColumn("content_url", F.concat("content_url", F.md5(F.rand(2).cast("string")))).drop("id")
+    settings = {**{k: v for k, v in DEFAULT_CONF.items() if "skew" in k.lower()},
+                "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+                # a split needs several map tasks, which these small tables would be coalesced below
+                "spark.sql.adaptive.coalescePartitions.enabled": "false",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        tx = IM.transactions(ads, IM.bid_domains(logs.bids, cfg), IM.view_notify(logs.notify, cfg), cfg)
+        tx.collect()
+        plan = tx._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in plan, plan

@@ -5,9 +5,7 @@
         --event-start 2024-03-01 --event-end 2024-03-14 --tenant 42 --out OUT
     python -m viewlens placements --csv "in/*.csv" --out OUT
 
-Every dataset is published under ``--out``; the small audit reports (rows
-per transaction group, issue cross-tab, multi-row count) are printed, as the
-original pulled them to the analyst.
+Every dataset is published under ``--out``.
 """
 
 from __future__ import annotations
@@ -39,6 +37,8 @@ def parse_args(argv: list[str]) -> argparse.Namespace:
     im.add_argument("--statuses")
     im.add_argument("--operations")
     im.add_argument("--versions")
+    im.add_argument("--event-codes")
+    im.add_argument("--check-feature-length", action="store_true")
     im.add_argument("--exclude-media-sizes")
     im.add_argument("--exclude-campaigns")
     im.add_argument("--feature-start")
@@ -49,6 +49,8 @@ def parse_args(argv: list[str]) -> argparse.Namespace:
     pl.add_argument("--csv", required=True)
     pl.add_argument("--min-total", type=float, default=1000)
     pl.add_argument("--min-days", type=int, default=20)
+    pl.add_argument("--publisher", help="with --placement: also publish this placement's daily series")
+    pl.add_argument("--placement")
     pl.add_argument("--out", required=True)
     return ap.parse_args(argv)
 
@@ -56,6 +58,7 @@ def parse_args(argv: list[str]) -> argparse.Namespace:
 def config_from(a: argparse.Namespace) -> RunConfig:
     kw = {}
     for arg, field in (("statuses", "statuses"), ("operations", "operations"), ("versions", "versions"),
+                       ("event_codes", "event_codes"),
                        ("exclude_media_sizes", "excluded_media_sizes"),
                        ("exclude_campaigns", "excluded_campaigns")):
         v = _ints(getattr(a, arg))
@@ -63,6 +66,7 @@ def config_from(a: argparse.Namespace) -> RunConfig:
             kw[field] = v
     if a.feature_start and a.feature_end:
         kw["feature_window"] = (dt.datetime.fromisoformat(a.feature_start), dt.datetime.fromisoformat(a.feature_end))
+    kw["check_feature_length"] = a.check_feature_length
     return RunConfig(ad_start=dt.datetime.fromisoformat(a.ad_start), ad_end=dt.datetime.fromisoformat(a.ad_end),
                      event_start=dt.date.fromisoformat(a.event_start), event_end=dt.date.fromisoformat(a.event_end),
                      tenant=a.tenant, slack_days=a.slack_days, **kw)
@@ -73,25 +77,16 @@ def main(argv: list[str] | None = None) -> dict:
     from viewlens.session import get_session
     spark = get_session()
     if a.cmd == "impression":
-        from viewlens.plans.impressions import multi_row_count
         from viewlens.plans.jobs import impression_job
         from viewlens.sources.readers import read_log
         logs = {k: read_log(spark, kind, getattr(a, k), a.format)
                 for k, kind in (("ads", "ad"), ("bids", "bid"), ("notify", "notify"), ("events", "event"))}
-        out = impression_job(logs["ads"], logs["bids"], logs["notify"], logs["events"], config_from(a),
-                             buckets=a.buckets, out_dir=a.out)
-        out["transactions_multiplicity"].show(100, truncate=False)
-        out["issue_crosstab"].show(300, truncate=False)
-        multi_row_count(out["transactions"]).show()
-        return out
+        return impression_job(logs["ads"], logs["bids"], logs["notify"], logs["events"], config_from(a),
+                              buckets=a.buckets, out_dir=a.out)
     from viewlens.plans.jobs import placement_job
     from viewlens.sources.readers import read_placement_csv
-    from viewlens.sources.sinks import publish
-    out = placement_job(read_placement_csv(spark, a.csv), min_total=a.min_total, min_days=a.min_days, out_dir=a.out)
-    for name in ("daily_summary", "publisher_summary", "placement_summary", "placement_totals",
-                 "publishers_per_placement", "daily_rates", "chart_series"):
-        out[name] = publish(out[name], name, cluster_by=None, path=f"{a.out.rstrip('/')}/{name}")
-    return out
+    return placement_job(read_placement_csv(spark, a.csv), min_total=a.min_total, min_days=a.min_days, out_dir=a.out,
+                         drill=(a.publisher, a.placement) if a.publisher and a.placement else None)
 
 
 if __name__ == "__main__":

@@ -7,14 +7,9 @@ hard-coded as a default except the published code lists of the audit itself.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-# Fixed values of the audit (the reference's own code lists):
-# ad statuses and bid operations kept: 3, 12, 61
-# script versions audited: 6, 7
-# media sizes excluded: -10, 35, 37, 38, 40, 41, 42, 50, 51, 52, 53, 54
-# browser event codes rolled up: 10, 11, 20, 30, 40, 50, 60, 70, 80, 90
-# event codes that carry the feature string: 10, 90
+# Fixed values of the audit: its code lists.
 KEPT_STATUSES = (3, 12, 61)
 KEPT_OPERATIONS = (3, 12, 61)
 AUDITED_VERSIONS = (6, 7)
@@ -56,7 +51,6 @@ class RunConfig:
     feature_tenant: bool = False
     dedupe_bids: bool = False
     check_feature_length: bool = False
-    extra: dict = field(default_factory=dict, compare=False)
 
     @property
     def event_first_day(self) -> dt.date:

@@ -10,10 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "col", "to_ts", "shift_days", "duration_us", "day_of", "parse_date",
+    "col", "to_ts", "duration_us", "day_of", "parse_date",
     "strip_chars", "parse_number", "zero_if_missing", "round_half_even",
-    "label", "ratio", "flag", "domain_name", "first_non_null", "any_of",
-    "lit_ts", "lit_date", "R_NUMBER_PATTERN", "DOMAIN_PATTERN",
+    "label", "ratio", "flag", "domain_name", "any_of",
+    "lit_ts", "lit_date", "DOMAIN_PATTERN",
 ]
 
 
@@ -39,16 +39,15 @@ def lit_date(v: dt.date | str) -> Column:
 
 
 def to_ts(date_c: str | Column, time_c: str | Column) -> Column:
-    """Date plus ``HH:mm:ss`` time-of-day text -> ``timestamp_ntz``.
+    """Date plus ``HH:mm:ss[.ffffff]`` time-of-day text -> ``timestamp_ntz``.
 
-    Sources that keep date and time apart are combined here; ``date + time``
-    itself is not a valid Spark expression.
+    The time is added to the day as an interval, so ``24:00:00`` is the next
+    day's midnight.  NULL if either part is NULL or the time is not of that form.
     """
-    return F.to_timestamp_ntz(F.concat_ws(" ", col(date_c).cast("string"), col(time_c).cast("string")))
-
-
-def shift_days(d: str | Column, n: int) -> Column:
-    return F.date_add(col(d), n)
+    parts = F.split(col(time_c).cast("string"), ":")
+    number = lambda k, kind: F.try_element_at(parts, F.lit(k)).try_cast(kind)
+    since_midnight = F.make_dt_interval(F.lit(0), number(1, "int"), number(2, "int"), number(3, "decimal(18,6)"))
+    return F.when(F.size(parts) == 3, col(date_c).cast("date").cast("timestamp_ntz") + since_midnight)
 
 
 def duration_us(start: str | Column, end: str | Column) -> Column:
@@ -83,14 +82,11 @@ def strip_chars(c: str | Column, chars: str) -> Column:
     return F.translate(col(c), chars, "")
 
 
-# Numbers as R's as.numeric reads them: optional sign, decimal digits with an
-# optional fraction and exponent, or Inf / NaN; blanks around are allowed.
-# (Documentation of the accepted form; ``parse_number`` enforces it cheaply.)
-R_NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|Inf|inf|NaN)\s*$"
-
-
 def parse_number(c: str | Column) -> Column:
-    """Text -> double; anything R would not read as a number gives NULL.
+    """Text -> double; anything R's ``as.numeric`` would not read gives NULL.
+
+    That is an optional sign, decimal digits with an optional fraction and
+    exponent, or Inf / NaN, with blanks around.
 
     ``try_cast`` trims blanks and gives NULL for text that is not a number; the
     only spellings it accepts that R does not are a trailing ``d``/``f`` type
@@ -147,13 +143,10 @@ def any_of(preds: list[Column]) -> Column:
     return reduce(or_, preds)
 
 
-def first_non_null(*cols: str | Column) -> Column:
-    return F.coalesce(*[col(c) for c in cols])
-
-
 # Host of a URL: optional scheme, optional userinfo, then the host up to the
-# first ':', '/', '?' or '#'.  A bare "a.com/x" has no scheme and still matches.
-DOMAIN_PATTERN = r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^@/?#]*@)?([^:/?#]*)"
+# first ':', '/', '?' or '#'.  A bare "a.com/x" has no scheme and still matches,
+# and so does the scheme-relative "//a.com/x".
+DOMAIN_PATTERN = r"^(?:(?:[a-z][a-z0-9+.-]*:)?//)?(?:[^@/?#]*@)?([^:/?#]*)"
 
 
 def domain_name(url: str | Column) -> Column:

@@ -24,47 +24,35 @@ def min_max_check(pairs: Mapping[str, tuple[str, str]]) -> list[Column]:
     return out
 
 
-def representative(mins: Mapping[str, str] | None = None,
-                   maxs: Mapping[str, str] | None = None) -> list[Column]:
-    """One representative value per group: ``{source: out_name}``."""
-    return ([F.min(s).alias(o) for s, o in (mins or {}).items()]
-            + [F.max(s).alias(o) for s, o in (maxs or {}).items()])
-
-
 def span(ts: str, start: str = "start_events", end: str = "end_events") -> list[Column]:
     return [F.min(ts).alias(start), F.max(ts).alias(end)]
 
 
 # The per-code aggregates are written as SQL expression text: one call to the
 # JVM per column instead of one per sub-expression (there are 20 per roll-up).
-def event_counts(codes: Iterable[int], event: str = "event_id") -> list[Column]:
-    """Rows per event code: ``event_<code>s`` (0 when absent, never NULL)."""
-    return [F.expr(f"sum(CASE WHEN `{event}` = {int(c)} THEN 1 ELSE 0 END) AS event_{int(c)}s")
-            for c in codes]
+# ``only`` names a boolean column; rows where it is false count as not there.
+def _per_code(fn: str, code: int, value: str, event: str, only: str | None, name: str) -> Column:
+    inner = f"CASE WHEN `{event}` = {code} THEN {value} ELSE 0 END"
+    return F.expr(f"{fn}(CASE WHEN {only} THEN {inner} END) AS {name}" if only else f"{fn}({inner}) AS {name}")
 
 
-def event_times(codes: Iterable[int], ms: str = "elapsed_time_ms_meas",
-                event: str = "event_id") -> list[Column]:
-    """Largest elapsed time per event code, floored at 0: ``event_<code>_time``."""
-    return [F.expr(f"max(CASE WHEN `{event}` = {int(c)} THEN `{ms}` ELSE 0 END) AS event_{int(c)}_time")
-            for c in codes]
+def event_counts(codes: Iterable[int], event: str = "event_id", only: str | None = None) -> list[Column]:
+    """Rows per event code: ``event_<code>s`` (0 when absent)."""
+    return [_per_code("sum", int(c), "1", event, only, f"event_{int(c)}s") for c in codes]
 
 
-def counts_and_times(codes: Iterable[int], ms: str = "elapsed_time_ms_meas",
-                     event: str = "event_id") -> list[Column]:
-    """``event_counts`` and ``event_times`` interleaved per code."""
-    out = []
-    for c in codes:
-        out += event_counts([c], event) + event_times([c], ms, event)
-    return out
+def event_times(codes: Iterable[int], ms: str = "elapsed_time_ms_meas", event: str = "event_id",
+                only: str | None = None) -> list[Column]:
+    """Largest elapsed time per event code, floored at 0: ``event_<code>_time``."""
+    return [_per_code("max", int(c), f"`{ms}`", event, only, f"event_{int(c)}_time") for c in codes]
 
 
 def event_detail(code: int = 90, detail: str = "event_detail_desc", event: str = "event_id",
-                 name: str | None = None) -> list[Column]:
+                 only: str | None = None) -> list[Column]:
     """Min and max of the detail string over one event code (NULL if none)."""
-    name = name or f"event_{code}_detail"
-    v = F.when(F.col(event) == code, F.col(detail))
-    return [F.min(v).alias(name), F.max(v).alias(f"{name}_check")]
+    name, mine = f"event_{code}_detail", f"`{event}` = {code}" + (f" AND {only}" if only else "")
+    return [F.expr(f"{fn}(CASE WHEN {mine} THEN `{detail}` END) AS {out}")
+            for fn, out in (("min", name), ("max", f"{name}_check"))]
 
 
 def n_unique(*cols: str | Column) -> Column:
@@ -81,16 +69,6 @@ def mean_sd(c: str | Column, name: str) -> list[Column]:
     return [F.avg(col(c)).alias(f"mean_{name}"), F.stddev_samp(col(c)).alias(f"sd_{name}")]
 
 
-def min_max(c: str | Column, name: str) -> list[Column]:
-    return [F.min(col(c)).alias(f"min_{name}"), F.max(col(c)).alias(f"max_{name}")]
-
-
-def summarise_by(df: DataFrame, keys: list[str], aggs: Mapping[str, Column] | list[Column]) -> DataFrame:
-    """Group and aggregate; ``aggs`` maps output name to an aggregate expression."""
-    exprs = [e.alias(n) for n, e in aggs.items()] if isinstance(aggs, Mapping) else list(aggs)
-    return df.groupBy(*keys).agg(*exprs)
-
-
 def global_count(df: DataFrame, name: str = "n") -> DataFrame:
     """Row count as a one-row frame."""
     return df.agg(F.count(F.lit(1)).alias(name))

@@ -9,22 +9,43 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewlens.functions.scalars import any_of, col, lit_date, lit_ts
+from viewlens.functions.scalars import col, lit_date, lit_ts
 
 
 def in_window(ts: str | Column, start: dt.datetime, end: dt.datetime,
               date_col: str | Column | None = None) -> Column:
     """``start <= ts <= end``, both ends included.
 
-    ``date_col`` (the row's calendar day) adds the equivalent day bound, which
-    a date-partitioned source can prune on; the timestamp test alone cannot.
+    ``date_col`` is the day that the timestamp was made of (``day_of_ts``); it
+    adds a bound that a date-partitioned source can prune on, which the
+    timestamp test alone cannot.  One day of slack before the first leaves room
+    for the time of day ``24:00:00``, which belongs to the next day.
     """
     p = col(ts).between(lit_ts(start), lit_ts(end))
     if date_col is not None:
-        p = col(date_col).between(lit_date(start.date()), lit_date(end.date())) & p
+        p = col(date_col).between(lit_date(start.date() - dt.timedelta(days=1)), lit_date(end.date())) & p
     return p
 
 
+DAY_OF = "day_of"
+
+
+def day_column(day: str, ts: str) -> Column:
+    """The column ``day``, marked as the day that the timestamp ``ts`` was made of."""
+    return F.col(day).cast("date").alias(day, metadata={DAY_OF: ts})
+
+
+def day_of_ts(df: DataFrame, day: str, ts: str) -> str | None:
+    """``day`` if it is marked as the day of ``ts`` in this frame, else None.
+
+    Only then does a bound on the day follow from a window on the timestamp: a
+    day column of any other origin may differ from the timestamp's day.
+    """
+    if day in df.columns and df.schema[day].metadata.get(DAY_OF) == ts:
+        return day
+    return None
+
+
 def in_day_window(d: str | Column, start: dt.date, end: dt.date, slack_days: int = 1) -> Column:
     """``start - slack <= d <= end + slack`` on a date column."""
     lo = start - dt.timedelta(days=slack_days)
@@ -59,11 +80,6 @@ def differs(a: str | Column, b: str | Column) -> Column:
     return col(a) != col(b)
 
 
-def issue_predicate(tests: list[Column]) -> Column:
-    """OR of the tests; a row whose every test is NULL or false is kept out."""
-    return any_of(tests)
-
-
 def min_volume(df: DataFrame, c: str, n: float) -> DataFrame:
     return df.where(F.col(c) >= n)
 

@@ -6,19 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def attach_bids(ads: DataFrame, bids: DataFrame, keys=("transaction_nbr", "company_id")) -> DataFrame:
-    """Ads left-outer bids; bids need not be unique, so a row may fan out."""
-    return ads.join(bids, list(keys), "left")
-
-
 def attach_notify(df: DataFrame, notify: DataFrame, key: str = "transaction_nbr") -> DataFrame:
     return df.join(notify, key, "left")
 
 
-def attach_features(df: DataFrame, feats: DataFrame, key: str = "transaction_nbr") -> DataFrame:
-    return df.join(feats, key, "left")
-
-
 def without(df: DataFrame, blacklist: DataFrame, key: str = "transaction_nbr") -> DataFrame:
     """Rows of ``df`` whose key is not in ``blacklist`` (an anti join).
 

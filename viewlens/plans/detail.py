@@ -1,22 +1,21 @@
 """Impression detail and its audit: issue cross-tab, issue rows, clean rows.
 
-The detail joins three frames that are all hash-partitioned on
-``transaction_nbr`` (the transactions, the event roll-up, the features), so
-the two left joins add no shuffle of their own.
+The detail joins the transactions with the event summary, both grouped by
+``transaction_nbr``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewlens.config import RunConfig
-from viewlens.functions.features import FEATURE_COLUMNS
 from viewlens.functions.scalars import duration_us
-from viewlens.operators.filters import differs
-from viewlens.operators.joins import attach_features, without
-from viewlens.operators.windows import share_of_total
-from viewlens.plans.events import detail_rollup_columns
+from viewlens.operators.joins import without
+from viewlens.operators.windows import order_by, share_of_total
+from viewlens.plans.events import detail_rollup_columns, feature_columns
 
 T = "transaction_nbr"
 
@@ -31,23 +30,14 @@ TX_COLUMNS = {
 }
 
 
-def impression_detail(tx: DataFrame, rollup: DataFrame, feats: DataFrame, cfg: RunConfig) -> DataFrame:
-    """Each impression row with its event roll-up and parsed features (left
-    joins: rows without events keep NULLs), plus the event duration."""
-    b = tx.select(*[F.col(s).alias(d) for s, d in TX_COLUMNS.items()])
-    a = rollup.select(*detail_rollup_columns(cfg))
-    j = attach_features(b.join(a, T, "left"), feats)
-    return j.withColumn("events_duration_us", duration_us("start_events", "end_events"))
-
-
-def impression_detail_one_pass(tx: DataFrame, summary: DataFrame, cfg: RunConfig) -> DataFrame:
-    """``impression_detail`` from ``event_summary``: the roll-up and the
-    features of a transaction are one row there, so the detail is a single
-    left join on the key both sides are partitioned by.  Transactions with
-    features but no roll-up rows get NULL roll-up columns, and the other way
-    round, exactly as with the two separate left joins."""
+def impression_detail(tx: DataFrame, summary: DataFrame, cfg: RunConfig) -> DataFrame:
+    """Each impression row with its event roll-up and parsed features, plus the
+    event duration.  Roll-up and features of a transaction are one row of
+    ``event_summary``, so this is a single left join on the key both sides are
+    partitioned by; rows without events, or with only one of the two, keep
+    NULLs."""
     b = tx.select(*[F.col(s).alias(d) for s, d in TX_COLUMNS.items()])
-    a = summary.select(*detail_rollup_columns(cfg), *FEATURE_COLUMNS)
+    a = summary.select(*detail_rollup_columns(cfg), *feature_columns(cfg))
     return b.join(a, T, "left").withColumn("events_duration_us", duration_us("start_events", "end_events"))
 
 
@@ -85,8 +75,15 @@ def pair_flag_name(a: str, b: str) -> str:
     return f"{a}_vs_{b}"
 
 
+def _issue_flags(detail: DataFrame) -> dict[str, str]:
+    """The issue kinds that the detail's columns allow: without the counts of an
+    event code there is no test of them."""
+    have = set(detail.columns)
+    return {n: p for n, p in ISSUE_FLAGS.items() if set(re.findall(r"event_\d+s", p)) <= have}
+
+
 def issue_crosstab(detail: DataFrame, extra_flags: bool = False) -> DataFrame:
-    """Impressions per combination of the eight issue flags, with the percent
+    """Impressions per combination of the issue flags, with the percent
     of all impressions.  At most 256 groups, so the percent's window over the
     whole result is small.
 
@@ -94,55 +91,48 @@ def issue_crosstab(detail: DataFrame, extra_flags: bool = False) -> DataFrame:
     rows also test (the original cross-tab leaves them out), at most 2^15
     groups.
     """
-    flags = [_flag(p, n) for n, p in ISSUE_FLAGS.items()]
-    names = list(ISSUE_FLAGS)
+    tests = _issue_flags(detail)
     if extra_flags:
-        flags += [_flag(f"{a} <> {b}", pair_flag_name(a, b)) for a, b in AD_EVENT_PAIRS]
-        names += [pair_flag_name(a, b) for a, b in AD_EVENT_PAIRS]
-    g = detail.groupBy(*flags).agg(F.count(F.lit(1)).alias("n"))
-    return share_of_total(g, "n", "pct", scale=100).orderBy("pct", *names)
+        tests |= {pair_flag_name(a, b): f"{a} <> {b}" for a, b in AD_EVENT_PAIRS}
+    g = detail.groupBy(*[_flag(p, n) for n, p in tests.items()]).agg(F.count(F.lit(1)).alias("n"))
+    return order_by(share_of_total(g, "n", "pct", scale=100), "pct", ties=list(tests))
 
 
-def issue_sql() -> str:
-    """The 15 tests OR-ed: the eight issue kinds and the seven ad/event pairs."""
-    tests = list(ISSUE_FLAGS.values()) + [f"{a} <> {b}" for a, b in AD_EVENT_PAIRS]
+def issue_sql(detail: DataFrame) -> str:
+    """The tests OR-ed: the issue kinds and the seven ad/event pairs."""
+    tests = list(_issue_flags(detail).values()) + [f"{a} <> {b}" for a, b in AD_EVENT_PAIRS]
     return " OR ".join(f"({t})" for t in tests)
 
 
-def issue_tests() -> list:
-    return [F.expr(p) for p in ISSUE_FLAGS.values()] + [differs(a, b) for a, b in AD_EVENT_PAIRS]
+def issue_rows(detail: DataFrame) -> DataFrame:
+    """Impression rows with any inconsistency (NULL is no evidence)."""
+    return detail.where(F.expr(issue_sql(detail)))
 
 
-def issue_rows(detail: DataFrame) -> DataFrame:
-    """Impression rows with any inconsistency (15 tests; NULL is no evidence)."""
-    return detail.where(F.expr(issue_sql()))
+def clean_columns(cfg: RunConfig) -> list[str]:
+    """The published columns of clean rows, for the event codes of the run."""
+    codes = [c for k in cfg.event_codes for c in (f"event_{int(k)}s", f"event_{int(k)}_time")]
+    return [*CLEAN_AD_COLUMNS, *codes, *feature_columns(cfg), "events_duration_us"]
 
 
-CLEAN_COLUMNS = (
+# The published columns of clean rows before those of the event codes.
+CLEAN_AD_COLUMNS = (
     T, "content_url", "company_id", "dmm_date", "status_id", "media_size_id", "dmm_browser",
     "dmm_browser_major_version", "browser_minor_version_attr", "dmm_os", "dmm_device_desc",
     "dmm_device_type_attr", "dmm_publisher_id", "dmm_message_campaign_id", "view_notify",
-    "script_version_id", "dtm_id", "start_events", "end_events", "template_id",
-    "event_10s", "event_10_time", "event_11s", "event_11_time", "event_20s", "event_20_time",
-    "event_30s", "event_30_time", "event_40s", "event_40_time", "event_50s", "event_50_time",
-    "event_60s", "event_60_time", "event_70s", "event_70_time", "event_80s", "event_80_time",
-    "event_90s", "event_90_time", *FEATURE_COLUMNS, "events_duration_us")
+    "script_version_id", "dtm_id", "start_events", "end_events", "template_id")
 
 
-def clean_impressions(detail: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+def clean_impressions(detail: DataFrame, cfg: RunConfig, issues: DataFrame | None = None) -> DataFrame:
     """Detail rows of transactions with no issue row at all (an issue on one
     row removes the whole transaction), narrowed to the published columns.
 
-    With a published ``issues`` table the transactions are removed by an anti
-    join.  Without one, the detail is not built a second time for the
-    blacklist: a per-transaction "any issue" flag is a window over
-    ``transaction_nbr``, by which the detail is already hash-partitioned and
-    sorted (all its joins are on that key), so it adds no shuffle and no sort.
-    Rows without a transaction key are never blacklisted (they match nothing
-    in the original left-join form), so they keep flag 0.
+    The transactions are removed by an anti join with the issue rows' distinct
+    keys, taken from ``issues`` if it is published, else from the detail.  Rows
+    of a hot transaction are never gathered: the keys are reduced on the map
+    side, and a skewed join partition is split.  Rows without a transaction key
+    match nothing and are kept.
     """
-    if issues is not None:
-        return without(detail, issues.select(T).distinct(), T).select(*CLEAN_COLUMNS)
-    bad = F.max(F.expr(f"CASE WHEN {issue_sql()} THEN 1 ELSE 0 END")).over(Window.partitionBy(T))
-    bad = F.when(F.col(T).isNull(), F.lit(0)).otherwise(bad)
-    return detail.withColumn("_bad", bad).where(F.col("_bad") == 0).select(*CLEAN_COLUMNS)
+    if issues is None:
+        issues = issue_rows(detail)
+    return without(detail, issues.select(T).distinct(), T).select(*clean_columns(cfg))

@@ -1,22 +1,21 @@
-"""Browser-event side: the per-transaction roll-up and the feature string.
+"""Browser-event side: one summary of the event log per transaction.
 
-The roll-up is one ``groupBy(transaction_nbr)`` with partial aggregation, so a
-transaction with a huge share of the events is reduced on every mapper before
-the shuffle.  It is computed once in its wide form; the impression detail uses
-a subset of its columns.
+``event_summary`` reads the event log once and groups it once by transaction,
+with partial aggregation, so a transaction with a huge share of the events is
+reduced on every mapper before the shuffle.  The roll-up, the parsed features
+and the checked roll-up are projections of it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewlens.config import RunConfig
 from viewlens.functions.features import FEATURE_COLUMNS, parse_feature_string
 from viewlens.functions.scalars import day_of, duration_us
-from viewlens.operators.aggregates import counts_and_times, event_detail, span
-from viewlens.operators.filters import for_tenant, in_day_window, in_window, is_in
-from viewlens.operators.joins import attach_features
+from viewlens.operators.aggregates import event_counts, event_detail, event_times
+from viewlens.operators.filters import day_of_ts, for_tenant, in_day_window, in_window, is_in
 from viewlens.operators.windows import first_per_key
 
 T = "transaction_nbr"
@@ -26,69 +25,55 @@ FIRST_EVENT_COLUMNS = (T, "event_detail_desc", "browser_desc", "browser_major_ve
                        "device_type_attr", "device_manufacturer_attr")
 
 
-def feature_events(events: DataFrame, cfg: RunConfig) -> DataFrame:
+FEATURE_MIN_LENGTH = 35
+LENGTH_CHECK = "feature_string_ok"
+
+
+def feature_condition(events: DataFrame, cfg: RunConfig) -> Column:
     """Events that carry the feature string, in the feature window."""
     if cfg.feature_window:
-        w = in_window("event_ts", cfg.feature_window[0], cfg.feature_window[1], date_col="event_date")
+        w = in_window("event_ts", *cfg.feature_window, date_col=day_of_ts(events, "event_date", "event_ts"))
     else:
         w = in_day_window("event_date", cfg.event_start, cfg.event_end, cfg.slack_days)
     p = w & is_in("event_id", cfg.feature_event_codes) & is_in("script_version_id", cfg.versions)
-    if cfg.feature_tenant:
-        p = p & for_tenant("company_id", cfg.tenant)
-    return events.where(p)
-
+    return p & for_tenant("company_id", cfg.tenant) if cfg.feature_tenant else p
 
-def first_feature_event(events: DataFrame, cfg: RunConfig) -> DataFrame:
-    """Earliest feature-carrying event (by ``logrec_sk``) of each transaction."""
-    fe = feature_events(events, cfg).select(*FIRST_EVENT_COLUMNS, "logrec_sk")
-    first = first_per_key(fe, T, "logrec_sk", rank_col="r_n")
-    return first.select(*FIRST_EVENT_COLUMNS, "r_n")
 
+def rollup_condition(cfg: RunConfig) -> Column:
+    """Events of the widened date window, tenant and audited versions."""
+    return (in_day_window("event_date", cfg.event_start, cfg.event_end, cfg.slack_days)
+            & for_tenant("company_id", cfg.tenant) & is_in("script_version_id", cfg.versions))
 
-FEATURE_MIN_LENGTH = 35
 
+# The first feature event: by log key, events without one last, then by text.
+FIRST_EVENT_ORDER = ("logrec_sk", "event_detail_desc")
 
-def features(first: DataFrame, check_length: bool = False) -> DataFrame:
-    """The packed capability string split into 51 columns.
 
-    ``check_length`` adds ``feature_string_ok``: 1 when the string reaches the
-    last fixed flag offset (35), else 0 -- the flags of a shorter string are
-    partly blank.
-    """
-    cols = [T, *parse_feature_string("event_detail_desc")]
-    if check_length:
-        ok = F.when(F.length("event_detail_desc") >= FEATURE_MIN_LENGTH, 1).otherwise(0)
-        cols.append(ok.alias("feature_string_ok"))
-    return first.select(*cols)
+def first_feature_event(events: DataFrame, cfg: RunConfig) -> DataFrame:
+    """Earliest feature-carrying event (by ``logrec_sk``) of each transaction."""
+    fe = events.where(feature_condition(events, cfg)).select(*FIRST_EVENT_COLUMNS, "logrec_sk")
+    first = first_per_key(fe, T, list(FIRST_EVENT_ORDER), rank_col="r_n")
+    return first.select(*FIRST_EVENT_COLUMNS, "r_n")
 
 
-def rollup_events(events: DataFrame, cfg: RunConfig) -> DataFrame:
-    """Events of the widened date window, tenant and audited versions."""
-    return events.where(in_day_window("event_date", cfg.event_start, cfg.event_end, cfg.slack_days)
-                        & for_tenant("company_id", cfg.tenant)
-                        & is_in("script_version_id", cfg.versions))
+def _parsed(check_length: bool) -> list[Column]:
+    """The feature string's columns; ``check_length`` adds ``feature_string_ok``:
+    1 when it reaches the last fixed flag offset (35), 0 when the flags are
+    partly blank, NULL without a string."""
+    cols = parse_feature_string("event_detail_desc")
+    if check_length:
+        cols.append(F.when(F.length("event_detail_desc") >= FEATURE_MIN_LENGTH, 1)
+                    .when(F.col("event_detail_desc").isNotNull(), 0).alias(LENGTH_CHECK))
+    return cols
 
 
-def _mm(src: str, check: bool = True) -> list:
-    """The value (min) and, with ``check``, its check (max) of one attribute."""
-    out = [F.expr(f"min(`{src}`) AS `{src}`")]
-    return out + [F.expr(f"max(`{src}`) AS `{src}_check`")] if check else out
+def feature_columns(cfg: RunConfig) -> list[str]:
+    return [*FEATURE_COLUMNS, *([LENGTH_CHECK] if cfg.check_feature_length else [])]
 
 
-def event_rollup(events: DataFrame, cfg: RunConfig) -> DataFrame:
-    """Per transaction: version, ids, dimension values with their checks,
-    time span, per-code counts and longest times, the code-90 detail."""
-    ev = rollup_events(events, cfg)
-    aggs = (_mm("script_version_id") + _mm("dtm_id") + _mm("cookie_dtm_id")
-            + _mm("company_id", check=False)
-            + span(F.col("event_ts"))
-            + _mm("server_id") + _mm("publisher_id") + _mm("message_campaign_id") + _mm("template_id")
-            + _mm("browser_desc") + _mm("browser_major_version_attr") + _mm("browser_minor_version_attr")
-            + _mm("operating_system_desc") + _mm("device_desc") + _mm("device_type_attr")
-            + _mm("device_manufacturer_attr")
-            + counts_and_times(cfg.event_codes)
-            + event_detail(90))
-    return ev.groupBy(T).agg(*aggs)
+def features(first: DataFrame, check_length: bool = False) -> DataFrame:
+    """The packed capability string split into 51 columns."""
+    return first.select(T, *_parsed(check_length))
 
 
 # Columns of the roll-up that the impression detail carries (its lighter form).
@@ -108,33 +93,12 @@ def detail_rollup_columns(cfg: RunConfig) -> list[str]:
     return [T, *DETAIL_ROLLUP_COLUMNS, *codes, "event_90_detail", "event_90_detail_check"]
 
 
-def event_rollup_checked(rollup: DataFrame, feats: DataFrame, cfg: RunConfig) -> DataFrame:
-    """The full roll-up with the parsed features, kept when its first event's
-    day is in the widened window and its version is audited, plus the
-    duration between first and last event in microseconds."""
-    j = attach_features(rollup, feats)
-    j = j.where(in_day_window(day_of("start_events"), cfg.event_start, cfg.event_end, cfg.slack_days)
-                & is_in("script_version_id", cfg.versions))
-    return j.withColumn("events_duration_us", duration_us("start_events", "end_events"))
-
-
-__all__ = ["FEATURE_COLUMNS", "event_rollup", "event_rollup_checked", "features",
-           "first_feature_event", "feature_events", "detail_rollup_columns"]
-
-
-# ----------------------------------------------------------- one-pass summary
-def _rollup_condition(cfg: RunConfig):
-    return (in_day_window("event_date", cfg.event_start, cfg.event_end, cfg.slack_days)
-            & for_tenant("company_id", cfg.tenant) & is_in("script_version_id", cfg.versions))
-
-
-def _feature_condition(cfg: RunConfig):
-    if cfg.feature_window:
-        w = in_window("event_ts", cfg.feature_window[0], cfg.feature_window[1], date_col="event_date")
-    else:
-        w = in_day_window("event_date", cfg.event_start, cfg.event_end, cfg.slack_days)
-    p = w & is_in("event_id", cfg.feature_event_codes) & is_in("script_version_id", cfg.versions)
-    return p & for_tenant("company_id", cfg.tenant) if cfg.feature_tenant else p
+# Attributes with their check (maximum) in the roll-up, in its order.
+CHECKED_IDS = ("script_version_id", "dtm_id", "cookie_dtm_id")
+CHECKED_ATTRIBUTES = ("server_id", "publisher_id", "message_campaign_id", "template_id", "browser_desc",
+                      "browser_major_version_attr", "browser_minor_version_attr", "operating_system_desc",
+                      "device_desc", "device_type_attr", "device_manufacturer_attr")
+SUMMARY_MARKERS = ("has_rollup", "has_features")
 
 
 def event_summary(events: DataFrame, cfg: RunConfig) -> DataFrame:
@@ -143,52 +107,62 @@ def event_summary(events: DataFrame, cfg: RunConfig) -> DataFrame:
 
     Rows passing either filter are grouped once by transaction.  Each roll-up
     aggregate only sees rows passing the roll-up filter, so a transaction with
-    no such row gets NULL in every roll-up column (what the separate roll-up's
-    left join gives); ``has_rollup`` marks the others.  The first feature
-    event is the minimum of ``struct(logrec_sk, ...)`` over rows passing the
-    feature filter (the row with the smallest ``logrec_sk``, as
-    ``first_feature_event``), combined map-side like every other aggregate.
+    no such row gets NULL in every roll-up column; ``has_rollup`` marks the
+    others.  The feature string is that of the first feature event in the order
+    of ``first_feature_event``; only the string and its order go through the
+    shuffle.
     """
-    rc, fc = _rollup_condition(cfg), _feature_condition(cfg)
-    ev = events.where(rc | fc).withColumn("_r", rc).withColumn("_f", fc)
-    r = F.col("_r")
-    only = lambda c: F.when(r, F.col(c))
-    aggs = []
-    for src, check in (("script_version_id", True), ("dtm_id", True), ("cookie_dtm_id", True),
-                       ("company_id", False)):
-        aggs.append(F.min(only(src)).alias(src))
-        if check:
-            aggs.append(F.max(only(src)).alias(f"{src}_check"))
-    aggs += [F.min(only("event_ts")).alias("start_events"), F.max(only("event_ts")).alias("end_events")]
-    for src in ("server_id", "publisher_id", "message_campaign_id", "template_id", "browser_desc",
-                "browser_major_version_attr", "browser_minor_version_attr", "operating_system_desc",
-                "device_desc", "device_type_attr", "device_manufacturer_attr"):
-        aggs += [F.min(only(src)).alias(src), F.max(only(src)).alias(f"{src}_check")]
+    marked = events.where(rollup_condition(cfg) | feature_condition(events, cfg)) \
+        .withColumn("_r", rollup_condition(cfg)).withColumn("_f", feature_condition(events, cfg))
+
+    # SQL text: one call to the JVM per column instead of one per sub-expression
+    def both(c: str) -> list[Column]:
+        return [F.expr(f"min(CASE WHEN _r THEN `{c}` END) AS `{c}`"),
+                F.expr(f"max(CASE WHEN _r THEN `{c}` END) AS `{c}_check`")]
+    aggs = [x for c in CHECKED_IDS for x in both(c)]
+    aggs += [F.expr(f"{fn}(CASE WHEN _r THEN {c} END) AS {name}") for fn, c, name in (
+        ("min", "company_id", "company_id"), ("min", "event_ts", "start_events"), ("max", "event_ts", "end_events"))]
+    aggs += [x for c in CHECKED_ATTRIBUTES for x in both(c)]
     for c in cfg.event_codes:
-        aggs.append(F.expr(f"sum(CASE WHEN _r THEN CASE WHEN event_id = {int(c)} THEN 1 ELSE 0 END END)"
-                           f" AS event_{int(c)}s"))
-        aggs.append(F.expr(f"max(CASE WHEN _r THEN CASE WHEN event_id = {int(c)} THEN elapsed_time_ms_meas"
-                           f" ELSE 0 END END) AS event_{int(c)}_time"))
-    d90 = F.when(r & (F.col("event_id") == 90), F.col("event_detail_desc"))
-    aggs += [F.min(d90).alias("event_90_detail"), F.max(d90).alias("event_90_detail_check")]
-    aggs.append(F.max(F.when(r, F.lit(1))).alias("has_rollup"))
-    aggs.append(F.max(F.when(F.col("_f"), F.lit(1))).alias("has_features"))
-    first = F.struct(*[F.col(c) for c in ("logrec_sk", *FIRST_EVENT_COLUMNS[1:])])
-    aggs.append(F.min(F.when(F.col("_f"), first)).alias("_first"))
-    g = ev.groupBy(T).agg(*aggs)
-    g = g.withColumn("event_detail_desc", F.col("_first.event_detail_desc"))
-    return g.select("*", *parse_feature_string("event_detail_desc")).drop("_first", "event_detail_desc")
+        aggs += event_counts([c], only="_r") + event_times([c], only="_r")
+    aggs += event_detail(90, only="_r")
+    aggs += [F.max(F.when(F.col(m), 1)).alias(name) for m, name in zip(("_r", "_f"), SUMMARY_MARKERS)]
+    # a struct compares field by field, and false sorts before true: NULLs come last
+    order = F.struct(*[x for c in FIRST_EVENT_ORDER for x in (F.col(c).isNull(), F.col(c))])
+    aggs.append(F.min_by("event_detail_desc", F.when(F.col("_f"), order)).alias("event_detail_desc"))
+    summary = marked.groupBy(T).agg(*aggs)
+    return summary.select("*", *_parsed(cfg.check_feature_length)).drop("event_detail_desc")
+
+
+def event_rollup(events: DataFrame, cfg: RunConfig) -> DataFrame:
+    """Per transaction: version, ids, dimension values with their checks,
+    time span, per-code counts and longest times, the code-90 detail."""
+    return rollup_from_summary(event_summary(events, cfg), cfg)
 
 
 def rollup_from_summary(summary: DataFrame, cfg: RunConfig) -> DataFrame:
-    """``event_rollup`` rows out of ``event_summary``."""
-    cols = [c for c in summary.columns if c not in FEATURE_COLUMNS and c not in SUMMARY_MARKERS]
-    return summary.where(F.col("has_rollup") == 1).select(*cols)
+    """The roll-up's rows and columns of ``event_summary``."""
+    other = {*feature_columns(cfg), *SUMMARY_MARKERS}
+    return summary.where("has_rollup = 1").select(*[c for c in summary.columns if c not in other])
 
 
 def features_from_summary(summary: DataFrame) -> DataFrame:
     """``features`` rows out of ``event_summary``."""
-    return summary.where(F.col("has_features") == 1).select(T, *FEATURE_COLUMNS)
+    return summary.where("has_features = 1").select(
+        T, *[c for c in summary.columns if c in FEATURE_COLUMNS or c == LENGTH_CHECK])
 
 
-SUMMARY_MARKERS = ("has_rollup", "has_features")
+def event_rollup_checked(summary: DataFrame, cfg: RunConfig) -> DataFrame:
+    """The full roll-up with the parsed features, kept when its first event's
+    day is in the widened window and its version is audited, plus the
+    duration between first and last event in microseconds.
+
+    A filter and projection of ``event_summary``.  The features belong to the
+    transaction by its number, so rows without one have none."""
+    kept = summary.where("has_rollup = 1").where(
+        in_day_window(day_of("start_events"), cfg.event_start, cfg.event_end, cfg.slack_days)
+        & is_in("script_version_id", cfg.versions))
+    parsed = feature_columns(cfg)
+    rollup = [c for c in summary.columns if c not in {*parsed, *SUMMARY_MARKERS}]
+    return kept.select(*rollup, *[F.when(F.col(T).isNotNull(), F.col(c)).alias(c) for c in parsed],
+                       duration_us("start_events", "end_events").alias("events_duration_us"))

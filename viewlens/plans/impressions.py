@@ -14,23 +14,17 @@ from pyspark.sql import functions as F
 from viewlens.config import RunConfig
 from viewlens.functions.scalars import domain_name
 from viewlens.operators.aggregates import global_count, multiplicity
-from viewlens.operators.filters import for_tenant, in_window, is_in, multi_row, not_in
+from viewlens.operators.filters import day_of_ts, for_tenant, in_window, is_in, multi_row, not_in
 from viewlens.operators.joins import attach_notify
 from viewlens.operators.windows import share_of_total
 
 T = "transaction_nbr"
 
 
-def _day(df: DataFrame, name: str) -> str | None:
-    """The log's calendar-day column, when it has one: testing it beside the
-    timestamp lets a date-partitioned log skip whole partitions."""
-    return name if name in df.columns else None
-
-
 def bid_domains(bids: DataFrame, cfg: RunConfig) -> DataFrame:
     """In-window bids of the tenant with a kept operation, URL reduced to its
     domain.  Not deduplicated."""
-    b = bids.where(in_window("bid_ts", cfg.ad_start, cfg.ad_end, date_col=_day(bids, "bid_date"))
+    b = bids.where(in_window("bid_ts", cfg.ad_start, cfg.ad_end, date_col=day_of_ts(bids, "bid_date", "bid_ts"))
                    & for_tenant("company_id", cfg.tenant)
                    & is_in("operation_id", cfg.operations))
     return b.select("company_id", T, domain_name("content_url").alias("content_url"))
@@ -38,7 +32,7 @@ def bid_domains(bids: DataFrame, cfg: RunConfig) -> DataFrame:
 
 def view_notify(notify: DataFrame, cfg: RunConfig) -> DataFrame:
     """One row per notified transaction: marker 1 and the notification count."""
-    n = notify.where(in_window("dmm_ts", cfg.ad_start, cfg.ad_end, date_col=_day(notify, "dmm_date"))
+    n = notify.where(in_window("dmm_ts", cfg.ad_start, cfg.ad_end, date_col=day_of_ts(notify, "dmm_date", "dmm_ts"))
                      & for_tenant("company_id", cfg.tenant)
                      & not_in("media_size_id", cfg.excluded_media_sizes))
     g = n.groupBy(T).agg(F.count(F.lit(1)).alias("view_notify_nrows"))
@@ -48,13 +42,14 @@ def view_notify(notify: DataFrame, cfg: RunConfig) -> DataFrame:
 def served_ads(ads: DataFrame, cfg: RunConfig) -> DataFrame:
     """Ad-serve rows of the window, tenant, kept statuses, minus excluded media
     sizes and campaigns (``NOT IN`` also drops NULLs)."""
-    return ads.where(in_window("dmm_ts", cfg.ad_start, cfg.ad_end, date_col=_day(ads, "dmm_date"))
+    return ads.where(in_window("dmm_ts", cfg.ad_start, cfg.ad_end, date_col=day_of_ts(ads, "dmm_date", "dmm_ts"))
                      & for_tenant("company_id", cfg.tenant)
                      & is_in("status_id", cfg.statuses)
                      & not_in("media_size_id", cfg.excluded_media_sizes)
                      & not_in("message_campaign_id", cfg.excluded_campaigns))
 
 
+# The published columns in their order.
 TRANSACTION_COLUMNS = (
     T, "dmm_url", "bid_url", "content_url", "company_id", "dmm_date", "dmm_date_check",
     "company_id_dmm", "company_id_check", "status_id", "status_id_check", "media_size_id",
@@ -63,7 +58,7 @@ TRANSACTION_COLUMNS = (
     "publisher_id", "message_campaign_id", "user_ip", "nrows", "view_notify", "server_id")
 
 
-# (function, ad-log column, output): "value" (min) and "check" (max) pairs and
+# Fixed values: (function, ad-log column, output): "value" (min) and "check" (max) pairs and
 # single representatives of each (transaction, ad URL, company) group.
 AD_GROUP_AGGS = (
     ("min", "dmm_date", "dmm_date"), ("max", "dmm_date", "dmm_date_check"),
@@ -111,7 +106,7 @@ def transactions(ads: DataFrame, bids: DataFrame, notify: DataFrame, cfg: RunCon
 def transactions_multiplicity(tx: DataFrame) -> DataFrame:
     """How many transaction groups had each row count, with the share of all
     groups and its complement, by row count.  The share is a window over the
-    whole histogram, which has one row per distinct ``nrows`` (a handful)."""
+    whole histogram, which has one row per distinct ``nrows``."""
     h = share_of_total(multiplicity(tx, "nrows", "trans"), "trans", "prop_trans")
     return h.withColumn("prop_rest", 1 - F.col("prop_trans")).orderBy("nrows")
 

@@ -16,84 +16,87 @@ from viewlens.plans import impressions as IM
 from viewlens.plans import placements as P
 from viewlens.plans import reports as RP
 from viewlens.session import table_path
-from viewlens.sources.sinks import publish
+from viewlens.sources.sinks import publish, publish_view
 
 
 def impression_job(ads: DataFrame, bids: DataFrame, notify: DataFrame, events: DataFrame,
                    cfg: RunConfig, prefix: str = "", buckets: int | None = None,
                    out_dir: str | None = None) -> dict[str, DataFrame]:
-    """The whole impression audit.  Returns the published frames by name;
-    the two small audit reports (multiplicity, issue cross-tab) are returned
-    unwritten for the caller to collect.
+    """The whole impression audit; every dataset is published and returned by name.
 
     ``buckets``: publish transactions, the event summary (roll-up and
     features), detail and issue rows as catalog tables bucketed (and sorted)
-    by ``transaction_nbr`` into that many buckets, stored in the shared work
-    folder.  The detail then joins its inputs, and the clean rows drop the
-    issue transactions, with no shuffle at all.  Pick it so one bucket is ~200 MB
-    of transactions.
+    by ``transaction_nbr`` into that many buckets, analyzed, stored in the
+    shared work folder.  The detail then joins its inputs, and the clean rows
+    drop the issue transactions, with no shuffle at all.  Pick it so one bucket
+    is ~200 MB of transactions.
     ``out_dir``: folder for the published tables (default: the shared work
     folder).
+
+    Every frame here comes out of a grouping or join on ``transaction_nbr`` or
+    is read from a table laid out by it, so it is written as it is; only
+    bucketing shuffles once more.
     """
     name = lambda n: f"{prefix}{n}"
     where = lambda n: f"{out_dir.rstrip('/')}/{name(n)}" if out_dir else None
     out: dict[str, DataFrame] = {}
 
-    def keyed(df: DataFrame, n: str) -> DataFrame:
-        if buckets:
-            return publish(df, name(n), as_table=True, buckets=buckets,
-                           path=where(n) or table_path(df.sparkSession, name(n)))
-        return publish(df, name(n), path=where(n))
+    def put(n: str, df: DataFrame, keyed: bool = False) -> DataFrame:
+        if keyed and buckets:
+            out[n] = publish(df, name(n), as_table=True, buckets=buckets, analyze=True,
+                             path=where(n) or table_path(df.sparkSession, name(n)))
+        else:
+            out[n] = publish(df, name(n), laid_out=True, path=where(n))
+        return out[n]
 
     b = IM.bid_domains(bids, cfg)
     n = IM.view_notify(notify, cfg)
-    tx = keyed(IM.transactions(ads, b, n, cfg), "transactions")
-    out["transactions"] = tx
-    out["transactions_multiplicity"] = IM.transactions_multiplicity(tx)
-    out["multi_row_transactions"] = publish(IM.multi_row_transactions(tx), name("multi_row_transactions"),
-                                            path=where("multi_row_transactions"))
+    tx = put("transactions", IM.transactions(ads, b, n, cfg), keyed=True)
+    put("transactions_multiplicity", IM.transactions_multiplicity(tx))
+    put("multi_row_transactions", IM.multi_row_transactions(tx))
+    put("multi_row_count", IM.multi_row_count(tx))
     # roll-up and first feature event from one scan and one shuffle of the events
-    summary = keyed(EV.event_summary(events, cfg), "event_summary")
-    rollup, feats = EV.rollup_from_summary(summary, cfg), EV.features_from_summary(summary)
-    out["event_summary"] = summary
-    out["features"] = feats
-    out["event_rollup_checked"] = publish(EV.event_rollup_checked(rollup, feats, cfg),
-                                          name("event_rollup_checked"), path=where("event_rollup_checked"))
-    d = D.impression_detail_one_pass(tx, summary, cfg)
-    detail = keyed(d, "impression_detail") if buckets else \
-        RP.detail_snapshot(d, name("impression_detail"), path=where("impression_detail"))
-    out["impression_detail"] = detail
-    out["issue_crosstab"] = D.issue_crosstab(detail)
-    issues = keyed(D.issue_rows(detail), "issue_rows")
-    out["issue_rows"] = issues
-    clean = publish(D.clean_impressions(detail, issues), name("clean_impressions"),
-                    path=where("clean_impressions"))
-    out["clean_impressions"] = clean
-    out["browser_summary"] = publish(RP.browser_summary(clean), name("browser_summary"),
-                                     cluster_by=None, single_file=True, path=where("browser_summary"))
+    summary = put("event_summary", EV.event_summary(events, cfg), keyed=True)
+    out["features"] = EV.features_from_summary(summary)
+    put("event_rollup_checked", EV.event_rollup_checked(summary, cfg))
+    detail = D.impression_detail(tx, summary, cfg)
+    if buckets:
+        detail = put("impression_detail", detail, keyed=True)
+    else:
+        detail = out["impression_detail"] = RP.detail_snapshot(
+            detail, name("impression_detail"), path=where("impression_detail"), laid_out=True)
+    put("issue_crosstab", D.issue_crosstab(detail))
+    issues = put("issue_rows", D.issue_rows(detail), keyed=True)
+    clean = put("clean_impressions", D.clean_impressions(detail, cfg, issues))
+    if cfg.tenant is not None:
+        publish_view(clean, name("clean_impressions_of_tenant"), f"company_id = {int(cfg.tenant)}")
+    put("browser_summary", RP.browser_summary(clean, cfg))
     return out
 
 
-def placement_job(raw: DataFrame, prefix: str = "", min_total: float = 1000,
-                  min_days: int = 20, out_dir: str | None = None) -> dict[str, DataFrame]:
-    """The whole placement analysis from the file as read.  The cleaned rows,
-    publisher-days and stable placements are published (``out_dir`` or the
-    shared work folder); the summaries are returned as frames."""
-    name = lambda n: f"{prefix}{n}"
-    where = lambda n: f"{out_dir.rstrip('/')}/{name(n)}" if out_dir else None
-    clean = publish(P.placement_clean(raw), name("placement_clean"), cluster_by=None, path=where("placement_clean"))
-    pub_day = publish(P.publisher_day(clean), name("publisher_day"), cluster_by=None, path=where("publisher_day"))
-    totals = P.placement_totals(clean)
-    return {
-        "placement_clean": clean,
-        "daily_summary": P.daily_summary(clean),
-        "publisher_day": pub_day,
-        "publisher_summary": P.publisher_summary(pub_day),
-        "stable_placements": publish(P.stable_placements(clean, min_total, min_days, ordered=False),
-                                     name("stable_placements"), cluster_by=None, path=where("stable_placements")),
-        "placement_summary": P.placement_summary(clean, min_total, min_days),
-        "placement_totals": totals,
-        "publishers_per_placement": P.publishers_per_placement(totals),
-        "daily_rates": P.daily_rates(clean),
-        "chart_series": P.chart_series(clean, min_total, min_days),
-    }
+def placement_job(raw: DataFrame, prefix: str = "", min_total: float = 1000, min_days: int = 20,
+                  out_dir: str | None = None, drill: tuple[str, str] | None = None) -> dict[str, DataFrame]:
+    """The whole placement analysis from the file as read; every dataset is published.
+
+    ``drill``: a publisher id and placement id whose daily series is published too."""
+    out: dict[str, DataFrame] = {}
+
+    def put(n: str, df: DataFrame) -> DataFrame:
+        path = f"{out_dir.rstrip('/')}/{prefix}{n}" if out_dir else None
+        out[n] = publish(df, f"{prefix}{n}", cluster_by=None, path=path)
+        return out[n]
+
+    clean = put("placement_clean", P.placement_clean(raw))
+    daily = put("daily_summary", P.daily_summary(clean, ordered=True))
+    pub_day = put("publisher_day", P.publisher_day(clean))
+    put("publisher_summary", P.publisher_summary(pub_day))
+    stable = put("stable_placements", P.stable_placements(clean, min_total, min_days))
+    summary = put("placement_summary", P.placement_summary(clean, min_total, min_days))
+    totals = put("placement_totals", P.placement_totals(clean))
+    put("publishers_per_placement", P.publishers_per_placement(totals))
+    put("daily_rates", P.daily_rates(clean, ordered=True))
+    series = None
+    if drill:
+        series = put("placement_series", P.placement_series(clean, *drill, min_total, min_days))
+    put("chart_series", P.chart_series(daily, stable, summary, series))
+    return out

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from viewlens.functions.scalars import (label, parse_date, parse_number, ratio,
                                         round_half_even, strip_chars, zero_if_missing)
-from viewlens.operators.aggregates import count_at_least, mean_sd, n_unique
+from viewlens.operators.aggregates import count_at_least, mean_sd
 from viewlens.operators.filters import drill, min_days, min_volume
 from viewlens.operators.windows import order_by, with_group_stats
 
@@ -22,14 +22,13 @@ TOT, MEAS, VIEW, INV = "total_impressions", "measured_impressions", "viewed_impr
 
 
 def placement_clean(raw: DataFrame, date_format: str = "M-d-yyyy") -> DataFrame:
-    """Typed rows: date parsed (bad -> NULL), ``%`` and thousands separators
+    """Typed rows: ids as read, date parsed (bad -> NULL), ``%`` and thousands separators
     stripped, missing numbers -> 0, plus viewed = round-half-even(in_view x
     measured / 100)."""
     num = lambda c, chars: zero_if_missing(parse_number(strip_chars(c, chars)))
     df = raw.select(
         parse_date(DAY, date_format).alias(DAY),
-        F.col(PUB).try_cast("bigint").alias(PUB),
-        F.col(PLC).try_cast("bigint").alias(PLC),
+        F.col(PUB), F.col(PLC),
         num(INV, "%").alias(INV),
         num(MEAS, ",").alias(MEAS),
         num(TOT, ",").alias(TOT),
@@ -51,40 +50,60 @@ def _rates(df: DataFrame, on_zero: str) -> DataFrame:
               .withColumn("viewed_rate", ratio(VIEW, MEAS, on_zero)))
 
 
-def daily_summary(clean: DataFrame, on_zero: str = "ieee") -> DataFrame:
+THRESHOLDS = ("more_100_imps", "more_100_meas", "more_1000_imps", "more_1000_meas")
+
+
+def _sums(*counts: str) -> list:
+    return [F.sum(c).alias(c) for c in (*counts, TOT, MEAS, VIEW)]
+
+
+def _days_and_publishers(clean: DataFrame, *aggs) -> DataFrame:
+    """Grouped by (day, publisher, placement), then by (day, publisher): the
+    groups of each level are the distinct values the next one counts, NULL
+    included, so no distinct count expands the rows."""
+    level = clean.groupBy(DAY, PUB, PLC).agg(F.sum(TOT).alias(TOT), F.sum(MEAS).alias(MEAS),
+                                             F.sum(VIEW).alias(VIEW), *aggs)
+    counts = THRESHOLDS if aggs else ()
+    return level.groupBy(DAY, PUB).agg(F.count(F.lit(1)).alias("pub_placements"), *_sums(*counts))
+
+
+def _in_key_order(df: DataFrame, ordered: bool, *keys: str) -> DataFrame:
+    """Grouped rows in the order of their keys, NULL last, on wish."""
+    return order_by(df, list(keys)) if ordered else df
+
+
+def daily_summary(clean: DataFrame, on_zero: str = "ieee", ordered: bool = False) -> DataFrame:
     """Per day: publishers, publisher-placements, volumes, rates, threshold counts."""
-    g = clean.groupBy(DAY).agg(
-        n_unique(PUB).alias("publishers"),
-        n_unique(PUB, PLC).alias("pub_placements"),
-        F.sum(TOT).alias(TOT), F.sum(MEAS).alias(MEAS), F.sum(VIEW).alias(VIEW),
-        *_volume_aggs())
-    g = _rates(g, on_zero)
+    g = _days_and_publishers(clean, *_volume_aggs()).groupBy(DAY).agg(
+        F.count(F.lit(1)).alias("publishers"), *_sums("pub_placements", *THRESHOLDS))
+    g = _in_key_order(_rates(g, on_zero), ordered, DAY)
     return g.select(DAY, "publishers", "pub_placements", TOT, MEAS, VIEW,
                     "measured_rate", "viewed_rate", "more_100_imps", "more_100_meas",
                     "more_1000_imps", "more_1000_meas")
 
 
-def publisher_day(clean: DataFrame, on_zero: str = "ieee") -> DataFrame:
+def publisher_day(clean: DataFrame, on_zero: str = "ieee", ordered: bool = False) -> DataFrame:
     """Per publisher and day: placement rows, volumes, rates, threshold counts."""
     g = clean.groupBy(PUB, DAY).agg(
         F.count(F.lit(1)).alias("placements"),
         F.sum(MEAS).alias(MEAS), F.sum(TOT).alias(TOT), F.sum(VIEW).alias(VIEW),
         *_volume_aggs())
-    g = _rates(g, on_zero)
+    g = _in_key_order(_rates(g, on_zero), ordered, PUB, DAY)
     return g.select(PUB, DAY, "placements", MEAS, TOT, VIEW, "measured_rate", "viewed_rate",
                     "more_100_imps", "more_100_meas", "more_1000_imps", "more_1000_meas")
 
 
-def publisher_summary(pub_day: DataFrame) -> DataFrame:
+def publisher_summary(pub_day: DataFrame, ordered: bool = False) -> DataFrame:
     """Per publisher over its days: day count, placement spread, mean and sd of
     volumes and of the daily rates (unweighted means of daily rates)."""
-    return pub_day.groupBy(PUB).agg(
+    g = pub_day.groupBy(PUB).agg(
         F.count(F.lit(1)).alias("days"),
         F.avg("placements").alias("mean_placements"),
         F.min("placements").alias("min_placements"),
         F.max("placements").alias("max_placements"),
         *mean_sd(MEAS, "measured"), *mean_sd(TOT, "total"), *mean_sd(VIEW, "viewed"),
         *mean_sd("measured_rate", "measured_rate"), *mean_sd("viewed_rate", "viewed_rate"))
+    return _in_key_order(g, ordered, PUB)
 
 
 GROUP_STATS = {"mean_imps": "mean", "sd_imps": "sd", "max_imps": "max",
@@ -124,42 +143,72 @@ def placement_summary(clean: DataFrame, min_total: float = 1000, min_days_: int
     return order_by(g, "sd_in_view", desc=True, ties=[PUB, PLC]) if ordered else g
 
 
-def placement_series(stable: DataFrame, publisher_id: int, placement_id: int) -> DataFrame:
-    """One placement's daily rows (drill-down), by date."""
-    return drill(stable, **{PUB: publisher_id, PLC: placement_id}).orderBy(F.col(DAY).asc_nulls_last())
+def placement_series(clean: DataFrame, publisher_id: str, placement_id: str,
+                     min_total: float = 1000, min_days_: int = 20) -> DataFrame:
+    """One placement's stable daily rows (drill-down), by date.
+
+    The drill comes first: it reaches the scan, and only this placement's
+    statistics are computed."""
+    one = drill(clean, **{PUB: str(publisher_id), PLC: str(placement_id)})
+    return order_by(stable_placements(one, min_total, min_days_, ordered=False), DAY)
 
 
-def placement_totals(clean: DataFrame) -> DataFrame:
+def placement_totals(clean: DataFrame, ordered: bool = False) -> DataFrame:
     """Per publisher-placement: distinct days and volume sums."""
-    return clean.groupBy(PUB, PLC).agg(
-        n_unique(DAY).alias("days"), F.sum(MEAS).alias(MEAS),
-        F.sum(TOT).alias(TOT), F.sum(VIEW).alias(VIEW))
+    days = clean.groupBy(PUB, PLC, DAY).agg(*_sums())
+    g = days.groupBy(PUB, PLC).agg(F.count(F.lit(1)).alias("days"), *_sums())
+    return _in_key_order(g, ordered, PUB, PLC).select(PUB, PLC, "days", MEAS, TOT, VIEW)
 
 
-def publishers_per_placement(totals: DataFrame) -> DataFrame:
+def publishers_per_placement(totals: DataFrame, ordered: bool = False) -> DataFrame:
     """How many publishers carry each placement id."""
-    return totals.groupBy(PLC).agg(F.count(F.lit(1)).alias("publishers"))
+    return _in_key_order(totals.groupBy(PLC).agg(F.count(F.lit(1)).alias("publishers")), ordered, PLC)
 
 
-def daily_rates(clean: DataFrame, on_zero: str = "ieee") -> DataFrame:
+def daily_rates(clean: DataFrame, on_zero: str = "ieee", ordered: bool = False) -> DataFrame:
     """Short daily recap: volumes, viewed and measured rates, publishers."""
-    g = clean.groupBy(DAY).agg(F.sum(TOT).alias(TOT), F.sum(MEAS).alias(MEAS),
-                               F.sum(VIEW).alias(VIEW), n_unique(PUB).alias("publishers"))
-    return g.select(DAY, TOT, MEAS, ratio(VIEW, MEAS, on_zero).alias("viewed_rate"),
+    g = _days_and_publishers(clean).groupBy(DAY).agg(F.count(F.lit(1)).alias("publishers"), *_sums())
+    return _in_key_order(g, ordered, DAY).select(DAY, TOT, MEAS, ratio(VIEW, MEAS, on_zero).alias("viewed_rate"),
                     ratio(MEAS, TOT, on_zero).alias("measured_rate"), "publishers")
 
 
 DAILY_SERIES = ("publishers", "pub_placements", TOT, MEAS, VIEW, "measured_rate", "viewed_rate")
 
 
-def chart_series(clean: DataFrame, min_total: float = 1000, min_days_: int = 20) -> DataFrame:
-    """Tidy (chart, series, x, y) rows behind the line charts: every daily
-    measure by date, and each stable placement's in-view share by date."""
-    daily = daily_summary(clean).select(DAY, *[F.col(c).cast("double").alias(c) for c in DAILY_SERIES])
-    daily = daily.unpivot([DAY], list(DAILY_SERIES), "series", "y") \
-                 .select(F.lit("daily").alias("chart"), "series", F.col(DAY).alias("x"), "y")
-    stable = stable_placements(clean, min_total, min_days_, ordered=False)
-    lines = stable.select(F.lit("stable_in_view").alias("chart"),
-                          label(F.col(PUB), F.col(PLC)).alias("series"),
-                          F.col(DAY).alias("x"), F.col(INV).cast("double").alias("y"))
-    return daily.unionByName(lines)
+# The scatter plots of the placement summary, as (x, y).
+SCATTER_PAIRS = (
+    ("mean_in_view", "sd_in_view"), ("mean_imps", "sd_in_view"), ("min_imps", "sd_in_view"), ("days", "sd_in_view"),
+    ("mean_measure_rate", "sd_measure_rate"), ("mean_measure_rate", "mean_in_view"),
+    ("sd_measure_rate", "sd_in_view"))
+
+
+def chart_series(daily: DataFrame, stable: DataFrame, summary: DataFrame,
+                 series: DataFrame | None = None) -> DataFrame:
+    """Tidy (chart, series, day, x, y) rows behind the plots.
+
+    ``daily``: every measure of ``daily_summary`` by day.  ``stable_in_view``:
+    each stable placement's in-view share by day.  ``scatter``: a row per stable
+    placement for each of the seven pairs of ``placement_summary`` columns.  With
+    a ``placement_series``: ``drill_in_view`` by day and ``drill_scatter`` of
+    measured impressions against the in-view share.  Line charts have ``day``
+    and no ``x``, scatter plots the reverse.  Published inputs are read, not
+    computed again.
+    """
+    by_day = lambda chart, name, df, y: df.select(
+        F.lit(chart).alias("chart"), name.alias("series"), F.col(DAY).alias("day"),
+        F.lit(None).cast("double").alias("x"), y.cast("double").alias("y"))
+    points = lambda chart, name, df, x, y: df.select(
+        F.lit(chart).alias("chart"), name.alias("series"), F.lit(None).cast("date").alias("day"),
+        F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    measures = daily.select(DAY, *[F.col(c).cast("double").alias(c) for c in DAILY_SERIES]) \
+        .unpivot([DAY], list(DAILY_SERIES), "series", "y")
+    out = by_day("daily", F.col("series"), measures, F.col("y"))
+    out = out.unionByName(by_day("stable_in_view", label(PUB, PLC), stable, F.col(INV)))
+    pairs = F.explode(F.array(*[F.struct(F.lit(f"{y} by {x}").alias("series"), F.col(x).cast("double").alias("x"),
+                                         F.col(y).cast("double").alias("y")) for x, y in SCATTER_PAIRS]))
+    out = out.unionByName(summary.select(pairs.alias("p")).select(
+        F.lit("scatter").alias("chart"), "p.series", F.lit(None).cast("date").alias("day"), "p.x", "p.y"))
+    if series is not None:
+        out = out.unionByName(by_day("drill_in_view", label(PUB, PLC), series, F.col(INV)))
+        out = out.unionByName(points("drill_scatter", label(PUB, PLC), series, MEAS, INV))
+    return out

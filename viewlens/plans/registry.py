@@ -25,17 +25,27 @@ from viewlens.plans import impressions as IM
 from viewlens.plans import placements as P
 from viewlens.plans import reports as RP
 from viewlens.sources.fixtures import FixtureLogs, table
+from viewlens.sources.readers import normalise_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Drill-down target used by the registered series (present at every scale).
-SERIES_PUBLISHER, SERIES_PLACEMENT = 1, 1
+SERIES_PUBLISHER, SERIES_PLACEMENT = "1", "1"
 
 
 def _clean(spark: SparkSession, sf: str) -> DataFrame:
     return P.placement_clean(FixtureLogs(spark, sf).placements)
 
 
+def _series(clean: DataFrame) -> DataFrame:
+    return P.placement_series(clean, SERIES_PUBLISHER, SERIES_PLACEMENT)
+
+
+def _charts(clean: DataFrame) -> DataFrame:
+    return P.chart_series(P.daily_summary(clean), P.stable_placements(clean, ordered=False),
+                          P.placement_summary(clean, ordered=False), _series(clean))
+
+
 def placement_queries() -> dict[str, Query]:
     return {
         "placement_clean": lambda s, d: _clean(s, d),
@@ -44,17 +54,14 @@ def placement_queries() -> dict[str, Query]:
         "publisher_summary": lambda s, d: P.publisher_summary(P.publisher_day(_clean(s, d))),
         "stable_placements": lambda s, d: P.stable_placements(_clean(s, d)),
         "placement_summary": lambda s, d: P.placement_summary(_clean(s, d)),
-        "placement_series": lambda s, d: P.placement_series(
-            P.stable_placements(_clean(s, d), ordered=False), SERIES_PUBLISHER, SERIES_PLACEMENT),
+        "placement_series": lambda s, d: _series(_clean(s, d)),
         "placement_totals": lambda s, d: P.placement_totals(_clean(s, d)),
         "publishers_per_placement": lambda s, d: P.publishers_per_placement(P.placement_totals(_clean(s, d))),
         "daily_rates": lambda s, d: P.daily_rates(_clean(s, d)),
-        "chart_series": lambda s, d: P.chart_series(_clean(s, d)),
+        "chart_series": lambda s, d: _charts(_clean(s, d)),
     }
 
 
-
-
 # ----------------------------------------------------------------- impressions
 class ImpressionRun:
     """The impression audit over one scale-factor folder, built lazily."""
@@ -78,15 +85,20 @@ class ImpressionRun:
     def feats(self):
         return EV.features(self.first(), self.cfg.check_feature_length)
 
+    def summary(self):
+        return EV.event_summary(self.logs.events, self.cfg)
+
     def rollup(self):
         return EV.event_rollup(self.logs.events, self.cfg)
 
+    def checked(self):
+        return EV.event_rollup_checked(self.summary(), self.cfg)
+
     def detail(self):
-        # one scan and one shuffle of the event log for roll-up and features
-        return D.impression_detail_one_pass(self.tx(), EV.event_summary(self.logs.events, self.cfg), self.cfg)
+        return D.impression_detail(self.tx(), self.summary(), self.cfg)
 
     def clean(self):
-        return D.clean_impressions(self.detail())
+        return D.clean_impressions(self.detail(), self.cfg)
 
 
 def impression_queries() -> dict[str, Query]:
@@ -100,12 +112,12 @@ def impression_queries() -> dict[str, Query]:
         "multi_row_count": lambda s, d: IM.multi_row_count(R(s, d).tx()),
         "first_feature_event": lambda s, d: R(s, d).first(),
         "features": lambda s, d: R(s, d).feats(),
-        "event_rollup_checked": lambda s, d: (lambda r: EV.event_rollup_checked(r.rollup(), r.feats(), r.cfg))(R(s, d)),
+        "event_rollup_checked": lambda s, d: R(s, d).checked(),
         "impression_detail": lambda s, d: R(s, d).detail(),
         "issue_crosstab": lambda s, d: D.issue_crosstab(R(s, d).detail()),
         "issue_rows": lambda s, d: D.issue_rows(R(s, d).detail()),
         "clean_impressions": lambda s, d: R(s, d).clean(),
-        "browser_summary": lambda s, d: RP.browser_summary(R(s, d).clean()),
+        "browser_summary": lambda s, d: RP.browser_summary(R(s, d).clean(), R(s, d).cfg),
     }
 
 
@@ -121,6 +133,16 @@ def _ratio_kind(c):
              .when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise("finite"))
 
 
+def _split_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A notify log with day and time apart, some times missing or 24:00:00, as the reader gives it."""
+    ev = table(spark, sf, "events")
+    time = F.when(F.col("event_id") % 13 == 0, F.lit(None)).when(F.col("event_id") % 17 == 0, F.lit("24:00:00")) \
+        .otherwise(F.date_format("ts", "HH:mm:ss.SSSSSS"))
+    log = ev.select(F.col("event_id").alias("transaction_nbr"), F.lit(1).alias("company_id"),
+                    F.to_date("ts").alias("dmm_date"), time.alias("dmm_time"), F.col("user_id").alias("media_size_id"))
+    return normalise_log(log, "notify").select("transaction_nbr", "dmm_date", "dmm_ts")
+
+
 def operator_queries() -> dict[str, Query]:
     cfg = fixture_config()
     L = FixtureLogs
@@ -168,12 +190,23 @@ def operator_queries() -> dict[str, Query]:
             S.parse_number(S.strip_chars("measured_impressions", ",")).alias("measured_value")),
         "parse_date": lambda s, d: L(s, d).placements.select(
             F.col("date").alias("date_text"), S.parse_date("date").alias("date_value")),
+        # orders, shown by each row's position
         "nan_last_order": lambda s, d: WN.with_position(WN.order_by(
-            P.publisher_summary(P.publisher_day(_clean(s, d))), "mean_viewed_rate", desc=True,
-            ties=["publisher_id"]).select("publisher_id", "mean_viewed_rate"), "pos"),
+            P.publisher_day(_clean(s, d)).select("publisher_id", "date", "viewed_rate"), "viewed_rate", desc=True,
+            ties=["publisher_id", "date"]), "pos"),
+        "transactions_multiplicity_order": lambda s, d: WN.with_position(
+            IM.transactions_multiplicity(ImpressionRun(s, d).tx()), "pos"),
+        "issue_crosstab_order": lambda s, d: WN.with_position(D.issue_crosstab(ImpressionRun(s, d).detail()), "pos"),
+        "stable_placements_order": lambda s, d: WN.with_position(
+            P.stable_placements(_clean(s, d)).select("publisher_id", "placement_id", "date", "mean_imps"), "pos"),
+        "placement_summary_order": lambda s, d: WN.with_position(
+            P.placement_summary(_clean(s, d)).select("publisher_id", "placement_id", "sd_in_view"), "pos"),
+        "key_order": lambda s, d: WN.with_position(
+            P.placement_totals(_clean(s, d), ordered=True).select("publisher_id", "placement_id", "days"), "pos"),
         "detail_snapshot": lambda s, d: RP.detail_snapshot(ImpressionRun(s, d).detail(), "detail_snapshot"),
         "date_time_join": lambda s, d: L(s, d).events.select(
             "logrec_sk", S.to_ts("event_date", F.date_format("event_ts", "HH:mm:ss.SSSSSS")).alias("event_ts")),
+        "split_log_ts": lambda s, d: _split_log(s, d),
         "event_span": lambda s, d: L(s, d).events.groupBy("transaction_nbr").agg(*A.span("event_ts"))
             .withColumn("events_duration_us", S.duration_us("start_events", "end_events")),
         "day_window": lambda s, d: L(s, d).events.where(

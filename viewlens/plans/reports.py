@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from viewlens.config import RunConfig
 from viewlens.sources.sinks import publish
 
 SUMMARY_KEYS = ("company_id", "dmm_browser", "dmm_browser_major_version", "dmm_os")
 
 
-def browser_summary(clean: DataFrame, versions: tuple[int, int] = (6, 7),
-                    codes: tuple[int, ...] = (10, 90, 30, 80)) -> DataFrame:
+# The event codes that the summary counts, in its order.
+SUMMARY_CODES = (10, 90, 30, 80)
+
+
+def browser_summary(clean: DataFrame, cfg: RunConfig) -> DataFrame:
     """Per company, browser, major version and OS: impressions, by script
     version (and none), by version with each event code seen, each code seen,
-    and notified impressions by version."""
+    and notified impressions by version.  Versions and event codes are those
+    of the run."""
+    versions, codes = cfg.versions, [c for c in SUMMARY_CODES if c in cfg.event_codes]
     v = F.col("script_version_id")
     vnull = v.isNull()
     seen = lambda c: F.col(f"event_{c}s") > 0

@@ -1,4 +1,4 @@
 """Readers, writers and the fixture mapping from the driver's tables."""
 
-from viewlens.sources.readers import read_log, read_placement_csv, read_placement_frame  # noqa: F401
+from viewlens.sources.readers import normalise_log, read_log, read_placement_csv  # noqa: F401
 from viewlens.sources.sinks import publish, stage  # noqa: F401

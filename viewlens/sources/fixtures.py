@@ -14,6 +14,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from viewlens.sources.readers import normalise_log
+from viewlens.sources.schemas import LOG_TIMES
+
 # Fixed values of the mapping.
 BROWSERS = ("chrome", "firefox", "msie", "safari", "opera")
 SYSTEMS = ("win", "mac", "linux")
@@ -43,20 +46,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread_like_split_csv(df: DataFrame) -> DataFrame:
-    """Give a single-split stand-in the parallelism of the file it stands for.
-
-    The placement file is a CSV, which Spark's reader splits by byte range
-    into many tasks.  Its stand-in here is derived from one Parquet row group,
-    which cannot be split, so every per-row parsing step would run in one
-    task.  When the scan has fewer partitions than the default parallelism,
-    rows are spread round-robin; with a real many-split input the condition
-    is false and nothing is added.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def pick(idx: Column, values: tuple) -> Column:
     """Zero-based choice from a fixed list."""
     return F.array(*[F.lit(v) for v in values])[idx.cast("int")]
@@ -74,30 +63,20 @@ def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
     is not reliably planned by Spark 4.1 under AQE.
     """
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return pages, F.lit(_row_count(spark, sf_dir, "pages"))
+    return pages, F.lit(pages.count())
 
 
-_COUNTS: dict[tuple[str, float], int] = {}
-
-
-def _row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
-    """Row count of an input file, once per file version (Parquet footers)."""
-    import os
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    try:
-        key = (path, os.stat(path).st_mtime)
-    except OSError:
-        return table(spark, sf_dir, name).count()
-    if key not in _COUNTS:
-        _COUNTS[key] = table(spark, sf_dir, name).count()
-    return _COUNTS[key]
+def _as_log(df: DataFrame, kind: str, ts: Column, *columns: Column) -> DataFrame:
+    """A log with a day and a time-of-day column, read the way the reader reads one."""
+    day, time, _ = LOG_TIMES[kind]
+    ts = ts.cast("timestamp_ntz")
+    return normalise_log(df.select(F.to_date(ts).alias(day), F.date_format(ts, "HH:mm:ss.SSSSSS").alias(time),
+                                   *columns), kind)
 
 
 def placement_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily placement file as read (all text), from ``lineitem``."""
-    li = spread_like_split_csv(table(spark, sf_dir, "lineitem").select(
-        "l_shipdate", "l_suppkey", "l_partkey", "l_linenumber", "l_quantity", "l_tax",
-        "l_extendedprice", "l_discount"))
+    li = table(spark, sf_dir, "lineitem")
     return li.select(
         F.date_format("l_shipdate", "MM-dd-yyyy").alias("date"),
         F.col("l_suppkey").cast("string").alias("publisher_id"),
@@ -117,9 +96,9 @@ def bid_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate")
     j = li.join(pages, F.col("page_id") == F.col("l_partkey") % n)
     k = F.col("l_orderkey")
-    return j.select(
+    return _as_log(
+        j, "bid", F.col("l_shipdate"),
         k.alias("transaction_nbr"), company(k).alias("company_id"),
-        F.col("l_shipdate").cast("timestamp_ntz").alias("bid_ts"),
         (F.col("l_linenumber") * 3).cast("int").alias("operation_id"),
         F.col("url").alias("content_url"))
 
@@ -127,9 +106,9 @@ def bid_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def notify_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
     k = F.col("l_orderkey")
-    return li.select(
+    return _as_log(
+        li, "notify", F.col("l_shipdate"),
         k.alias("transaction_nbr"), company(k).alias("company_id"),
-        F.col("l_shipdate").cast("timestamp_ntz").alias("dmm_ts"),
         (F.col("l_partkey") % 60).alias("media_size_id"))
 
 
@@ -142,10 +121,9 @@ def ad_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = o.withColumn("dup", F.explode(F.when(k % 17 == 0, F.array(F.lit(0), F.lit(1)))
                                        .otherwise(F.array(F.lit(0)))))
     j = o.join(pages, F.col("page_id") == k % n)
-    return j.select(
+    return _as_log(
+        j, "ad", F.timestamp_add("SECOND", F.col("o_custkey"), F.col("o_orderdate")),
         k.alias("transaction_nbr"), company(k).alias("company_id"),
-        F.to_date("o_orderdate").alias("dmm_date"),
-        F.timestamp_add("SECOND", F.col("o_custkey"), F.col("o_orderdate")).cast("timestamp_ntz").alias("dmm_ts"),
         F.col("url").alias("content_url"),
         F.when(F.col("o_orderstatus") == "P", F.lit(3))
          .when(F.col("o_orderstatus") == "F", F.lit(12)).otherwise(F.lit(99)).alias("status_id"),
@@ -173,9 +151,9 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("1;"), (eid % 5).cast("string"), F.lit(";"), (eid % 3).cast("string"),
         F.lit(DETAIL_MIDDLE), (eid % 9).cast("string"), F.lit(";;;1;;"),
         (20 + t % 7).cast("string"), F.lit(";"), pick(t % 3, SYSTEMS), F.lit(";webkit;acme")))
-    return ev.select(
+    return _as_log(
+        ev, "event", F.col("ts"),
         t.alias("transaction_nbr"), eid.alias("logrec_sk"),
-        F.col("ts").cast("timestamp_ntz").alias("event_ts"), F.to_date("ts").alias("event_date"),
         company(t).alias("company_id"),
         pick((eid * 7 + uid) % 10, EVENT_CODE_CYCLE).alias("event_id"),
         F.when(uid % 40 == 0, F.lit(6)).otherwise(pick(t % 5, VERSION_CYCLE)).alias("script_version_id"),

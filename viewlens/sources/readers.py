@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewlens.sources.schemas import LOG_SCHEMAS, PLACEMENT_COLUMNS, PLACEMENT_RAW
+from viewlens.functions.scalars import day_of, to_ts
+from viewlens.operators.filters import day_column
+from viewlens.sources.schemas import LOG_SCHEMAS, LOG_TIMES, PLACEMENT_RAW
 
 
 def read_placement_csv(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -20,29 +22,46 @@ def read_placement_csv(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.options(**opts).schema(PLACEMENT_RAW).csv(path)
 
 
-def read_placement_frame(df: DataFrame) -> DataFrame:
-    """Give an already-loaded frame the placement column names, by position."""
-    if len(df.columns) < len(PLACEMENT_COLUMNS):
-        raise ValueError(f"placement data needs {len(PLACEMENT_COLUMNS)} columns, got {df.columns}")
-    return df.select([F.col(f"`{c}`").cast("string").alias(n)
-                      for c, n in zip(df.columns, PLACEMENT_COLUMNS)])
+def normalise_log(df: DataFrame, kind: str) -> DataFrame:
+    """A log as scanned -> the declared columns of its kind.
+
+    A log with a day and a time-of-day column gets its timestamp from both
+    (NULL if either is).  Its day column is kept and marked as the timestamp's
+    own day, so that windows on the timestamp can also bound the day and a log
+    partitioned by day is pruned.  A log with a timestamp column only gets its
+    day from that.  A column that is missing raises.
+    """
+    day, time, ts = LOG_TIMES[kind]
+    have = set(df.columns)
+    if {day, time} <= have:
+        df = df.withColumn(ts, to_ts(day, time))
+        marked = day_column(day, ts)
+    elif ts in have:
+        df = df if day in have else df.withColumn(day, day_of(ts))
+        marked = F.col(day)
+    else:
+        raise ValueError(f"the {kind} log needs {ts}, or {day} and {time}; it has {df.columns}")
+    missing = [f.name for f in LOG_SCHEMAS[kind].fields if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"the {kind} log lacks {missing}; it has {sorted(have)}")
+    return df.withColumn(day, marked).select(*[
+        F.col(f.name).cast(f.dataType) if df.schema[f.name].dataType != f.dataType else F.col(f.name)
+        for f in LOG_SCHEMAS[kind].fields])
 
 
 def read_log(spark: SparkSession, kind: str, src: str, fmt: str = "parquet",
              **options) -> DataFrame:
-    """Scan one of the logs (``bid``, ``notify``, ``ad``, ``event``).
+    """Scan one of the logs (``bid``, ``notify``, ``ad``, ``event``) and normalise it.
 
     ``src`` is a catalog table name for ``fmt="table"``, a JDBC table for
     ``fmt="jdbc"`` (pass ``url`` and, for parallel reads, ``partitionColumn``,
-    ``lowerBound``, ``upperBound``, ``numPartitions``), else a path.
-    File sources are read with the declared schema, so filters and column
-    pruning reach the scan.
+    ``lowerBound``, ``upperBound``, ``numPartitions``), else a path of a
+    self-describing format.  Filters and column pruning reach the scan.
     """
-    schema = LOG_SCHEMAS[kind]
     if fmt == "table":
         df = spark.table(src)
     elif fmt == "jdbc":
         df = spark.read.format("jdbc").option("dbtable", src).options(**options).load()
     else:
-        df = spark.read.format(fmt).schema(schema).options(**options).load(src)
-    return df.select([F.col(f.name).cast(f.dataType) for f in schema.fields])
+        df = spark.read.format(fmt).options(**options).load(src)
+    return normalise_log(df, kind)

@@ -16,10 +16,10 @@ PLACEMENT_COLUMNS = ("date", "publisher_id", "placement_id", "in_view",
                      "measured_impressions", "total_impressions")
 PLACEMENT_RAW = _st(*[(c, S) for c in PLACEMENT_COLUMNS])
 
-BID_LOG = _st(("transaction_nbr", L), ("company_id", I), ("bid_ts", TS),
+BID_LOG = _st(("transaction_nbr", L), ("company_id", I), ("bid_date", D), ("bid_ts", TS),
               ("operation_id", I), ("content_url", S))
 
-NOTIFY_LOG = _st(("transaction_nbr", L), ("company_id", I), ("dmm_ts", TS),
+NOTIFY_LOG = _st(("transaction_nbr", L), ("company_id", I), ("dmm_date", D), ("dmm_ts", TS),
                  ("media_size_id", L))
 
 AD_LOG = _st(("transaction_nbr", L), ("company_id", I), ("dmm_date", D), ("dmm_ts", TS),
@@ -37,4 +37,8 @@ EVENT_LOG = _st(("transaction_nbr", L), ("logrec_sk", L), ("event_ts", TS), ("ev
                 ("device_manufacturer_attr", S), ("elapsed_time_ms_meas", L),
                 ("event_detail_desc", S))
 
+# How each log tells the time: calendar day, time of day, and the timestamp made of both.
+LOG_TIMES = {"bid": ("bid_date", "bid_time", "bid_ts"), "notify": ("dmm_date", "dmm_time", "dmm_ts"),
+             "ad": ("dmm_date", "dmm_time", "dmm_ts"), "event": ("event_date", "event_time", "event_ts")}
+
 LOG_SCHEMAS = {"bid": BID_LOG, "notify": NOTIFY_LOG, "ad": AD_LOG, "event": EVENT_LOG}

@@ -21,24 +21,27 @@ def stage(df: DataFrame, name: str, persist: bool = False) -> DataFrame:
 
 def publish(df: DataFrame, name: str, cluster_by: str | None = "transaction_nbr",
             path: str | None = None, as_table: bool = False, buckets: int | None = None,
-            analyze: bool = False, compression: str = "zstd",
-            single_file: bool = False) -> DataFrame:
+            analyze: bool = False, compression: str = "zstd", laid_out: bool = False) -> DataFrame:
     """Write ``df`` durably (replacing any previous version) and return the
     written data read back, which also cuts the lineage.
 
     ``cluster_by`` lays rows out by that key (ignored when the frame has no
     such column): a ``rebalance`` hint, so AQE splits a skewed key over
-    several files instead of one huge task.  With
-    ``as_table`` and ``buckets`` the table is bucketed by the key, so later
-    joins on it need no shuffle.  ``single_file`` is for small summaries only.
+    several files instead of one huge task.  ``laid_out`` says that the frame
+    is already partitioned by the key (it comes out of a join or grouping on
+    it, or is read from such a table); it is then written as it is, without
+    another shuffle.  With ``as_table`` and ``buckets`` the table is bucketed by
+    the key, so later joins on it need no shuffle; one task writes each bucket.
+    ``analyze`` computes column statistics of a table.
     ``path`` defaults to a folder under the shared work folder.
     """
     spark = df.sparkSession
+    schema = df.schema
     if cluster_by and cluster_by not in df.columns:
         cluster_by = None          # frames without the key keep Spark's layout
-    if single_file:
-        df = df.coalesce(1)
-    elif cluster_by and not buckets:
+    if cluster_by and buckets:
+        df = df.repartition(buckets, cluster_by)
+    elif cluster_by and not laid_out:
         df = df.hint("rebalance", cluster_by)
     w = df.write.mode("overwrite").option("compression", compression).format("parquet")
     if as_table:
@@ -52,11 +55,9 @@ def publish(df: DataFrame, name: str, cluster_by: str | None = "transaction_nbr"
         return spark.table(name)
     out = path or table_path(spark, name)
     w.save(out)
-    return spark.read.parquet(out)
+    return spark.read.schema(schema).parquet(out)
 
 
-def publish_view(df: DataFrame, name: str, where: str | None = None) -> DataFrame:
+def publish_view(df: DataFrame, name: str, where: str) -> DataFrame:
     """A filtered view over a published frame (e.g. one tenant)."""
-    v = df.where(where) if where else df
-    v.createOrReplaceTempView(name)
-    return v
+    return stage(df.where(where), name)
