@@ -132,11 +132,11 @@ def evidence(model: Regression | None, text: Column) -> Column:
     return log_odds(text)
 
 
-def _strength(squares: Column, freedom: Column, rate: Column, weight: Column, weight2: Column) -> Column:
+def _strength(squares: float, freedom: float, rate: float, weight: float, weight2: float) -> float:
     """Prior strength (in labels) by the method of moments, between 1 and a million."""
     noise = rate * (1 - rate)
-    spread = (squares - freedom * noise) / F.greatest(weight - weight2 / weight, F.lit(1e-9))
-    return F.when(spread > 0, F.least(F.greatest(noise / spread - 1, F.lit(1.0)), F.lit(1e6))).otherwise(F.lit(1e6))
+    spread = (squares - freedom * noise) / max(weight - weight2 / weight, 1e-9)
+    return min(max(noise / spread - 1, 1.0), 1e6) if spread > 0 else 1e6
 
 
 def site_posteriors(scored: DataFrame, labels: DataFrame) -> DataFrame:
@@ -150,28 +150,25 @@ def site_posteriors(scored: DataFrame, labels: DataFrame) -> DataFrame:
              .groupBy("host", "path").agg(F.sum(weight).alias("n"),
                                           F.sum(weight * F.coalesce(F.col("good").cast("double"), p)).alias("g")))
     paths = written(paths, "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("g").alias("host_g"),
-                                      F.sum(F.col("n") * F.col("n")).alias("path_n2"), F.count(F.lit(1)).alias("k"))
-    overall = hosts.agg((F.sum("host_g") / F.sum("host_n")).alias("global_rate"))
-    hosts = hosts.crossJoin(F.broadcast(overall))  # one row
-    q, rate = F.col("host_g") / F.col("host_n"), F.col("global_rate")
-    host_strength = hosts.agg(_strength(
-        F.sum(F.col("host_n") * (q - rate) * (q - rate)), F.count(F.lit(1)) - 1.0, F.first(rate),
-        F.sum("host_n"), F.sum(F.col("host_n") * F.col("host_n"))).alias("a"))
-    hosts = hosts.crossJoin(F.broadcast(host_strength)).withColumn(
-        "host_rate", (F.col("host_g") + F.col("a") * rate) / (F.col("host_n") + F.col("a")))
-    hosts = written(hosts.select(F.col("host").alias("of_host"), "host_n", "host_g", "path_n2", "k",
-                                 "global_rate", "host_rate"), "hosts")
+    hosts = written(paths.groupBy(F.col("host").alias("of_host")).agg(
+        F.sum("n").alias("host_n"), F.sum("g").alias("host_g"), F.sum(F.col("n") * F.col("n")).alias("path_n2"),
+        F.count(F.lit(1)).alias("k")), "hosts")
+    # only sums over all hosts and paths reach the driver
+    n, g = hosts.agg(F.sum("host_n"), F.sum("host_g")).first()
+    rate = g / n if n else 0.5
+    q = F.col("host_g") / F.col("host_n")
+    squares, k, n2, paths_k, w2 = hosts.agg(
+        F.sum(F.col("host_n") * (q - rate) * (q - rate)), F.count(F.lit(1)), F.sum(F.col("host_n") * F.col("host_n")),
+        F.sum("k"), F.sum(F.col("path_n2") / F.col("host_n"))).first()
+    host_prior = _strength(squares, k - 1, rate, n, n2) if n else 1.0
     both = paths.join(hosts, F.col("host").eqNullSafe(F.col("of_host")))
-    r, q = F.col("g") / F.col("n"), F.col("host_g") / F.col("host_n")
-    inside = both.agg(F.sum(F.col("n") * (r - q) * (r - q)).alias("squares"), F.sum("n").alias("w"))
-    freedom = hosts.agg(F.sum(F.col("k") - 1.0).alias("freedom"), F.first("global_rate").alias("rate"),
-                        F.sum(F.col("path_n2") / F.col("host_n")).alias("w2"))
-    strength = inside.crossJoin(freedom).select(_strength(
-        F.col("squares"), F.col("freedom"), F.col("rate"), F.col("w"), F.col("w2") * F.col("w")).alias("b"))
-    return written(both.crossJoin(F.broadcast(strength)).select(
-        "host", "path", "global_rate", "host_rate",
-        ((F.col("g") + F.col("b") * F.col("host_rate")) / (F.col("n") + F.col("b"))).alias("path_rate")), "sites")
+    r = F.col("g") / F.col("n")
+    inside = both.agg(F.sum(F.col("n") * (r - q) * (r - q))).first()[0]
+    path_prior = _strength(inside, paths_k - k, rate, n, w2 * n) if n else 1.0
+    host_rate = (F.col("host_g") + host_prior * rate) / (F.col("host_n") + host_prior)
+    return written(both.withColumn("host_rate", host_rate).select(
+        "host", "path", F.lit(rate).alias("global_rate"), "host_rate",
+        ((F.col("g") + path_prior * F.col("host_rate")) / (F.col("n") + path_prior)).alias("path_rate")), "sites")
 
 
 def _logit(p: Column) -> Column:
@@ -196,9 +193,11 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host
     return model, scored, site_posteriors(scored, labels)
 
 
-def _log_odds() -> Column:
-    site = _logit(F.col("path_rate")) - _logit(F.col("global_rate"))
-    return F.col("doc_log_odds") + F.least(F.greatest(site, F.lit(-SITE_LIMIT)), F.lit(SITE_LIMIT))
+def _score(doc_log_odds: str, path_rate: str, global_rate: str) -> Column:
+    """Probability of being good: the document's odds moved by its site's against all."""
+    site = _logit(F.col(path_rate)) - _logit(F.col(global_rate))
+    site = F.least(F.greatest(site, F.lit(-SITE_LIMIT)), F.lit(SITE_LIMIT))
+    return 1 / (1 + F.exp(-(F.col(doc_log_odds) + site)))
 
 
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -206,7 +205,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """``doc_id``, site, evidence, site rates, probability ``score`` of being good, and ``kept``."""
     _, scored, sites = trained(docs, labels, id_col, text_col, host_col, path_col)
     sites = sites.withColumnsRenamed({"host": "h", "path": "p"})
-    score = 1 / (1 + F.exp(-_log_odds()))
+    score = _score("doc_log_odds", "path_rate", "global_rate")
     return scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))).select(
         "doc_id", "host", "path", "doc_log_odds", "host_rate", "path_rate", score.alias("score"),
         (score >= REJECT_BELOW).alias("kept"))
@@ -222,7 +221,5 @@ def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     odds = docs.withColumn("__doc_log_odds", evidence(model, F.col(text_col))).alias("d")
     same = (F.col(f"d.`{host_col}`").eqNullSafe(F.col("__site_host"))
             & F.col(f"d.`{path_col}`").eqNullSafe(F.col("__site_path")))
-    site = _logit(F.col("s.path_rate")) - _logit(F.col("s.global_rate"))
-    site = F.least(F.greatest(site, F.lit(-SITE_LIMIT)), F.lit(SITE_LIMIT))
-    score = 1 / (1 + F.exp(-(F.col("d.__doc_log_odds") + site)))
+    score = _score("d.__doc_log_odds", "s.path_rate", "s.global_rate")
     return odds.join(sites.alias("s"), same).where(score >= REJECT_BELOW).select(*own)
