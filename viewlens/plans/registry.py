@@ -7,6 +7,7 @@ its work grows with them.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,7 +99,9 @@ class ImpressionRun:
         return D.impression_detail(self.tx(), self.summary(), self.cfg)
 
     def clean(self):
-        return D.clean_impressions(self.detail(), self.cfg)
+        # written once and read twice, as the job does: for the rows and for the issue keys
+        name = f"impression_detail-{uuid.uuid4().hex}"
+        return D.clean_impressions(RP.detail_snapshot(self.detail(), name, laid_out=True), self.cfg)
 
 
 def impression_queries() -> dict[str, Query]:
