@@ -212,8 +212,9 @@ def confirmed_edges(docs: DataFrame, id_col: str, text_col: str, groups: DataFra
     blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("m") / BUCKET_ROWS))
     named = written(groups.join(total.select("grp", blocks.alias("blocks")), "grp"), "blocks")
     bundles = 1 + (named.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES
+    # the members grow with the corpus: the same sort-merge plan at every size, no broadcast of small ones
     texts = (docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-             .join(named.select("rep", "digest", "grp", "blocks"), "rep"))
+             .join(named.select("rep", "digest", "grp", "blocks").hint("merge"), "rep"))
     kind = groups.schema["rep"].dataType.simpleString()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
