@@ -92,7 +92,20 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 support: float = SUPPORT) -> DataFrame:
-    """``docs`` without all but one of equal texts, same columns."""
-    marked = with_copies(docs, id_col, text_col, support=support)
-    kept = next(c for c in marked.columns[len(docs.columns):] if c.lstrip("_") == "kept")
-    return marked.where(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without all but one of equal texts, same columns.
+
+    Only ids and digests are written; texts are read again and sent at most once.
+    Of a frequent digest only rows with the winner's id pass the map side, and
+    the rest is reduced there to one row for each digest and task.
+    """
+    d, row, key = (free_name(docs, n) for n in ("text_sha256", "__row_no", "__key"))
+    digest = text_digest(F.col(text_col)).alias(d)
+    rows = written(docs.select(F.col(id_col).alias(key), digest, F.monotonically_increasing_id().alias(row)), "digests")
+    frequent = written(frequent_groups(rows, d, key, row, support), "frequent")
+    split = docs.select(*[F.col(f"`{c}`") for c in docs.columns], digest).join(
+        F.broadcast(frequent), d, "left")
+    own_id = F.col(f"`{id_col}`")
+    left = split.where(F.col("__n").isNull() | own_id.eqNullSafe(F.col("__id")))
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(own_id.isNull(), own_id))
+    return left.groupBy(d).agg(first.alias("first")).select(
+        *[F.col("first").getField(c).alias(c) for c in docs.columns])
