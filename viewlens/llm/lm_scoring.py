@@ -116,7 +116,8 @@ def scores(docs: DataFrame, target_ids: DataFrame, model: str, id_col: str = "do
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     name = free_name(rows, "target_id")
     ids = target_ids.toDF(name).distinct().withColumn("target", F.lit(True))
-    marked = rows.join(ids, F.col("doc_id") == F.col(name), "left").select(
+    # the targets grow with the corpus: the same sort-merge plan at every size, no broadcast of few
+    marked = rows.join(ids.hint("merge"), F.col("doc_id") == F.col(name), "left").select(
         "doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
     start, wide = codec(model).sp.get_piece_size(), token_width(model)
     tokens = written(token_blocks(marked, model), "tokens")
