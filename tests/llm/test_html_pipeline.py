@@ -138,6 +138,27 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_stages_with_clashing_columns_nulls_and_repeats(spark, tmp_path):
+    """Columns named like the operators' own, null ids, texts and sites, and repeated rows."""
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(60)
+    odd = docs.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string"),
+                                     "source": F.lit(None).cast("string")})
+    docs = docs.unionAll(docs.limit(5)).unionAll(odd).unionAll(odd)
+    names = ["kept", "path_rate", "s", "d", "host", "rep", "grp", "text_sha256", "keep_id", "piece", "length", "n"]
+    docs = docs.withColumns({c: F.lit(c) for c in names})
+    docs.write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF_SMALL)
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name != "best_fit_packing":
+            assert docs.columns == columns and docs.where("kept != 'kept'").count() == 0
+    assert docs.where("doc_id IS NULL").count() <= 1  # the two odd rows are copies
+
+
 def test_every_number_is_registered():
     import __spark_entry__
     names = __spark_entry__.queries()

@@ -359,3 +359,16 @@ def test_lm_scores_without_targets_and_of_nothing(spark):
     df = documents(spark, ["a b c", "a b d"])
     assert all(r.score is not None for r in lm_scoring.scores(df, none, Q.PIECE_BPE).collect())
     assert lm_scoring.scores(df.limit(0), none, Q.PIECE_BPE).count() == 0
+
+
+def test_batches_are_bounded_and_smaller_bounds_kept(spark):
+    from viewlens.llm.common import BATCH_BYTES, importable
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name)
+    try:
+        for value, want in (("64m", str(BATCH_BYTES)), ("2m", "2m"), ("1000", "1000"), ("67108864b", str(BATCH_BYTES))):
+            spark.conf.set(name, value)
+            importable(spark)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, old)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import viewlens
 from viewlens.session import work_dir
@@ -15,12 +17,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+# Bytes of a batch that is handed to Python at a time; a single longer row is a batch of its own.
+BATCH_BYTES = 2 << 20
+
+
 def importable(spark: SparkSession) -> SparkSession:
-    """Lets Python workers on the driver's machine import the package from where the driver did.
+    """Makes a session ready for the operators' Python parts.
 
-    On a cluster the package is installed or comes with ``--py-files``; this
-    only spares a local session that step.
+    Python workers on the driver's machine can import the package from where the
+    driver did; on a cluster it is installed or comes with ``--py-files``, and
+    this only spares a local session that step.  Batches are bounded by bytes
+    rather than rows, since texts can be long; a smaller bound is kept.
     """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    set_, unit = re.fullmatch(r"(-?\d+)([kmg]?)b?", spark.conf.get(bound).lower()).groups()
+    if not 0 < int(set_) << 10 * " kmg".index(unit or " ") <= BATCH_BYTES:
+        spark.conf.set(bound, str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.abspath(viewlens.__file__)))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
@@ -48,6 +60,36 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+_TABLES: dict[tuple, object] = {}
+
+
+def worker_tables(make, *args):
+    """``make(*args)``, kept for the next task in this Python worker.
+
+    A worker serves one operator after another; it keeps the tables of the last
+    one only, so that a pipeline needs the memory of its largest stage and not
+    of all of them.
+    """
+    key = (make, *args)
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = make(*args)
+    return _TABLES[key]
+
+
+def hash_sample(df: DataFrame, key: str, size: int, total: int | None = None) -> DataFrame:
+    """At most ``size`` rows, those with the least hashes of ``key`` among about four times as many.
+
+    The share taken follows from the row count (``total`` where it is known), so
+    each task hands on few rows however many tasks there are.  The same rows
+    come out at every run.
+    """
+    h = F.xxhash64(key)
+    total = df.count() if total is None else total
+    share = df.where(F.pmod(h, F.lit(max(1, total))) < 4 * size)
+    return share.orderBy(h, key).limit(size)
+
+
 class WordMemo(dict):
     """Computes a value for each distinct word once, in bounded memory.
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewlens.llm.common import importable, written
+from viewlens.llm.common import hash_sample, importable, written
 from viewlens.llm.components import components
 
 SIMILARITY = 0.9
@@ -165,7 +165,7 @@ def links(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Verified pairs ``(a, b)`` of the classes ``(node, unit)``."""
     n = classes.count()
     tables, coarse, window = shape(n, similarity)
-    sample = classes.orderBy(F.xxhash64("node")).limit(SAMPLE).toPandas()["unit"]
+    sample = hash_sample(classes, "node", SAMPLE).toPandas()["unit"]
     units = [np.frombuffer(u, np.float64) for u in sample]
     longest = [u for u in units if len(u) == max(map(len, units))]
     count = least_count(np.stack(longest), tables, coarse, window, similarity) if longest else 1

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewlens.llm.common import importable
+from viewlens.llm.common import hash_sample, importable
 from viewlens.llm.gradient_boosting import BoostedTrees
 from viewlens.llm.html_tree import Node, parse
 
@@ -292,7 +292,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     importable(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     short = rows.where(F.length("html").between(1, SAMPLE_CHARS))
-    sample = short.orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).select("html").toPandas()["html"]
+    sample = hash_sample(short, "page_id", SAMPLE, pages.count()).select("html").toPandas()["html"]
     model = fit(sample.tolist())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

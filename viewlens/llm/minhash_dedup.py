@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewlens.llm.common import free_name, importable, written
+from viewlens.llm.common import free_name, importable, worker_tables, written
 from viewlens.llm.components import components
 from viewlens.llm.shingles import Shingler
 
@@ -77,11 +76,14 @@ class MinHash:
                         np.uint64).view(np.int64)
 
 
-@lru_cache(maxsize=1)
-def tools() -> tuple[Shingler, MinHash]:
+def _tools() -> tuple[Shingler, MinHash]:
     return Shingler(SHINGLE), MinHash()
 
 
+def tools() -> tuple[Shingler, MinHash]:
+    return worker_tables(_tools)
+
+
 def least_agreement(n: int, threshold: int) -> int:
     """Fingerprints of ``n`` that a link has in common but for 4.5 standard deviations."""
     t = threshold / 100

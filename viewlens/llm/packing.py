@@ -24,14 +24,13 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewlens.llm.common import WordMemo, written
+from viewlens.llm.common import WordMemo, importable, worker_tables, written
 
 SEQUENCE = 2048
 END_ID = 0
@@ -56,8 +55,8 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.words = WordMemo(self._word)
-        self.parts = WordMemo(self._part)
+        self.words = WordMemo(self._word, 60_000)
+        self.parts = WordMemo(self._part, 150_000)
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
@@ -79,14 +78,14 @@ class Tokens:
         return b"".join(map(self.words.__getitem__, words))
 
 
-@lru_cache(maxsize=2)
 def tokens(path: str) -> Tokens:
-    return Tokens(path)
+    return worker_tables(Tokens, path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
            sequence: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     """One row per piece of at most ``sequence`` ids: place in its document, checksum, on wish the ids."""
+    importable(docs.sparkSession)
     end, width = array("I", [END_ID]).tobytes(), 4 * sequence
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewlens.llm.common import importable, written
+from viewlens.llm.common import hash_sample, importable, written
 
 # Labelled documents that the regression is fitted on, at most.
 SAMPLE = 4000
@@ -105,7 +105,7 @@ class Regression:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> Regression | None:
     """The document classifier, from the ``sample`` labelled documents with the least id hashes."""
-    chosen = labels.orderBy(F.xxhash64("id"), "id").limit(sample)  # bounded, so it may be broadcast
+    chosen = hash_sample(labels, "id", sample)  # bounded, so it may be broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -23,14 +23,13 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewlens.llm.common import WordMemo
+from viewlens.llm.common import WordMemo, importable, worker_tables
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -70,9 +69,8 @@ class Codec:
         return [table[c] for c in CHUNK.findall(MARK + text.replace(" ", MARK))]
 
 
-@lru_cache(maxsize=2)
 def codec(model: str) -> Codec:
-    return Codec(model)
+    return worker_tables(Codec, model)
 
 
 def _sha256(text: str) -> str:
@@ -85,6 +83,7 @@ def _mapped(docs: DataFrame, model: str, id_col: str, text_col: str, columns: st
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], **make([c.rows(t or "") for t in b["text"]])})
 
+    importable(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {columns}")
 

@@ -23,13 +23,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewlens.llm.common import WordMemo
+from viewlens.llm.common import WordMemo, importable, worker_tables
 
 MARK = "▁"
 ZIPF_SHIFT = 2.7
@@ -102,8 +101,12 @@ class UnigramTrie:
         return count[-1], score[-1]
 
 
-@lru_cache(maxsize=2)
 def tables(model: str) -> tuple[WordMemo, UnigramTrie]:
+    """The memo of terminals and the trie, kept in the worker."""
+    return worker_tables(_tables, model)
+
+
+def _tables(model: str) -> tuple[WordMemo, UnigramTrie]:
     import sentencepiece
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     normal = [i for i in range(sp.get_piece_size())
@@ -125,6 +128,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 out.append((doc, len(words), sum([f[0] for f in found]), math.fsum([f[1] for f in found])))
             yield pd.DataFrame(out, columns=["doc_id", "n_pretokens", "n_tokens", "log_p"], dtype=object)
 
+    importable(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInPandas(run, f"doc_id {kind}, n_pretokens long, n_tokens long, log_p double")
