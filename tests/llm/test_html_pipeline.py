@@ -70,6 +70,47 @@ def test_tree_of_broken_markup():
     assert blocks("<div>" * 3000 + "deep") == ["deep"]
 
 
+def test_only_hidden_elements_leave_nothing(model):
+    def blocks(source):
+        return [x.text for x in parse(source) if x.tag == "#text"]
+    for shown in ('class="overflow-hidden"', 'aria-hidden="false"', 'data-title="Hidden gems"', 'id="hidden-valley"',
+                  "class=hidden", 'data-hidden="1"', 'hidden="until-found"', 'HIDDEN=until-found', "title='a hidden b'",
+                  'title="display:none"', 'style="overflow:hidden"', 'style="display:none;display:block"',
+                  'style="/*display:none*/"', 'data-aria-hidden="true"', 'alt="x aria-hidden=true"'):
+        for tag in ("div", "section", "main", "article"):
+            assert blocks(f"<{tag} {shown}><p>text</p></{tag}><p>end</p>") == ["text", "end"], (tag, shown)
+        assert blocks(f"<html {shown}><body {shown}><p>text</p></body>") == ["text"], shown
+    for hides in ("hidden", 'hidden=""', "HIDDEN", 'class="a" hidden', 'aria-hidden="true"', "aria-hidden=TRUE",
+                  'style="color:red; display : none"', "style='display:none!important;display:block'",
+                  'style="/* x */display:none"'):
+        assert blocks(f"<div {hides}><p>text</p></div><p>end</p>") == ["end"], hides
+        assert blocks(f"<body {hides}><p>text</p></body>") == ["text"], hides
+    page = "<html><head><title>t</title></head><body{}><article>{}</article></body></html>".format
+    words = "<p>The valley lies far behind the hills, and few have been there, says the guide.</p>" * 5
+    want = H.extract([page("", words)], model)
+    assert want[0].count("valley") == 5
+    assert H.extract([page(' class="overflow-hidden"', words)], model) == want
+
+
+def test_unclosed_head_ends_at_the_first_content():
+    def blocks(source):
+        return [x.text for x in parse(source) if x.tag == "#text"]
+    assert blocks("<html><head><title>t</title><meta name=a><style>p{}</style><div><p>a</p></div><p>b") == ["a", "b"]
+    assert blocks("<head><link href=x><script>s</script><noscript>n</noscript><template><p>t</p></template><h1>a") == ["a"]
+    assert blocks("<head><title>t</title> text <b>bold</b><p>b") == ["text bold", "b"]
+    assert blocks("<head><title>t</title><a href=x>link</a>") == ["link"]
+    assert blocks("<head><meta name=a> </head> <p>b") == ["b"]
+
+
+def test_formulas_stay_in_their_sentence():
+    def blocks(source):
+        return [x.text for x in parse(source) if x.tag == "#text"]
+    math = ("<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow>"
+            "<annotation encoding='application/x-tex'>x=2</annotation></semantics></math>")
+    assert blocks(f"<p>where {math} holds</p><p>end</p>") == ["where x=2 holds", "end"]
+    assert blocks("<p>a <math><annotation>x</p><p>b") == ["a", "b"]
+
+
 def test_decoder_is_the_best_choice_without_contradiction():
     rng = np.random.default_rng(2)
     shape = parse("<div><p>a</p><ul><li>b</li><li>c</li></ul></div><p>d</p>")

@@ -47,7 +47,7 @@ MAIN_WORDS = frozenset("article articlebody body content entry main post story t
 FURNITURE_WORDS = frozenset(
     ("ad ads advert advertisement adsense alert aside author avatar banner bar breadcrumb breadcrumbs button byline "
      "caption category comment comments contentinfo cookie cookies copyright consent credit crumbs disclaimer disqus "
-     "dialog dropdown feedback foot footer form gdpr head header hero hidden legal links login logo masthead menu meta "
+     "dialog dropdown feedback foot footer form gdpr head header hero legal links login logo masthead menu meta "
      "modal nav navbar navigation newsletter notice notification overlay pager pagination paging paywall popular popup "
      "privacy promo promoted rail reader reactions recommended related replies reply respond response responses reviews "
      "rss search share sharing shoutbox sidebar signup skip skyscraper social sponsor sponsored subscribe subscription "

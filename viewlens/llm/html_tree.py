@@ -9,8 +9,15 @@ from dataclasses import dataclass, field
 # HTML element classes (WHATWG HTML living standard).
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset(("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s "
-                    "samp small span strike strong sub sup time tt u var wbr").split())
-HIDDEN = frozenset("head iframe math noscript object script style svg template textarea title".split())
+                    "samp small span strike strong sub sup time tt u var wbr "
+              # MathML: formulas are part of the sentence around them
+              "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms "
+              "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics").split())
+HIDDEN = frozenset("head iframe noscript object script style svg template textarea title".split())
+# A formula's source in another notation; inside math only.
+ANNOTATION = frozenset(("annotation", "annotation-xml"))
+# What may stand in a head; any other element, or text, ends one that was not closed.
+IN_HEAD = frozenset("base link meta noframes noscript script style template title".split())
 # An opening tag closes an open element of these kinds (optional end tags).
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
           "th": ("td", "th"), "option": ("option",), "thead": (), "tbody": ("thead", "tr", "td", "th"),
@@ -23,7 +30,10 @@ MARKUP = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDING = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ANY_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+MAY_HIDE = re.compile(r"hidden|none", re.I)
+STYLE_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)\s*(!\s*important)?")
 ATTRIBUTE_TOKEN = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 WHITE = re.compile(r"\s+")
@@ -49,6 +59,19 @@ def attribute_tokens(attrs: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def hides_itself(attrs: str) -> bool:
+    """Whether an element's attributes hide it: ``hidden``, ``aria-hidden`` or its style's ``display``."""
+    if not MAY_HIDE.search(attrs):
+        return False
+    values: dict[str, str] = {}
+    for m in ANY_ATTRIBUTE.finditer(attrs):  # of a repeated attribute the first counts
+        values.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").strip().lower())
+    if values.get("hidden", "until-found") != "until-found" or values.get("aria-hidden") == "true":
+        return True
+    shown = DISPLAY.findall(STYLE_COMMENT.sub("", values.get("style", "")))
+    return bool(shown) and ([d for d, important in shown if important] or [d for d, _ in shown])[-1] == "none"
+
+
 def parse(source: str) -> list[Node]:
     """Nodes in page order; node 0 is the page.  Hidden elements and comments leave nothing."""
     nodes = [Node("#page", -1, 0)]
@@ -85,13 +108,19 @@ def parse(source: str) -> list[Node]:
                 break
         return 0
 
-    at = 0
-    for m in MARKUP.finditer(source):
-        if m.start() > at and not hidden:
-            piece = source[at:m.start()]
+    def add(piece: str) -> None:
+        nonlocal pending_links
+        if hidden and stack[-1][0] == "head" and not piece.isspace():
+            pop_to(len(stack) - 1)
+        if not hidden:
             pending.append(piece)
             if links:
                 pending_links += len(piece)
+
+    at = 0
+    for m in MARKUP.finditer(source):
+        if m.start() > at:
+            add(source[at:m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
@@ -104,6 +133,13 @@ def parse(source: str) -> list[Node]:
                 flush() if tag == "p" else pending.append(" ")
             continue
         attrs = m["attrs"]
+        if hidden and stack[-1][0] == "head" and tag not in IN_HEAD:
+            pop_to(len(stack) - 1)
+        if tag in ANNOTATION and innermost(("math",)):
+            if not attrs.endswith("/"):
+                hidden += 1
+                stack.append((tag, -1, True))
+            continue
         if tag in INLINE:
             if tag in ("br", "img", "wbr"):
                 pending.append(" " if tag == "br" else "")
@@ -120,18 +156,16 @@ def parse(source: str) -> list[Node]:
         flush()
         if tag in VOID or attrs.endswith("/") and tag in ("hr", "p", "div"):
             continue
-        hides = tag in HIDDEN or bool(attrs and HIDING.search(attrs))
-        hidden += hides
-        if tag == "body" and hidden:  # a head that was never closed ends here
+        if tag == "body" and hidden:  # what was left open in the head ends here
             pop_to(1)
-            hides = False
+        # pages that hide their root show it by script
+        hides = tag in HIDDEN or bool(attrs) and tag not in ("html", "body") and hides_itself(attrs)
+        hidden += hides
         nodes[block].children.append(len(nodes))
         nodes.append(Node(tag, block, nodes[block].depth + 1, attribute_tokens(attrs) if attrs else ()))
         block = len(nodes) - 1
         stack.append((tag, block, hides))
-    if at < len(source) and not hidden:
-        pending.append(source[at:])
-        if links:
-            pending_links += len(source) - at
+    if at < len(source):
+        add(source[at:])
     flush()
     return nodes
