@@ -141,6 +141,25 @@ def test_extraction_of_odd_rows(spark, model):
     assert H.main_text(df.limit(0)).count() == 0
 
 
+def test_trees_are_fitted_on_pages_of_any_length(spark, model, monkeypatch):
+    given = []
+    monkeypatch.setattr(H, "fit", lambda sources: given.append(sources) or model)
+    # one page in a hundred is short
+    df = spark.range(1000).selectExpr("id AS page_id", "'u' AS url", "concat('<article><p>', id, repeat(' word', "
+                                      "if(id % 100 = 0, 200, 6200)), '</p></article>') AS html")
+    H.main_text(df)
+    assert len(given[0]) >= 140 and sum(map(len, given[0])) <= H.SAMPLE_CHARS
+    H.main_text(df.unionAll(df.selectExpr("page_id + 1000", "url", "''")))  # empty pages do not shrink it
+    assert len(given[1]) >= 140 and all(given[1])
+    monkeypatch.setattr(H, "SAMPLE_CHARS", 100_000)
+    H.main_text(df)
+    assert 3 <= len(given[2]) and sum(map(len, given[2])) <= 100_000
+    H.main_text(df.where("page_id % 100 > 0").unionAll(df.selectExpr("NULL", "url", "html").limit(1)))
+    monkeypatch.setattr(H, "SAMPLE_CHARS", 10)
+    H.main_text(df.where("page_id % 100 > 0"))
+    assert len(given[3]) == 3 and len(given[4]) == 1
+
+
 def test_boosted_trees_learn_an_exclusive_or():
     rng = np.random.default_rng(1)
     x = rng.random((2000, 5))

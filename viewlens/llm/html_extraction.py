@@ -9,7 +9,8 @@ nodes among those without contradiction: under a node without main text nothing
 any, and a node with main text has a child with some.  The chosen runs, in page order,
 are the text.
 
-The trees are fitted here, on nodes of at most ``SAMPLE`` pages: pages whose markup
+The trees are fitted here, on nodes of at most ``SAMPLE`` pages of any length, together
+no longer than ``SAMPLE_CHARS`` (if each is longer, the shortest): pages whose markup
 names their article (an ``article`` or ``main`` element) are the truth, as they are
 and set anew in made-up page layouts (other wrappers, with menus, side bars, notices,
 adverts, forms and comments around and inside the article), so that the model does not
@@ -36,8 +37,8 @@ from viewlens.llm.common import hash_sample, importable
 from viewlens.llm.gradient_boosting import BoostedTrees
 from viewlens.llm.html_tree import Node, parse
 
-# Pages that the trees are fitted on, none longer than SAMPLE_CHARS, and layouts made of each.
-SAMPLE, SAMPLE_CHARS, LAYOUTS = 150, 30_000, 3
+# Pages that the trees are fitted on, their characters in all, and layouts made of each.
+SAMPLE, SAMPLE_CHARS, LAYOUTS = 150, 4_500_000, 3
 SEED = 11
 # Pages whose nodes the trees are applied to at a time.
 PAGES = 100
@@ -287,13 +288,30 @@ def fit(sources: list[str]) -> BoostedTrees:
     return BoostedTrees().fit(np.concatenate(rows), np.concatenate(truth))
 
 
+def training_pages(rows: DataFrame) -> list[str]:
+    """The pages that the trees are fitted on: those with the least id hashes, as far as they fit."""
+    filled = rows.withColumn("chars", F.length("html")).where("chars > 0")
+    sizes = hash_sample(filled.select("page_id", "chars"), "page_id", SAMPLE)
+    found = list(dict.fromkeys(map(tuple, sizes.collect())))
+    chosen, left = [], SAMPLE_CHARS
+    for page_id, chars in found:
+        if chars <= left:
+            chosen.append((page_id, chars))
+            left -= chars
+    if found and not chosen:
+        chosen = [min(found, key=lambda x: x[1])]
+    # at most SAMPLE rows, so they may be broadcast
+    keys = F.broadcast(rows.sparkSession.createDataFrame(chosen, sizes.schema).toDF("of_page", "of_chars"))
+    got = filled.join(keys, F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("chars") == F.col("of_chars")))
+    got = got.groupBy("page_id", "chars").agg(F.min("html").alias("html"))
+    return got.orderBy(F.xxhash64("page_id"), "page_id", "chars").toPandas()["html"].tolist()
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` (code points) of every page."""
     importable(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    short = rows.where(F.length("html").between(1, SAMPLE_CHARS))
-    sample = hash_sample(short, "page_id", SAMPLE, pages.count()).select("html").toPandas()["html"]
-    model = fit(sample.tolist())
+    model = fit(training_pages(rows))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
