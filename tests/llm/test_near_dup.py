@@ -92,6 +92,34 @@ def test_near_groups_equal_brute_force(spark, monkeypatch, blocks):
     assert {r.doc_id for r in left.collect()} == set(want.values())
 
 
+def test_bundles_of_a_group_of_many_blocks_hold_two_blocks(spark, monkeypatch):
+    """One group of near copies of many blocks, with one of its rows repeated very often."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.group import GroupedData
+    monkeypatch.setattr(M, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(M, "BLOCK_SHINGLES", 2000)
+    largest = {}
+    apply = GroupedData.applyInPandas
+
+    def measured(self, func, schema):
+        rows = self._df
+        if "bundle" in rows.columns:
+            volume = F.sum(F.length("shingles") / 8) if "shingles" in rows.columns else F.count(F.lit(1))
+            what = "shingles" if "shingles" in rows.columns else "rows"
+            largest[what] = rows.groupBy("bundle").agg(volume.alias("v")).agg(F.max("v")).first()[0]
+        return apply(self, func, schema)
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", measured)
+    base = [f"w{k}" for k in range(104)]
+    rows = [(k, " ".join([*base, f"end{k}"])) for k in range(200)]  # 101 shingles each: 11 blocks
+    rows += [rows[7]] * 300
+    df = spark.createDataFrame([(i, t, "en", "yes") for i, t in rows], SCHEMA)
+    got = M.near_groups(df).collect()
+    assert len(got) == 500 and {r.component_id for r in got} == {0}
+    # two blocks, dealt by hash: some blocks are larger than the mean
+    assert largest["rows"] <= 2 * 20 * 2 and largest["shingles"] <= 2 * 2000 * 2, largest
+
+
 def test_near_groups_with_null_and_repeated_ids(spark):
     a, b = "one two three four five six seven eight", "alpha beta gamma delta epsilon zeta eta theta"
     rows = [(5, a), (5, a), (None, a), (7, b), (5, b), (None, "quite alone in here now"), (9, ""), (None, None)]

@@ -16,7 +16,8 @@
 
 A bucket or component beyond the size of one task is split into blocks, and every
 two blocks meet in a task of their own, so groups of any size stay exact and each
-task's memory is bounded.  With 6 rows and 24 bands, a pair at the threshold 0.85 is
+task's memory is bounded: it holds two blocks, or many small groups that together
+are about one.  With 6 rows and 24 bands, a pair at the threshold 0.85 is
 missed with probability (1 - 0.85**6)**24 = 1e-5 by the bands, and a link is
 discarded on fingerprints only if the estimate lies 4.5 standard deviations low.
 
@@ -130,21 +131,24 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInPandas(run, f"doc_id {kind}, n long, digest binary, prints binary, bands array<long>")
 
 
-def _block_pairs(rows: DataFrame, key: list[str], spread: str) -> DataFrame:
+def _block_pairs(rows: DataFrame, key: list[str], spread: str, bundles: int) -> DataFrame:
     """Deals the rows of each key over ``blocks`` blocks and copies them so that all blocks meet.
 
     A group with one block is one task's work.  With more, block i goes to the
     tasks (0, i) .. (i, i) .. (i, last), so any two rows are together in one task.
-    ``task`` names the place of the comparison.
+    ``task`` names the place of the comparison.  Tasks of one-block groups share
+    ``bundles`` bundles; any other task, as large as two blocks, is a bundle of its own.
     """
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     return (rows.withColumn("mine", F.pmod(F.xxhash64(spread), F.col("blocks"))).withColumn("other", other)
             .withColumn("task", F.xxhash64(*key, F.least("mine", "other"), F.greatest("mine", "other")))
+            .withColumn("bundle", F.when(F.col("blocks") > 1, F.col("task"))
+                        .otherwise(F.pmod(F.col("task"), F.lit(bundles))))
             .drop("mine", "other", "blocks", *key))
 
 
-def _in_bundles(rows: DataFrame, bundles: int, kind: str, edges_of) -> DataFrame:
-    """The edges that ``edges_of`` finds among the rows of each task, many small tasks at a time."""
+def _in_bundles(rows: DataFrame, kind: str, edges_of) -> DataFrame:
+    """The edges that ``edges_of`` finds among the rows of each task, a bundle of tasks at a time."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
         group = group.sort_values("task", kind="stable")
@@ -158,7 +162,6 @@ def _in_bundles(rows: DataFrame, bundles: int, kind: str, edges_of) -> DataFrame
             start = end
         return pd.DataFrame({"a": a, "b": b}, dtype=object)
 
-    rows = rows.withColumn("bundle", F.pmod(F.col("task"), F.lit(bundles)))
     return rows.groupBy("bundle").applyInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
@@ -177,15 +180,15 @@ def candidate_edges(classes: DataFrame, threshold: int) -> DataFrame:
     sizes = (entries.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
              .select("band", "hash", F.ceil(F.col("m") / BUCKET_ROWS).alias("blocks")))
     members = written(entries.join(sizes, ["band", "hash"]), "buckets")
-    bundles = 1 + members.count() // BUCKET_ROWS
+    bundles = 1 + members.where("blocks = 1").count() // BUCKET_ROWS
     # classes that share no bucket are out by now; only the others' fingerprints are sent
-    rows = _block_pairs(members, ["band", "hash"], "rep").join(classes.select("rep", "prints"), "rep")
+    rows = _block_pairs(members, ["band", "hash"], "rep", bundles).join(classes.select("rep", "prints"), "rep")
 
     def edges_of(group: pd.DataFrame) -> tuple[list, list]:
         prints = np.frombuffer(b"".join(group["prints"]), np.uint8).reshape(len(group), -1)
         return alike_rows(prints, group["rep"].to_numpy(), least_agreement(prints.shape[1], threshold))
 
-    return _in_bundles(rows, bundles, classes.schema["rep"].dataType.simpleString(), edges_of)
+    return _in_bundles(rows, classes.schema["rep"].dataType.simpleString(), edges_of)
 
 
 def linked_sets(sets: list[np.ndarray], ids: np.ndarray, threshold: int) -> tuple[list, list]:
@@ -213,7 +216,7 @@ def confirmed_edges(docs: DataFrame, id_col: str, text_col: str, groups: DataFra
     total = groups.groupBy("grp").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("m"))
     blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("m") / BUCKET_ROWS))
     named = written(groups.join(total.select("grp", blocks.alias("blocks")), "grp"), "blocks")
-    bundles = 1 + (named.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES
+    bundles = 1 + (named.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES
     # the members grow with the corpus: the same sort-merge plan at every size, no broadcast of small ones
     texts = (docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
              .join(named.select("rep", "digest", "grp", "blocks").hint("merge"), "rep"))
@@ -227,14 +230,13 @@ def confirmed_edges(docs: DataFrame, id_col: str, text_col: str, groups: DataFra
             yield b.drop(columns="text").assign(shingles=found)[same]
 
     full = texts.mapInPandas(sets, f"rep {kind}, digest binary, grp {kind}, blocks long, shingles binary")
+    # rows that repeat an id and its text are one from here on
+    full = full.groupBy("rep", "digest").agg(*[F.first(c).alias(c) for c in ("grp", "blocks", "shingles")])
 
     def edges_of(group: pd.DataFrame) -> tuple[list, list]:
-        group = group.drop_duplicates(["rep", "digest"])
-        if len(group) < 2:
-            return [], []
         return linked_sets([np.frombuffer(s, np.uint64) for s in group["shingles"]], group["rep"].to_numpy(), threshold)
 
-    return _in_bundles(_block_pairs(full, ["grp"], "rep"), bundles, kind, edges_of)
+    return _in_bundles(_block_pairs(full, ["grp"], "digest", bundles), kind, edges_of)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
