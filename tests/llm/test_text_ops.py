@@ -372,3 +372,13 @@ def test_batches_are_bounded_and_smaller_bounds_kept(spark):
             assert spark.conf.get(name) == want
     finally:
         spark.conf.set(name, old)
+
+
+def test_labels_of_one_kind_reject_nothing(spark):
+    """All labels are good and name documents of host A; host B has none."""
+    docs = spark.createDataFrame([(k, f"text number {k} of many", "A" if k < 100 else "B", "en") for k in range(500)],
+                                 "doc_id long, text string, source string, lang string")
+    for good in (1, 0):
+        labels = spark.createDataFrame([(k, good) for k in range(100)], "id long, good int")
+        assert {(r.score, r.kept) for r in quality.scores(docs, labels).collect()} == {(0.5, True)}
+        assert quality.good_documents(docs, labels).count() == 500

@@ -19,8 +19,9 @@ regression uses a sample, of at most ``SAMPLE`` labelled documents.
 
 Defined results: null text is empty; a null host or path is a site of its own.  If
 several labels name an id the best one counts; labels that are null or name no
-document count for nothing.  Without labelled documents of both kinds there is no
-evidence: all documents have even odds and are kept.
+document count for nothing.  If the labelled documents that the regression is fitted
+on are not of both kinds there is no evidence: labels count for nothing in the site
+counts either, all documents have even odds and are kept.
 """
 
 from __future__ import annotations
@@ -190,7 +191,7 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host
     scored = written(docs.select(
         F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"),
         evidence(model, F.col(text_col)).alias("doc_log_odds")), "evidence")
-    return model, scored, site_posteriors(scored, labels)
+    return model, scored, site_posteriors(scored, labels if model else labels.limit(0))
 
 
 def _score(doc_log_odds: str, path_rate: str, global_rate: str) -> Column:
