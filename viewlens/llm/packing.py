@@ -11,8 +11,9 @@ size, and each group is packed by best fit decreasing: pieces from long to
 short, each into the open sequence with the least room that still holds it.  A
 segment tree over the remaining capacities finds that sequence in logarithmic
 time.  A second round takes the sequences that the groups left emptiest (at
-most ``LOOSE`` of each group) and packs them again together, so that the number
-of groups costs no sequences.
+most ``LOOSE`` of each group) and packs them again together.  Where most pieces
+exceed half a sequence, a group can leave more half-empty sequences than that;
+those stay as they are, and groups cost some sequences (figures in the README).
 
 Defined results: null text is empty, and an empty document is its end id alone;
 every row is a document of its own, also if rows repeat; null ids are kept.
