@@ -20,10 +20,12 @@ from viewlens.llm import (
     sentencepiece_codec,
     sharding,
     token_counts,
+    token_files,
 )
 from viewlens.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -68,6 +70,11 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scores(table(spark, folder, "documents"), quality.best_labels(table(spark, folder, "labels")))
 
 
+def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = token_files.write(table(spark, folder, "documents"), BYTE_BPE)
+    return token_files.read(spark, path, with_ids=False)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
     return corpus_pipeline.run(spark, folder)
@@ -75,7 +82,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_lm_scoring, op2_exact_dedup, op3_token_counts, op4_html_extraction, op5_minhash_dedup,
-    op6_embedding_dedup, op7_best_fit_packing, op8_sentencepiece, op9_sharding, op10_quality_classifier, pipeline)}
+    op6_embedding_dedup, op7_best_fit_packing, op8_sentencepiece, op9_sharding, op10_quality_classifier,
+    op11_token_files, pipeline)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
