@@ -82,6 +82,16 @@ class Chunks:
             self._cut_again(texts, lead, odd, sum(map(len, vocabulary)), vocabulary)
         self.vocabulary = pa.concat_arrays(vocabulary) if len(vocabulary) > 1 else vocabulary[0]
 
+    @classmethod
+    def uncut(cls, texts: pa.Array, lead: str = "") -> Chunks:
+        """Every text is one chunk."""
+        self = cls.__new__(cls)
+        numbered = pc.binary_join_element_wise(lead, texts, "").dictionary_encode()
+        self.vocabulary, self.codes = numbered.dictionary, numbered.indices.to_numpy()
+        self.begin = np.arange(len(texts))
+        self.end = self.begin + 1
+        return self
+
     @staticmethod
     def _any(marks: np.ndarray, starts: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(marks)])
@@ -107,24 +117,23 @@ class Chunks:
         found += [" " + p for p in parts[1:]]
         return np.array([number.setdefault(c, len(number)) for c in found], np.int64)
 
-    def put_back(self, values: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """Values of the vocabulary (binary or string) at every chunk, and the byte offsets of the chunks."""
-        if sum(values.nbytes for _ in (1,)) and len(self.codes) and self._total(values) > 2**31 - 2**20:
-            values = values.cast(pa.large_binary() if pa.types.is_binary(values.type) else pa.large_string())
-        found = values.take(pa.array(self.codes))
-        wide = np.int64 if pa.types.is_large_binary(found.type) or pa.types.is_large_string(found.type) else np.int32
-        offsets = np.frombuffer(found.buffers()[1], wide)[found.offset:found.offset + len(found) + 1].astype(np.int64)
-        return found, offsets
-
-    def _total(self, values: pa.Array) -> int:
-        return int(pc.binary_length(values).to_numpy(zero_copy_only=False)[self.codes].sum(dtype=np.int64))
-
     def of_texts(self, values: pa.Array) -> list[memoryview]:
-        """The values of each text's chunks, one after another, as bytes."""
-        found, offsets = self.put_back(values)
-        data = memoryview(found.buffers()[2]) if len(found) and found.buffers()[2] else memoryview(b"")
+        """The values (large binary, one for each chunk of the vocabulary) of each text's chunks in order."""
+        if not len(self.codes):
+            return [memoryview(b"")] * len(self.begin)
+        found = values.take(pa.array(self.codes))
+        offsets = np.frombuffer(found.buffers()[1], np.int64)[found.offset:found.offset + len(found) + 1]
+        data = memoryview(found.buffers()[2] or b"")
         return [data[i:j] for i, j in zip(offsets[self.begin].tolist(), offsets[self.end].tolist())]
 
+    def occurrences(self, of: np.ndarray) -> np.ndarray:
+        """How often each chunk of the vocabulary occurs in the texts that ``of`` marks."""
+        change = np.zeros(len(self.codes) + 1, np.int64)
+        np.add.at(change, self.begin[of], 1)
+        np.add.at(change, self.end[of], -1)
+        inside = np.cumsum(change)[:-1] > 0
+        return np.bincount(self.codes[inside], minlength=len(self.vocabulary))
+
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Per text, the sum over its chunks of a number of each chunk."""
         total = np.concatenate([[0], np.cumsum(values[self.codes])])
