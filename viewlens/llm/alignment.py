@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +43,8 @@ from viewlens.llm.common import importable, worker_tables, written
 from viewlens.llm.csr import Csr
 from viewlens.llm.sentencepiece_codec import MARK, Codec
 
+# Bytes of text that are aligned side by side: the matrices and groups of a block take about fifty times that.
+BLOCK_BYTES = 4 << 20
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_group_links")
 
 
@@ -166,18 +167,11 @@ class Aligner:
         self.strings = Strings(n_a, sp.get_piece_size())
 
     def cut(self, texts: pa.Array) -> Chunks:
-        found = Chunks(texts, " ") if self.codec.by_chunk else Chunks.uncut(texts, " ")
-        empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        found.end[empty] = found.begin[empty]
-        return found
+        return self.codec.cut(texts)
 
     def align(self, chunks: pa.Array) -> Aligned:
         """All chunks begin with a space; the second tokenizer puts it there itself."""
-        a = ids_of(self.byte_level.of_chunks(chunks))
-        found = self.codec.sp.encode(pc.utf8_slice_codeunits(chunks, 1).to_pylist(), num_threads=1)
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        b = np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))
-        return Aligned(chunks, a, (b, counts), self)
+        return Aligned(chunks, ids_of(self.byte_level.of_chunks(chunks)), self.codec.ids(chunks), self)
 
 
 def aligner(a: str, b: str) -> Aligner:
@@ -189,7 +183,7 @@ def alignments(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col
     two tokens and the bytes that they share) and ``groups`` as text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = aligner(a, b)
-        for t in groups(batches):
+        for t in groups(batches, size_of_group=BLOCK_BYTES):
             cut = tools.cut(whole(t.column("text")))
             found = tools.align(cut.vocabulary)
             links = {}
@@ -241,7 +235,7 @@ def aligned_blocks(rows: DataFrame, a: str, b: str) -> DataFrame:
     ``pairs``, and how many links each chunk has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools, block = aligner(a, b), TaskContext.get().partitionId() << 32
-        for t in groups(batches):
+        for t in groups(batches, size_of_group=BLOCK_BYTES):
             cut = tools.cut(whole(t.column("text")))
             found = tools.align(cut.vocabulary)
             good = (cut.sums((~found.spelt).astype(np.int64)) == 0) & (cut.end > cut.begin)

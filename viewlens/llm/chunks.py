@@ -21,14 +21,15 @@ import pyarrow.compute as pc
 GROUP_BYTES = 16 << 20
 # Characters of a long text that are cut at a time.
 SECTION = 1 << 20
-# A space in front of a word; Python's \S excludes all that any tokenizer takes for white space.
-CUT = re.compile(r"(?<! ) (?=\S)")
-# The same set of white space in RE2's terms: a part of a text split at spaces that no word begins.
-NO_WORD = r"^(?:\z|[\s\x0b\x1c-\x1f\x{85}\pZ])"
+# A space between words; Python's \S excludes all that any tokenizer takes for white space, and U+2581 is a
+# space to some.
+CUT = re.compile(r"(?<![ ▁]) (?=[^\s▁])")
+# The same in RE2's terms: a part of a text split at spaces that is no word, or that U+2581 begins or ends.
+NO_WORD = r"^(?:\z|[\s\x0b\x1c-\x1f\x{85}\pZ▁])|▁\z"
 
 
-def groups(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.Table]:
-    """The batches in tables of about ``GROUP_BYTES`` of text, whole rows, null texts empty."""
+def groups(batches: Iterator[pa.RecordBatch], text: str = "text", size_of_group: int = GROUP_BYTES) -> Iterator[pa.Table]:
+    """The batches in tables of about ``size_of_group`` bytes of text, whole rows, null texts empty."""
     held: list[pa.RecordBatch] = []
     size = 0
 
@@ -41,7 +42,7 @@ def groups(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         if b.num_rows:
             held.append(b)
             size += b.column(b.schema.get_field_index(text)).nbytes
-        if size >= GROUP_BYTES:
+        if size >= size_of_group:
             yield table()
             held, size = [], 0
     if held:
@@ -52,7 +53,53 @@ def whole(column: pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
 
-class Chunks:
+class Coded:
+    """Texts as numbers of the entries of ``vocabulary``: text k is codes[begin[k]:end[k]]."""
+
+    vocabulary: pa.Array
+    codes: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+
+    def of_texts(self, values: pa.Array) -> list[memoryview]:
+        """The values (large binary, one for each chunk of the vocabulary) of each text's chunks in order."""
+        if not len(self.codes):
+            return [memoryview(b"")] * len(self.begin)
+        found = values.take(pa.array(self.codes))
+        offsets = np.frombuffer(found.buffers()[1], np.int64)[found.offset:found.offset + len(found) + 1]
+        data = memoryview(found.buffers()[2] or b"")
+        return [data[i:j] for i, j in zip(offsets[self.begin].tolist(), offsets[self.end].tolist())]
+
+    def occurrences(self, of: np.ndarray) -> np.ndarray:
+        """How often each chunk of the vocabulary occurs in the texts that ``of`` marks."""
+        change = np.zeros(len(self.codes) + 1, np.int64)
+        np.add.at(change, self.begin[of], 1)
+        np.add.at(change, self.end[of], -1)
+        inside = np.cumsum(change)[:-1] > 0
+        return np.bincount(self.codes[inside], minlength=len(self.vocabulary))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Per text, the sum over its chunks of a number of each chunk."""
+        total = np.concatenate([[0], np.cumsum(values[self.codes])])
+        return total[self.end] - total[self.begin]
+
+
+class Words(Coded):
+    """The words between ASCII white space."""
+
+    def __init__(self, texts: pa.Array):
+        lists = pc.ascii_split_whitespace(texts)
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        numbered = lists.flatten().dictionary_encode()
+        codes = numbered.indices.to_numpy()
+        empty = pc.index(numbered.dictionary, "").as_py()  # before the first and after the last white space
+        before = np.concatenate([[0], np.cumsum(codes != empty)])
+        self.vocabulary, self.codes = numbered.dictionary, codes[codes != empty]
+        starts = before[starts - starts[0]]
+        self.begin, self.end = starts[:-1], starts[1:]
+
+
+class Chunks(Coded):
     """``vocabulary``: the distinct chunks as they stand in the texts, the space before included;
     ``codes``: their numbers, in order within a text; text k has codes[begin[k]:end[k]].
 
@@ -117,28 +164,6 @@ class Chunks:
         found += [" " + p for p in parts[1:]]
         return np.array([number.setdefault(c, len(number)) for c in found], np.int64)
 
-    def of_texts(self, values: pa.Array) -> list[memoryview]:
-        """The values (large binary, one for each chunk of the vocabulary) of each text's chunks in order."""
-        if not len(self.codes):
-            return [memoryview(b"")] * len(self.begin)
-        found = values.take(pa.array(self.codes))
-        offsets = np.frombuffer(found.buffers()[1], np.int64)[found.offset:found.offset + len(found) + 1]
-        data = memoryview(found.buffers()[2] or b"")
-        return [data[i:j] for i, j in zip(offsets[self.begin].tolist(), offsets[self.end].tolist())]
-
-    def occurrences(self, of: np.ndarray) -> np.ndarray:
-        """How often each chunk of the vocabulary occurs in the texts that ``of`` marks."""
-        change = np.zeros(len(self.codes) + 1, np.int64)
-        np.add.at(change, self.begin[of], 1)
-        np.add.at(change, self.end[of], -1)
-        inside = np.cumsum(change)[:-1] > 0
-        return np.bincount(self.codes[inside], minlength=len(self.vocabulary))
-
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """Per text, the sum over its chunks of a number of each chunk."""
-        total = np.concatenate([[0], np.cumsum(values[self.codes])])
-        return total[self.end] - total[self.begin]
-
 
 def sections(text: str, size: int = SECTION) -> Iterator[str]:
     """The text in pieces of about ``size`` characters, all but the first beginning with a space and a word."""

@@ -90,25 +90,34 @@ def hash_sample(df: DataFrame, key: str, size: int, total: int | None = None) ->
     return share.orderBy(h, key).limit(size)
 
 
+# Longer words are computed at every occurrence and never stored.
+LONGEST = 1000
+# About the bytes that an entry takes besides the word's and the value's own.
+ENTRY = 200
+
+
 class WordMemo(dict):
     """Computes a value for each distinct word once, in bounded memory.
 
-    Holds at most two generations of ``limit`` words: when the young one is
-    full it becomes the old one, and words that are asked for again move back.
-    Frequent words therefore stay, and rare ones are computed again later, so
-    the bound never changes a result.
+    Holds at most two generations of ``limit`` words and about ``room`` bytes: when
+    the young one is full it becomes the old one, and words that are asked for again
+    move back.  Frequent words therefore stay, and rare ones are computed again
+    later, so the bounds never change a result.
     """
 
-    def __init__(self, compute, limit: int = 300_000):
+    def __init__(self, compute, limit: int = 300_000, room: int = 32 << 20):
         super().__init__()
-        self.compute, self.limit, self.old = compute, limit, {}
+        self.compute, self.limit, self.room, self.used, self.old = compute, limit, room, 0, {}
 
     def __missing__(self, word):
+        if len(word) > LONGEST:
+            return self.compute(word)
         value = self.old.get(word)
         if value is None:
             value = self.compute(word)
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        if len(self) >= self.limit or self.used > self.room:
+            self.old, self.used = self.copy(), 0
             self.clear()
+        self.used += ENTRY + len(word) + (len(value) if isinstance(value, bytes) else 0)
         self[word] = value
         return value

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 # Entry products that are expanded at a time.
-EXPANDED = 1 << 20
+EXPANDED = 1 << 18
 
 
 class Csr:

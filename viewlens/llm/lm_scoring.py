@@ -28,12 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from viewlens.llm.chunks import groups, whole
 from viewlens.llm.common import free_name, importable, written
-from viewlens.llm.sentencepiece_codec import codec
+from viewlens.llm.sentencepiece_codec import codec, id_bytes
 
 BLOCK_TOKENS = 4_000_000
 # Weight of the unigram model in a bigram's context, and of the uniform in the unigram model.
@@ -51,20 +53,22 @@ def _bigrams(ids: np.ndarray, start: int) -> np.ndarray:
 
 def token_blocks(marked: DataFrame, model: str) -> DataFrame:
     """``marked`` (doc_id, text, target) as tokens, with the number of the block that each row is in."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, seen = codec(model), 0
         part = TaskContext.get().partitionId() << 32
-        for b in batches:
-            ids = [b"".join([r[1] for r in c.rows(t or "")]) for t in b["text"]]
-            ends = seen + np.cumsum([len(x) // 4 for x in ids])
-            seen = int(ends[-1]) if len(ends) else seen
-            small = [np.frombuffer(x, np.int32).astype(np.uint16 if wide == 2 else np.uint32).tobytes() for x in ids]
-            yield pd.DataFrame({"block": part + ends // BLOCK_TOKENS, "doc_id": b["doc_id"],
-                                "target": b["target"], "ids": small})
+        for t in groups(batches):
+            cut = c.cut(whole(t.column("text")))
+            ids, counts = c.ids(cut.vocabulary)
+            ends = seen + np.cumsum(cut.sums(counts))
+            seen = int(ends[-1])
+            small = [bytes(x) for x in cut.of_texts(id_bytes(ids, counts, f"<u{wide}"))]
+            yield pa.record_batch({"block": pa.array(part + ends // BLOCK_TOKENS),
+                                   "doc_id": t.column("doc_id").combine_chunks(),
+                                   "target": t.column("target").combine_chunks(), "ids": pa.array(small, pa.binary())})
 
     wide = token_width(model)
     kind = marked.schema["doc_id"].dataType.simpleString()
-    return marked.mapInPandas(run, f"block long, doc_id {kind}, target boolean, ids binary")
+    return marked.mapInArrow(run, f"block long, doc_id {kind}, target boolean, ids binary")
 
 
 def token_width(model: str) -> int:
@@ -88,6 +92,12 @@ def block_counts(tokens: DataFrame, start: int, wide: int) -> DataFrame:
     return parts.groupBy("block", "bigram").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
+def _own(pieces: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """For each place, how often its piece occurs in all places."""
+    _, at = np.unique(pieces, return_inverse=True)
+    return np.bincount(at, times)[at]
+
+
 class Model:
     """Smoothed bigram losses of documents, from corpus counts without the document's own."""
 
@@ -98,11 +108,9 @@ class Model:
         """Loss of each distinct bigram of a document, whose own counts are ``own`` (times ``mine``)."""
         size = len(self.unigrams)
         context, token = bigram // size, bigram % size
-        own_tokens = np.bincount(token, own, size) * mine
-        own_contexts = np.bincount(context, own, size) * mine
-        unigram = ((self.unigrams[token] - own_tokens[token] + UNIGRAM_PRIOR / size)
+        unigram = ((self.unigrams[token] - _own(token, own) * mine + UNIGRAM_PRIOR / size)
                    / (self.total - own.sum() * mine + UNIGRAM_PRIOR))
-        seen = self.contexts[context] - own_contexts[context]
+        seen = self.contexts[context] - _own(context, own) * mine
         return -np.log((corpus - own * mine + BIGRAM_PRIOR * unigram) / (seen + BIGRAM_PRIOR))
 
 

@@ -2,12 +2,12 @@
 
 If no piece of the model has a white-space marker after another character, no
 merge crosses from a word into the marker of the next, so a text can be cut
-before every run of markers and its ids are those of the chunks one after
-another.  Each task keeps a table of the distinct marked words it has met: a
-word is segmented (and decoded) once and every occurrence takes its ids by
-position.  The table is per task rather than one shuffled table for the corpus,
-because a row per word occurrence is several times the input; tables are
-bounded (``WordMemo``), so words of unlimited number only cost time.
+before a space that a word follows and its ids are those of the chunks (marked
+words, see ``chunks``) one after another.  Each task numbers the distinct chunks of
+a group of texts; a chunk is segmented (and decoded) once and every occurrence takes
+its ids by position.  The table is per group of texts rather than one shuffled table
+for the corpus, because a row per word occurrence is several times the input; a
+group is bounded in bytes, so words of unlimited number or length only cost time.
 
 The property of the model is checked, and a model without it (or one that
 changes white space or other characters in normalising) is applied to whole
@@ -20,20 +20,20 @@ text is empty.  Rows that repeat are encoded as rows of their own.
 from __future__ import annotations
 
 import hashlib
-import re
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewlens.llm.common import WordMemo, importable, worker_tables
+from viewlens.llm.chunks import Chunks, binary, groups, whole
+from viewlens.llm.common import importable, worker_tables
 
 MARK = "▁"
-CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-PROBE = "a  b\tc\n d\r 　é ①ﬁ "
+PROBE = "a  b\tc\n d\r 　é ①ﬁ "
 
 
 class Codec:
@@ -43,65 +43,85 @@ class Codec:
         import sentencepiece
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
         pieces = (self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()))
-        self.lone = self.sp.piece_to_id(MARK)
         self.by_chunk = (not any(MARK in p.lstrip(MARK) for p in pieces)
-                         and self.lone != self.sp.unk_id()
+                         and self.sp.piece_to_id(MARK) != self.sp.unk_id()
                          and self.sp.decode(self.sp.encode(PROBE)) == PROBE
                          and self.sp.encode("a", out_type=str)[0].startswith(MARK))
-        self.table = WordMemo(self._chunk, 150_000)
+        self.decimal = pa.array([f"{i}," for i in range(self.sp.get_piece_size())], pa.large_string())
 
-    def _segment(self, text: str) -> tuple[int, bytes, str, str]:
-        ids = self.sp.encode(text)
-        return len(ids), array("i", ids).tobytes(), ",".join(map(str, ids)), self.sp.decode(ids)
+    def cut(self, texts: pa.Array) -> Chunks:
+        """Chunks with the space that the library puts in front of a text; an empty text has none."""
+        found = Chunks(texts, " ") if self.by_chunk else Chunks.uncut(texts, " ")
+        empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        found.end[empty] = found.begin[empty]
+        return found
 
-    def _chunk(self, chunk: str) -> tuple[int, bytes, str, str]:
-        if chunk == MARK:  # white space at the end of a text
-            return 1, array("i", [self.lone]).tobytes(), str(self.lone), ""
-        return self._segment(chunk[1:])  # the library puts the first marker back in front
+    def lists(self, chunks: pa.Array) -> list[list[int]]:
+        """Ids of each chunk; the library puts the space in front itself."""
+        return self.sp.encode(pc.utf8_slice_codeunits(chunks, 1).to_pylist(), num_threads=1)
 
-    def rows(self, text: str) -> list[tuple[int, bytes, str, str]]:
-        """For the text's chunks in order: number of ids, ids, ids in decimal, decoded text."""
-        if not text:
-            return []
-        if not self.by_chunk:
-            return [self._segment(text)]
-        table = self.table
-        return [table[c] for c in CHUNK.findall(MARK + text.replace(" ", MARK))]
+    def ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks one after another, and how many each has."""
+        return flat(self.lists(chunks))
 
 
-def codec(model: str) -> Codec:
-    return worker_tables(Codec, model)
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum())), counts
+
+
+def id_bytes(ids: np.ndarray, counts: np.ndarray, kind: str) -> pa.Array:
+    """The ids of each chunk as bytes of numbers of ``kind``."""
+    data = ids.astype(kind)
+    return binary(data, np.concatenate([[0], np.cumsum(counts)]) * data.itemsize)
 
 
-def _sha256(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
+def codec(model: str) -> Codec:
+    return worker_tables(Codec, model)
 
 
 def _mapped(docs: DataFrame, model: str, id_col: str, text_col: str, columns: str, make) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``make`` gives the further columns from the codec and the texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], **make([c.rows(t or "") for t in b["text"]])})
+        for t in groups(batches):
+            yield pa.record_batch({"doc_id": t.column("doc_id").combine_chunks(), **make(c, whole(t.column("text")))})
 
     importable(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {columns}")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {columns}")
 
 
 def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``ids`` (array<int>) and ``decoded`` of every document."""
-    def make(found):
-        return {"ids": [np.frombuffer(b"".join([r[1] for r in f]), np.int32) for f in found],
-                "decoded": [" ".join([r[3] for r in f]) for f in found]}
+    def make(c: Codec, texts: pa.Array) -> dict[str, pa.Array]:
+        cut = c.cut(texts)
+        lists = c.lists(cut.vocabulary)
+        ids = cut.of_texts(id_bytes(*flat(lists), "<i4"))
+        return {"ids": pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())),
+                "decoded": pa.array([str(x[1:], "utf-8") for x in cut.of_texts(_decoded(c, lists))], pa.string())}
     return _mapped(docs, model, id_col, text_col, "ids array<int>, decoded string", make)
 
 
+def _decoded(c: Codec, lists: list[list[int]]) -> pa.Array:
+    """The decoded text of each chunk after a space: decoding takes the marker off the first chunk only."""
+    texts = c.sp.decode(lists, num_threads=1) if lists else []
+    return pa.array([" " + t for t in texts], pa.large_string()).cast(pa.large_binary())
+
+
 def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_tokens`` and the SHA-256 of the decimal ids and of the decoded text."""
-    def make(found):
-        # decoding takes one marker off each chunk: the space between two chunks
-        return {"n_tokens": [sum([r[0] for r in f]) for f in found],
-                "ids_sha256": [_sha256(",".join([r[2] for r in f])) for f in found],
-                "decoded_sha256": [_sha256(" ".join([r[3] for r in f])) for f in found]}
+    def make(c: Codec, texts: pa.Array) -> dict[str, pa.Array]:
+        cut = c.cut(texts)
+        lists = c.lists(cut.vocabulary)
+        ids, counts = flat(lists)
+        written = c.decimal.take(pa.array(ids))
+        offsets = np.frombuffer(written.buffers()[1], np.int64)[:len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        ends = offsets[np.concatenate([[0], np.cumsum(counts)])]
+        decimal = binary(written.buffers()[2] if len(ids) else b"", ends)
+        sha = lambda data: hashlib.sha256(data).hexdigest()
+        return {"n_tokens": pa.array(cut.sums(counts)),
+                "ids_sha256": pa.array([sha(x[:-1]) for x in cut.of_texts(decimal)]),
+                "decoded_sha256": pa.array([sha(x[1:]) for x in cut.of_texts(_decoded(c, lists))])}
     return _mapped(docs, model, id_col, text_col,
                    "n_tokens long, ids_sha256 string, decoded_sha256 string", make)

@@ -29,7 +29,7 @@ class Shingler:
 
     def __init__(self, size: int = 5):
         self.size = size
-        self.hashes = WordMemo(xxhash.xxh64_intdigest, 100_000)
+        self.hashes = WordMemo(xxhash.xxh64_intdigest, 100_000, room=16 << 20)
 
     def set_of(self, text: str | None) -> np.ndarray:
         found = words(text or "")
