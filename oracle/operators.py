@@ -87,6 +87,21 @@ SELECT event_id AS transaction_nbr, CAST(ts AS DATE) AS dmm_date,
             WHEN event_id % 17 = 0 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY
             ELSE CAST(ts AS TIMESTAMP) END AS dmm_ts
 FROM events"""
+    q["log_window"] = LOGS + """
+SELECT logrec_sk, event_ts FROM event_log
+WHERE event_ts BETWEEN TIMESTAMP '2024-01-10 06:30:00' AND TIMESTAMP '2024-01-20 18:15:30'"""
+    q["unreadable_times"] = """
+WITH t AS (
+  SELECT event_type, CAST(ts AS DATE) AS day, event_id % 19 AS k, CAST(ts AS TIME) AS clock FROM events),
+u AS (
+  SELECT event_type, day, k, CASE WHEN k IN (3, 4, 5, 6, 7) THEN NULL
+         WHEN k = 8 THEN 86400 WHEN k = 9 THEN 7 * 3600 + 5 * 60 + 9
+         ELSE hour(clock) * 3600 + minute(clock) * 60 + floor(second(clock)) END AS seconds
+  FROM t)
+SELECT event_type, count(*) FILTER (WHERE k IN (3, 4, 5, 7)) AS unreadable, count(*) FILTER (WHERE k <> 6) AS with_time,
+       max(CAST(day AS TIMESTAMP) + to_seconds(CAST(seconds AS BIGINT))) AS last_ts,
+       CAST(sum(seconds * 1000000) AS BIGINT) AS us
+FROM u GROUP BY event_type"""
     q["detail_snapshot"] = AUDIT + "SELECT * FROM detail"
     q["date_time_join"] = LOGS + "SELECT logrec_sk, event_ts FROM event_log"
     q["event_span"] = LOGS + """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle import impressions, operators, placements
+from oracle import impressions, operators, placements, sources
 
 
 def all_sql() -> dict[str, str]:
@@ -10,4 +10,5 @@ def all_sql() -> dict[str, str]:
     q.update(placements.queries())
     q.update(impressions.queries())
     q.update(operators.queries())
+    q.update(sources.queries())
     return q

@@ -44,14 +44,19 @@ def parse_args(argv: list[str]) -> argparse.Namespace:
     im.add_argument("--feature-start")
     im.add_argument("--feature-end")
     im.add_argument("--buckets", type=int)
+    im.add_argument("--split-hot-bids", action="store_true", help="join the bids of hot transactions in several tasks")
     im.add_argument("--out", required=True)
     pl = sub.add_parser("placements", help="the placement analysis")
     pl.add_argument("--csv", required=True)
+    pl.add_argument("--bad-lines", help="keep malformed lines in this folder instead of filling them up")
     pl.add_argument("--min-total", type=float, default=1000)
     pl.add_argument("--min-days", type=int, default=20)
     pl.add_argument("--publisher", help="with --placement: also publish this placement's daily series")
     pl.add_argument("--placement")
     pl.add_argument("--out", required=True)
+    for p in (im, pl):
+        p.add_argument("--versioned", action="store_true", help="replace datasets in one step, version by version")
+        p.add_argument("--statistics", action="store_true", help="keep column statistics beside each dataset")
     return ap.parse_args(argv)
 
 
@@ -82,11 +87,17 @@ def main(argv: list[str] | None = None) -> dict:
         logs = {k: read_log(spark, kind, getattr(a, k), a.format)
                 for k, kind in (("ads", "ad"), ("bids", "bid"), ("notify", "notify"), ("events", "event"))}
         return impression_job(logs["ads"], logs["bids"], logs["notify"], logs["events"], config_from(a),
-                              buckets=a.buckets, out_dir=a.out)
+                              buckets=a.buckets, out_dir=a.out, versioned=a.versioned, statistics=a.statistics,
+                              split_hot_bids=a.split_hot_bids)
     from viewlens.plans.jobs import placement_job
-    from viewlens.sources.readers import read_placement_csv
-    return placement_job(read_placement_csv(spark, a.csv), min_total=a.min_total, min_days=a.min_days, out_dir=a.out,
-                         drill=(a.publisher, a.placement) if a.publisher and a.placement else None)
+    from viewlens.sources.readers import quarantine_placement_csv, read_placement_csv
+    if a.bad_lines:
+        raw, report = quarantine_placement_csv(spark, a.csv, a.bad_lines)
+        print("lines: {good} good, {bad} bad".format(**report.first().asDict()))
+    else:
+        raw = read_placement_csv(spark, a.csv)
+    return placement_job(raw, min_total=a.min_total, min_days=a.min_days, out_dir=a.out,
+                         versioned=a.versioned, statistics=a.statistics, drill=(a.publisher, a.placement) if a.publisher and a.placement else None)
 
 
 if __name__ == "__main__":

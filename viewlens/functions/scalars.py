@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "col", "to_ts", "duration_us", "day_of", "parse_date",
+    "col", "to_ts", "time_us", "readable_time", "DAY_US", "duration_us", "day_of", "parse_date",
     "strip_chars", "parse_number", "zero_if_missing", "round_half_even",
     "label", "ratio", "flag", "domain_name", "any_of",
     "lit_ts", "lit_date", "DOMAIN_PATTERN",
@@ -38,16 +38,42 @@ def lit_date(v: dt.date | str) -> Column:
     return F.lit(v).cast("date")
 
 
+# Time of day as text: two digits each for hour, minute and second, or one, and a fraction on wish.
+CANONICAL_TIME = r"^(?:(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:\.\d{1,9})?|24:00:00(?:\.0{1,9})?)$"
+TIME_OF_DAY = r"^(?:(?:[01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d(?:\.\d{1,9})?|24:00:00(?:\.0{1,9})?)$"
+DAY_US = 86_400_000_000
+
+
+def readable_time(time_c: str | Column) -> Column:
+    """Whether a text is a time of day, ``HH:mm:ss[.fraction]`` from 00:00:00 to 24:00:00."""
+    return col(time_c).cast("string").rlike(TIME_OF_DAY)
+
+
+def time_us(time_c: str | Column) -> Column:
+    """Microseconds from midnight to a time of day; NULL if the text is none.
+
+    Two-digit parts, the usual case, are read at their fixed places; digits beyond
+    the microsecond are cut off.
+    """
+    t = col(time_c).cast("string")
+    at = lambda start: F.substring(t, start, 2).try_cast("bigint")
+    part = lambda k: F.split_part(t, F.lit(":"), F.lit(k))
+    us = lambda h, m, s, fraction: (
+        ((h * 60 + m) * 60 + s) * 1_000_000 + F.rpad(F.substring(fraction, 1, 6), 6, "0").try_cast("bigint"))
+    loose = us(part(1).try_cast("bigint"), part(2).try_cast("bigint"),
+               F.split_part(part(3), F.lit("."), F.lit(1)).try_cast("bigint"), F.split_part(t, F.lit("."), F.lit(2)))
+    return F.when(t.rlike(CANONICAL_TIME), us(at(1), at(4), at(7), F.substring(t, 10, 6))) \
+            .when(t.rlike(TIME_OF_DAY), loose)
+
+
 def to_ts(date_c: str | Column, time_c: str | Column) -> Column:
     """Date plus ``HH:mm:ss[.ffffff]`` time-of-day text -> ``timestamp_ntz``.
 
-    The time is added to the day as an interval, so ``24:00:00`` is the next
-    day's midnight.  NULL if either part is NULL or the time is not of that form.
+    ``24:00:00`` is the next day's midnight.  NULL if either part is NULL or the
+    text is no time of day (a later hour, a negative part); ``unreadable_times``
+    counts such rows.
     """
-    parts = F.split(col(time_c).cast("string"), ":")
-    number = lambda k, kind: F.try_element_at(parts, F.lit(k)).try_cast(kind)
-    since_midnight = F.make_dt_interval(F.lit(0), number(1, "int"), number(2, "int"), number(3, "decimal(18,6)"))
-    return F.when(F.size(parts) == 3, col(date_c).cast("date").cast("timestamp_ntz") + since_midnight)
+    return F.timestamp_add("MICROSECOND", time_us(time_c), col(date_c).cast("date").cast("timestamp_ntz"))
 
 
 def duration_us(start: str | Column, end: str | Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewlens.functions.scalars import col
+from viewlens.functions.scalars import col, readable_time
 
 
 def min_max_check(pairs: Mapping[str, tuple[str, str]]) -> list[Column]:
@@ -69,6 +69,11 @@ def mean_sd(c: str | Column, name: str) -> list[Column]:
     return [F.avg(col(c)).alias(f"mean_{name}"), F.stddev_samp(col(c)).alias(f"sd_{name}")]
 
 
+def unreadable_times(time_c: str | Column) -> Column:
+    """Rows whose text is there but is no time of day: a log's windows drop them."""
+    return F.count_if(col(time_c).isNotNull() & ~readable_time(time_c))
+
+
 def global_count(df: DataFrame, name: str = "n") -> DataFrame:
     """Row count as a one-row frame."""
     return df.agg(F.count(F.lit(1)).alias(name))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from viewlens.config import RunConfig
 from viewlens.functions.scalars import duration_us
-from viewlens.operators.joins import without
+from viewlens.operators.joins import without, without_few
 from viewlens.operators.windows import order_by, share_of_total
 from viewlens.plans.events import detail_rollup_columns, feature_columns
 
@@ -123,7 +123,8 @@ CLEAN_AD_COLUMNS = (
     "script_version_id", "dtm_id", "start_events", "end_events", "template_id")
 
 
-def clean_impressions(detail: DataFrame, cfg: RunConfig, issues: DataFrame | None = None) -> DataFrame:
+def clean_impressions(detail: DataFrame, cfg: RunConfig, issues: DataFrame | None = None,
+                      few_issues: bool = False) -> DataFrame:
     """Detail rows of transactions with no issue row at all (an issue on one
     row removes the whole transaction), narrowed to the published columns.
 
@@ -132,7 +133,13 @@ def clean_impressions(detail: DataFrame, cfg: RunConfig, issues: DataFrame | Non
     of a hot transaction are never gathered: the keys are reduced on the map
     side, and a skewed join partition is split.  Rows without a transaction key
     match nothing and are kept.
+
+    ``few_issues``: for a stored detail that is not laid out by transaction and in
+    which issues are rare.  Rows that are surely of no issue transaction are then not
+    shuffled (``without_few``).
     """
     if issues is None:
         issues = issue_rows(detail)
+    if few_issues:
+        return without_few(detail.select(*clean_columns(cfg)), issues, T)
     return without(detail, issues.select(T).distinct(), T).select(*clean_columns(cfg))

@@ -15,7 +15,7 @@ from viewlens.config import RunConfig
 from viewlens.functions.features import FEATURE_COLUMNS, parse_feature_string
 from viewlens.functions.scalars import day_of, duration_us
 from viewlens.operators.aggregates import event_counts, event_detail, event_times
-from viewlens.operators.filters import day_of_ts, for_tenant, in_day_window, in_window, is_in
+from viewlens.operators.filters import for_tenant, in_day_window, in_log_window, is_in
 from viewlens.operators.windows import first_per_key
 
 T = "transaction_nbr"
@@ -32,7 +32,7 @@ LENGTH_CHECK = "feature_string_ok"
 def feature_condition(events: DataFrame, cfg: RunConfig) -> Column:
     """Events that carry the feature string, in the feature window."""
     if cfg.feature_window:
-        w = in_window("event_ts", *cfg.feature_window, date_col=day_of_ts(events, "event_date", "event_ts"))
+        w = in_log_window(events, "event_ts", *cfg.feature_window)
     else:
         w = in_day_window("event_date", cfg.event_start, cfg.event_end, cfg.slack_days)
     p = w & is_in("event_id", cfg.feature_event_codes) & is_in("script_version_id", cfg.versions)
@@ -56,7 +56,7 @@ def first_feature_event(events: DataFrame, cfg: RunConfig) -> DataFrame:
     return first.select(*FIRST_EVENT_COLUMNS, "r_n")
 
 
-def _parsed(check_length: bool) -> list[Column]:
+def parsed_columns(check_length: bool) -> list[Column]:
     """The feature string's columns; ``check_length`` adds ``feature_string_ok``:
     1 when it reaches the last fixed flag offset (35), 0 when the flags are
     partly blank, NULL without a string."""
@@ -73,7 +73,7 @@ def feature_columns(cfg: RunConfig) -> list[str]:
 
 def features(first: DataFrame, check_length: bool = False) -> DataFrame:
     """The packed capability string split into 51 columns."""
-    return first.select(T, *_parsed(check_length))
+    return first.select(T, *parsed_columns(check_length))
 
 
 # Columns of the roll-up that the impression detail carries (its lighter form).
@@ -101,6 +101,22 @@ CHECKED_ATTRIBUTES = ("server_id", "publisher_id", "message_campaign_id", "templ
 SUMMARY_MARKERS = ("has_rollup", "has_features")
 
 
+def summary_aggregates(cfg: RunConfig) -> list[Column]:
+    """The roll-up's aggregates over rows marked ``_r``, and the markers of ``_r`` and ``_f``."""
+    # SQL text: one call to the JVM per column instead of one per sub-expression
+    def both(c: str) -> list[Column]:
+        return [F.expr(f"min(CASE WHEN _r THEN `{c}` END) AS `{c}`"),
+                F.expr(f"max(CASE WHEN _r THEN `{c}` END) AS `{c}_check`")]
+    aggs = [x for c in CHECKED_IDS for x in both(c)]
+    aggs += [F.expr(f"{fn}(CASE WHEN _r THEN {c} END) AS {name}") for fn, c, name in (
+        ("min", "company_id", "company_id"), ("min", "event_ts", "start_events"), ("max", "event_ts", "end_events"))]
+    aggs += [x for c in CHECKED_ATTRIBUTES for x in both(c)]
+    for c in cfg.event_codes:
+        aggs += event_counts([c], only="_r") + event_times([c], only="_r")
+    aggs += event_detail(90, only="_r")
+    return aggs + [F.max(F.when(F.col(m), 1)).alias(name) for m, name in zip(("_r", "_f"), SUMMARY_MARKERS)]
+
+
 def event_summary(events: DataFrame, cfg: RunConfig) -> DataFrame:
     """The roll-up and the parsed first feature event of every transaction
     from ONE scan and ONE shuffle of the event log.
@@ -115,23 +131,11 @@ def event_summary(events: DataFrame, cfg: RunConfig) -> DataFrame:
     marked = events.where(rollup_condition(cfg) | feature_condition(events, cfg)) \
         .withColumn("_r", rollup_condition(cfg)).withColumn("_f", feature_condition(events, cfg))
 
-    # SQL text: one call to the JVM per column instead of one per sub-expression
-    def both(c: str) -> list[Column]:
-        return [F.expr(f"min(CASE WHEN _r THEN `{c}` END) AS `{c}`"),
-                F.expr(f"max(CASE WHEN _r THEN `{c}` END) AS `{c}_check`")]
-    aggs = [x for c in CHECKED_IDS for x in both(c)]
-    aggs += [F.expr(f"{fn}(CASE WHEN _r THEN {c} END) AS {name}") for fn, c, name in (
-        ("min", "company_id", "company_id"), ("min", "event_ts", "start_events"), ("max", "event_ts", "end_events"))]
-    aggs += [x for c in CHECKED_ATTRIBUTES for x in both(c)]
-    for c in cfg.event_codes:
-        aggs += event_counts([c], only="_r") + event_times([c], only="_r")
-    aggs += event_detail(90, only="_r")
-    aggs += [F.max(F.when(F.col(m), 1)).alias(name) for m, name in zip(("_r", "_f"), SUMMARY_MARKERS)]
     # a struct compares field by field, and false sorts before true: NULLs come last
     order = F.struct(*[x for c in FIRST_EVENT_ORDER for x in (F.col(c).isNull(), F.col(c))])
-    aggs.append(F.min_by("event_detail_desc", F.when(F.col("_f"), order)).alias("event_detail_desc"))
-    summary = marked.groupBy(T).agg(*aggs)
-    return summary.select("*", *_parsed(cfg.check_feature_length)).drop("event_detail_desc")
+    first = F.min_by("event_detail_desc", F.when(F.col("_f"), order)).alias("event_detail_desc")
+    summary = marked.groupBy(T).agg(*summary_aggregates(cfg), first)
+    return summary.select("*", *parsed_columns(cfg.check_feature_length)).drop("event_detail_desc")
 
 
 def event_rollup(events: DataFrame, cfg: RunConfig) -> DataFrame:

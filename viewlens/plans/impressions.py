@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from viewlens.config import RunConfig
 from viewlens.functions.scalars import domain_name
 from viewlens.operators.aggregates import global_count, multiplicity
-from viewlens.operators.filters import day_of_ts, for_tenant, in_window, is_in, multi_row, not_in
+from viewlens.operators.filters import for_tenant, in_log_window, is_in, multi_row, not_in
 from viewlens.operators.joins import attach_notify
+from viewlens.operators.skew import SHARE, hot_keys, salted_left_join
 from viewlens.operators.windows import share_of_total
 
 T = "transaction_nbr"
@@ -24,7 +25,7 @@ T = "transaction_nbr"
 def bid_domains(bids: DataFrame, cfg: RunConfig) -> DataFrame:
     """In-window bids of the tenant with a kept operation, URL reduced to its
     domain.  Not deduplicated."""
-    b = bids.where(in_window("bid_ts", cfg.ad_start, cfg.ad_end, date_col=day_of_ts(bids, "bid_date", "bid_ts"))
+    b = bids.where(in_log_window(bids, "bid_ts", cfg.ad_start, cfg.ad_end)
                    & for_tenant("company_id", cfg.tenant)
                    & is_in("operation_id", cfg.operations))
     return b.select("company_id", T, domain_name("content_url").alias("content_url"))
@@ -32,7 +33,7 @@ def bid_domains(bids: DataFrame, cfg: RunConfig) -> DataFrame:
 
 def view_notify(notify: DataFrame, cfg: RunConfig) -> DataFrame:
     """One row per notified transaction: marker 1 and the notification count."""
-    n = notify.where(in_window("dmm_ts", cfg.ad_start, cfg.ad_end, date_col=day_of_ts(notify, "dmm_date", "dmm_ts"))
+    n = notify.where(in_log_window(notify, "dmm_ts", cfg.ad_start, cfg.ad_end)
                      & for_tenant("company_id", cfg.tenant)
                      & not_in("media_size_id", cfg.excluded_media_sizes))
     g = n.groupBy(T).agg(F.count(F.lit(1)).alias("view_notify_nrows"))
@@ -42,7 +43,7 @@ def view_notify(notify: DataFrame, cfg: RunConfig) -> DataFrame:
 def served_ads(ads: DataFrame, cfg: RunConfig) -> DataFrame:
     """Ad-serve rows of the window, tenant, kept statuses, minus excluded media
     sizes and campaigns (``NOT IN`` also drops NULLs)."""
-    return ads.where(in_window("dmm_ts", cfg.ad_start, cfg.ad_end, date_col=day_of_ts(ads, "dmm_date", "dmm_ts"))
+    return ads.where(in_log_window(ads, "dmm_ts", cfg.ad_start, cfg.ad_end)
                      & for_tenant("company_id", cfg.tenant)
                      & is_in("status_id", cfg.statuses)
                      & not_in("media_size_id", cfg.excluded_media_sizes)
@@ -78,12 +79,20 @@ AD_GROUP_AGGS = (
 )
 
 
-def transactions(ads: DataFrame, bids: DataFrame, notify: DataFrame, cfg: RunConfig) -> DataFrame:
+def hot_bid_transactions(bids: DataFrame, share: float = SHARE) -> DataFrame:
+    """Transactions that hold at least ``share`` of the rows of ``bid_domains`` output."""
+    return hot_keys(bids, T, share)
+
+
+def transactions(ads: DataFrame, bids: DataFrame, notify: DataFrame, cfg: RunConfig,
+                 hot_bids: DataFrame | None = None) -> DataFrame:
     """One row per transaction x ad URL x bid URL x company.
 
     ``bids`` is ``bid_domains`` output and ``notify`` is ``view_notify``
     output.  Every value column is a min or max over the group ("value" and
     "check" pairs), ``nrows`` the number of joined ad x bid rows.
+    ``hot_bids`` (``hot_bid_transactions``): transactions with so many bids that
+    their bids have to be joined in several tasks.
     """
     a = served_ads(ads, cfg)
     ad_groups = a.groupBy(T, F.col("content_url").alias("dmm_url"), "company_id").agg(
@@ -95,7 +104,10 @@ def transactions(ads: DataFrame, bids: DataFrame, notify: DataFrame, cfg: RunCon
     keys = [T] if cfg.tenant is not None else [T, "company_id"]
     bid_groups = bids.groupBy(*keys, F.col("content_url").alias("bid_url")) \
                      .agg(F.count(F.lit(1)).alias("bid_rows"))
-    j = ad_groups.join(bid_groups, keys, "left")
+    if hot_bids is None:
+        j = ad_groups.join(bid_groups, keys, "left")
+    else:
+        j = salted_left_join(ad_groups, bid_groups, keys, hot_bids, T, spread="bid_url")
     j = attach_notify(j, notify.select(T, "view_notify"))
     j = j.withColumn("content_url", F.coalesce(F.col("bid_url"), domain_name("dmm_url"))) \
          .withColumn("nrows", F.col("ad_rows") * F.coalesce(

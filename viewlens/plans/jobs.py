@@ -7,6 +7,8 @@ executor then costs one stage of recomputation, not the whole chain.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 
 from viewlens.config import RunConfig
@@ -19,9 +21,17 @@ from viewlens.session import table_path
 from viewlens.sources.sinks import publish, publish_view
 
 
+def warn_of_skew_settings(spark) -> None:
+    """Sessions that are made elsewhere may lack the setting that lets a skewed join inside a chain be split."""
+    setting = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+    if spark.conf.get(setting, "false") != "true":
+        warnings.warn(f"{setting} is not set: a hot transaction may stay in one task", stacklevel=3)
+
+
 def impression_job(ads: DataFrame, bids: DataFrame, notify: DataFrame, events: DataFrame,
                    cfg: RunConfig, prefix: str = "", buckets: int | None = None,
-                   out_dir: str | None = None) -> dict[str, DataFrame]:
+                   out_dir: str | None = None, versioned: bool = False, statistics: bool = False,
+                   split_hot_bids: bool = False) -> dict[str, DataFrame]:
     """The whole impression audit; every dataset is published and returned by name.
 
     ``buckets``: publish transactions, the event summary (roll-up and
@@ -31,7 +41,11 @@ def impression_job(ads: DataFrame, bids: DataFrame, notify: DataFrame, events: D
     drop the issue transactions, with no shuffle at all.  Pick it so one bucket
     is ~200 MB of transactions.
     ``out_dir``: folder for the published tables (default: the shared work
-    folder).
+    folder).  ``versioned``: each dataset that is no table gets a new version that
+    takes the old one's place in one step.  ``statistics``: column statistics are
+    taken while datasets are written.  ``split_hot_bids``: transactions that hold a
+    large share of the bids are found first, by one more scan of the bid log, and
+    their bids are joined in several tasks.
 
     Every frame here comes out of a grouping or join on ``transaction_nbr`` or
     is read from a table laid out by it, so it is written as it is; only
@@ -40,34 +54,38 @@ def impression_job(ads: DataFrame, bids: DataFrame, notify: DataFrame, events: D
     name = lambda n: f"{prefix}{n}"
     where = lambda n: f"{out_dir.rstrip('/')}/{name(n)}" if out_dir else None
     out: dict[str, DataFrame] = {}
+    warn_of_skew_settings(ads.sparkSession)
 
     def put(n: str, df: DataFrame, keyed: bool = False) -> DataFrame:
         if keyed and buckets:
             out[n] = publish(df, name(n), as_table=True, buckets=buckets, analyze=True,
                              path=where(n) or table_path(df.sparkSession, name(n)))
         else:
-            out[n] = publish(df, name(n), laid_out=True, path=where(n))
+            out[n] = publish(df, name(n), laid_out=True, path=where(n), versioned=versioned, statistics=statistics)
         return out[n]
 
     b = IM.bid_domains(bids, cfg)
     n = IM.view_notify(notify, cfg)
-    tx = put("transactions", IM.transactions(ads, b, n, cfg), keyed=True)
+    hot = IM.hot_bid_transactions(b) if split_hot_bids else None
+    hot = None if hot is None or hot.isEmpty() else hot
+    tx = put("transactions", IM.transactions(ads, b, n, cfg, hot), keyed=True)
     put("transactions_multiplicity", IM.transactions_multiplicity(tx))
     put("multi_row_transactions", IM.multi_row_transactions(tx))
     put("multi_row_count", IM.multi_row_count(tx))
     # roll-up and first feature event from one scan and one shuffle of the events
     summary = put("event_summary", EV.event_summary(events, cfg), keyed=True)
-    out["features"] = EV.features_from_summary(summary)
+    put("features", EV.features_from_summary(summary))
     put("event_rollup_checked", EV.event_rollup_checked(summary, cfg))
     detail = D.impression_detail(tx, summary, cfg)
     if buckets:
         detail = put("impression_detail", detail, keyed=True)
     else:
         detail = out["impression_detail"] = RP.detail_snapshot(
-            detail, name("impression_detail"), path=where("impression_detail"), laid_out=True)
+            detail, name("impression_detail"), path=where("impression_detail"), laid_out=True, versioned=versioned,
+            statistics=statistics)
     put("issue_crosstab", D.issue_crosstab(detail))
     issues = put("issue_rows", D.issue_rows(detail), keyed=True)
-    clean = put("clean_impressions", D.clean_impressions(detail, cfg, issues))
+    clean = put("clean_impressions", D.clean_impressions(detail, cfg, issues, few_issues=not buckets))
     if cfg.tenant is not None:
         publish_view(clean, name("clean_impressions_of_tenant"), f"company_id = {int(cfg.tenant)}")
     put("browser_summary", RP.browser_summary(clean, cfg))
@@ -75,7 +93,8 @@ def impression_job(ads: DataFrame, bids: DataFrame, notify: DataFrame, events: D
 
 
 def placement_job(raw: DataFrame, prefix: str = "", min_total: float = 1000, min_days: int = 20,
-                  out_dir: str | None = None, drill: tuple[str, str] | None = None) -> dict[str, DataFrame]:
+                  out_dir: str | None = None, drill: tuple[str, str] | None = None, versioned: bool = False,
+                  statistics: bool = False) -> dict[str, DataFrame]:
     """The whole placement analysis from the file as read; every dataset is published.
 
     ``drill``: a publisher id and placement id whose daily series is published too."""
@@ -83,7 +102,8 @@ def placement_job(raw: DataFrame, prefix: str = "", min_total: float = 1000, min
 
     def put(n: str, df: DataFrame) -> DataFrame:
         path = f"{out_dir.rstrip('/')}/{prefix}{n}" if out_dir else None
-        out[n] = publish(df, f"{prefix}{n}", cluster_by=None, path=path)
+        out[n] = publish(df, f"{prefix}{n}", cluster_by=None, path=path, versioned=versioned,
+                         statistics=statistics)
         return out[n]
 
     clean = put("placement_clean", P.placement_clean(raw))

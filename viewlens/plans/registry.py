@@ -7,7 +7,6 @@ its work grows with them.
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +24,13 @@ from viewlens.plans import events as EV
 from viewlens.plans import impressions as IM
 from viewlens.plans import placements as P
 from viewlens.plans import reports as RP
+from viewlens.plans import states as ST
 from viewlens.sources.fixtures import FixtureLogs, table
-from viewlens.sources.readers import normalise_log
+from viewlens.session import table_path
+from viewlens.sources.readers import normalise_log, read_placement_csv, read_placement_csv_checked
+from viewlens.sources.sinks import publish, publish_durable_view, stage
+from viewlens.sources.statistics import read as read_statistics
+from viewlens.sources.versions import drop_old_versions, read_version
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,6 +96,14 @@ class ImpressionRun:
     def rollup(self):
         return EV.event_rollup(self.logs.events, self.cfg)
 
+    def merged_summary(self):
+        """The summary from two runs' states, the days up to the middle of the window and the later ones."""
+        middle = self.cfg.event_start + (self.cfg.event_end - self.cfg.event_start) / 2
+        ev = self.logs.events
+        states = ST.daily_states(ev, self.cfg, last=middle).unionByName(
+            ST.daily_states(ev, self.cfg, first=middle + dt.timedelta(days=1)))
+        return ST.summary_of_states(states, self.cfg)
+
     def checked(self):
         return EV.event_rollup_checked(self.summary(), self.cfg)
 
@@ -99,9 +111,7 @@ class ImpressionRun:
         return D.impression_detail(self.tx(), self.summary(), self.cfg)
 
     def clean(self):
-        # written once and read twice, as the job does: for the rows and for the issue keys
-        name = f"impression_detail-{uuid.uuid4().hex}"
-        return D.clean_impressions(RP.detail_snapshot(self.detail(), name, laid_out=True), self.cfg)
+        return D.clean_impressions(self.detail(), self.cfg)
 
 
 def impression_queries() -> dict[str, Query]:
@@ -116,6 +126,7 @@ def impression_queries() -> dict[str, Query]:
         "first_feature_event": lambda s, d: R(s, d).first(),
         "features": lambda s, d: R(s, d).feats(),
         "event_rollup_checked": lambda s, d: R(s, d).checked(),
+        "event_rollup_of_states": lambda s, d: EV.event_rollup_checked(R(s, d).merged_summary(), R(s, d).cfg),
         "impression_detail": lambda s, d: R(s, d).detail(),
         "issue_crosstab": lambda s, d: D.issue_crosstab(R(s, d).detail()),
         "issue_rows": lambda s, d: D.issue_rows(R(s, d).detail()),
@@ -124,8 +135,6 @@ def impression_queries() -> dict[str, Query]:
     }
 
 
-
-
 # --------------------------------------------------- single-operator queries
 # Day window of the slack-window check (inside the fixture's event dates).
 DAY_WINDOW = (dt.date(2024, 1, 10), dt.date(2024, 1, 20))
@@ -136,6 +145,18 @@ def _ratio_kind(c):
              .when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise("finite"))
 
 
+# Time window of the split-log check: inside two days of the events, to the microsecond.
+LOG_WINDOW = (dt.datetime(2024, 1, 10, 6, 30), dt.datetime(2024, 1, 20, 18, 15, 30))
+
+
+def _odd_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with a time-of-day text, some of them none that a clock shows."""
+    ev, k = table(spark, sf, "events"), F.col("event_id") % 19
+    time = F.when(k == 3, "99:99:99").when(k == 4, "-1:00:00").when(k == 5, "noon").when(k == 6, F.lit(None)) \
+        .when(k == 7, "24:00:01").when(k == 8, "24:00:00").when(k == 9, "7:5:9").otherwise(F.date_format("ts", "HH:mm:ss"))
+    return ev.select("event_id", "event_type", F.to_date("ts").alias("day"), time.alias("time"))
+
+
 def _split_log(spark: SparkSession, sf: str) -> DataFrame:
     """A notify log with day and time apart, some times missing or 24:00:00, as the reader gives it."""
     ev = table(spark, sf, "events")
@@ -146,6 +167,85 @@ def _split_log(spark: SparkSession, sf: str) -> DataFrame:
     return normalise_log(log, "notify").select("transaction_nbr", "dmm_date", "dmm_ts")
 
 
+# ------------------------------------------------------ sources and sinks, written and read back
+def _csv_folder(spark: SparkSession, sf: str, name: str, lines: DataFrame) -> str:
+    path = table_path(spark, f"queries/{name}")
+    lines.write.mode("overwrite").option("compression", "none").text(path)
+    return path
+
+
+def _csv_lines(spark: SparkSession, sf: str, odd: bool) -> DataFrame:
+    """The placement file as text, quoted numbers and all; ``odd``: with short, long and unclosed lines."""
+    quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    head, tail = ["date", "publisher_id", "placement_id", "in_view"], quoted("total_impressions")
+    line = F.concat_ws(",", *head, quoted("measured_impressions"), tail)
+    rows = FixtureLogs(spark, sf).placements
+    if odd:
+        k = (F.col("publisher_id").cast("int") * 7 + F.col("placement_id").cast("int") * 3 + F.length(line)) % 50
+        line = (F.when(k == 1, F.concat_ws(",", *head)).when(k == 2, F.concat(line, F.lit(",more")))
+                .when(k == 3, F.concat_ws(",", *head, F.lit('"12'), F.lit("34"))).otherwise(line))
+    return rows.select(line.alias("value"))
+
+
+def _csv_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the odd file by what became of them: their number and characters add up to the file's."""
+    path = _csv_folder(spark, sf, "odd_csv", _csv_lines(spark, sf, odd=True))
+    good, bad = read_placement_csv_checked(spark, path, header="false")
+    sizes = lambda df, part, n: df.agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(n).alias("chars")).withColumn("part", F.lit(part))
+    plain = sum((F.coalesce(F.length(c), F.lit(0)) for c in good.columns), F.lit(0))
+    return sizes(good, "good", plain).unionByName(sizes(bad, "bad", F.lit(0))).unionByName(
+        sizes(spark.read.text(path), "all", F.lit(0)))
+
+
+def _published(spark: SparkSession, sf: str, name: str, **how) -> DataFrame:
+    """The notifications published twice under one name; the second version is what is read."""
+    df = IM.view_notify(FixtureLogs(spark, sf).notify, fixture_config())
+    path = table_path(spark, f"queries/{name}")
+    publish(df.limit(3), name, path=path, **how)
+    return publish(df, name, path=path, **how)
+
+
+def _statistics(spark: SparkSession, sf: str) -> DataFrame:
+    path = table_path(spark, "queries/statistics")
+    publish(FixtureLogs(spark, sf).ads, "statistics", path=path, statistics=True)
+    return read_statistics(spark, path).where("column != 'dmm_time'").select("column", "rows", "nulls", "least", "greatest", "longest")
+
+
+def _rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """A versioned dataset rebuilt from itself: each transaction's notifications counted double."""
+    path = table_path(spark, "queries/rebuilt")
+    df = publish(IM.view_notify(FixtureLogs(spark, sf).notify, fixture_config()), "rebuilt", path=path, versioned=True)
+    publish(df.withColumn("view_notify_nrows", F.col("view_notify_nrows") * 2), "rebuilt", path=path, versioned=True)
+    drop_old_versions(spark, path, keep=1)
+    return read_version(spark, path)
+
+
+def _tenant_view(spark: SparkSession, sf: str) -> DataFrame:
+    path = table_path(spark, "queries/tenant_bids")
+    publish(IM.bid_domains(FixtureLogs(spark, sf).bids, fixture_config()), "tenant_bids", path=path)
+    return publish_durable_view(spark, "tenant_bids_view", path, "company_id = 1 AND content_url IS NOT NULL", is_path=True)
+
+
+def _staged(spark: SparkSession, sf: str) -> DataFrame:
+    stage(FixtureLogs(spark, sf).ads, "staged_ads")
+    return spark.sql("SELECT browser_desc, count(*) AS n, max(dmm_ts) AS last_ts FROM staged_ads GROUP BY browser_desc")
+
+
+def source_and_sink_queries() -> dict[str, Query]:
+    return {
+        "csv_scan": lambda s, d: read_placement_csv(s, _csv_folder(s, d, "csv", _csv_lines(s, d, odd=False)), header="false"),
+        "csv_quarantine": _csv_checked,
+        "stage": _staged,
+        "publish_replaces": lambda s, d: _published(s, d, "replaced"),
+        "publish_random_layout": lambda s, d: _published(s, d, "random_layout", cluster_by=None),
+        "publish_codec": lambda s, d: _published(s, d, "codec", compression="gzip"),
+        "publish_statistics": _statistics,
+        "publish_version": _rebuilt,
+        "tenant_view": _tenant_view,
+    }
+
+
 def operator_queries() -> dict[str, Query]:
     cfg = fixture_config()
     L = FixtureLogs
@@ -210,6 +310,11 @@ def operator_queries() -> dict[str, Query]:
         "date_time_join": lambda s, d: L(s, d).events.select(
             "logrec_sk", S.to_ts("event_date", F.date_format("event_ts", "HH:mm:ss.SSSSSS")).alias("event_ts")),
         "split_log_ts": lambda s, d: _split_log(s, d),
+        "log_window": lambda s, d: L(s, d).events.where(FL.in_log_window(L(s, d).events, "event_ts", *LOG_WINDOW))
+            .select("logrec_sk", "event_ts"),
+        "unreadable_times": lambda s, d: _odd_times(s, d).groupBy("event_type").agg(
+            A.unreadable_times("time").alias("unreadable"), F.count("time").alias("with_time"),
+            F.max(S.to_ts("day", "time")).alias("last_ts"), F.sum(S.time_us("time")).alias("us")),
         "event_span": lambda s, d: L(s, d).events.groupBy("transaction_nbr").agg(*A.span("event_ts"))
             .withColumn("events_duration_us", S.duration_us("start_events", "end_events")),
         "day_window": lambda s, d: L(s, d).events.where(
@@ -224,4 +329,5 @@ def all_queries() -> dict[str, Query]:
     q.update(placement_queries())
     q.update(impression_queries())
     q.update(operator_queries())
+    q.update(source_and_sink_queries())
     return q

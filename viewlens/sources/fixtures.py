@@ -70,7 +70,8 @@ def _as_log(df: DataFrame, kind: str, ts: Column, *columns: Column) -> DataFrame
     """A log with a day and a time-of-day column, read the way the reader reads one."""
     day, time, _ = LOG_TIMES[kind]
     ts = ts.cast("timestamp_ntz")
-    return normalise_log(df.select(F.to_date(ts).alias(day), F.date_format(ts, "HH:mm:ss.SSSSSS").alias(time),
+    # the text of a timestamp has the time of day from its twelfth character on
+    return normalise_log(df.select(F.to_date(ts).alias(day), F.substring(ts.cast("string"), 12, 15).alias(time),
                                    *columns), kind)
 
 
