@@ -2,7 +2,8 @@
 
 Tokenising: the ids of a text are those of its white-space separated words, one
 after another, because the tokenizer drops white space and never merges across
-it.  Each task computes a distinct word once (``WordMemo``); letters followed by
+it.  Each task numbers the distinct words of a group of texts and computes each once
+(a bounded memo keeps frequent ones from group to group); letters followed by
 punctuation are further split, as the tokenizer's own pattern does.
 
 Packing: documents longer than a sequence are cut into full pieces; those fill a
@@ -28,9 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from viewlens.llm.chunks import Words, binary, groups, whole
 from viewlens.llm.common import WordMemo, importable, worker_tables, written
 
 SEQUENCE = 2048
@@ -43,21 +46,23 @@ SECOND_ROUND = 1 << 30
 
 # Letters, then punctuation other than the apostrophe (which starts contractions).
 SIMPLE_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-# Separators for str.split() that are not white space for the tokenizer.
-ODD_SPACE = re.compile(r"[\x1c-\x1f]")
-WORDS = re.compile(r"[^ \t-\r]+")
+PROBE = "It's A\tTEST, of\n ÉCOLE!! x1y  Straße #%"
 
 
 class Tokens:
-    """Ids (little-endian unsigned 32-bit bytes) of whole texts in one Python worker."""
+    """Ids (little-endian unsigned 32-bit bytes) of whole texts in one Python worker.
+
+    If the tokenizer drops white space and lower-cases simple words, which is tried on
+    a probe, a text's ids are those of its words; else whole texts are encoded.
+    """
 
     def __init__(self, path: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.words = WordMemo(self._word, 60_000)
-        self.parts = WordMemo(self._part, 150_000)
+        self.words, self.parts = WordMemo(self._word), WordMemo(self._part)
+        self.by_word = b"".join(map(self._word, PROBE.split())) == self._encode(PROBE)
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
@@ -74,9 +79,15 @@ class Tokens:
         letters, marks = found.groups()
         return self.parts[letters.lower()] + (self.parts[marks] if marks else b"")
 
+    def encode_all(self, texts: pa.Array) -> list[memoryview]:
+        if not self.by_word:
+            return [memoryview(self._encode(t)) for t in texts.to_pylist()]
+        words = Words(texts)
+        found = [self.words[w] for w in words.vocabulary.to_pylist()]
+        return words.of_texts(binary(b"".join(found), np.cumsum([0, *map(len, found)])))
+
     def encode(self, text: str) -> bytes:
-        words = WORDS.findall(text) if ODD_SPACE.search(text) else text.split()
-        return b"".join(map(self.words.__getitem__, words))
+        return bytes(self.encode_all(pa.array([text], pa.string()))[0])
 
 
 def tokens(path: str) -> Tokens:
@@ -89,23 +100,24 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     importable(docs.sparkSession)
     end, width = array("I", [END_ID]).tobytes(), 4 * sequence
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = tokens(tokenizer)
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = tokens(tokenizer)
+        for t in groups(batches):
             out = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                ids = t.encode(text or "") + end
+            for doc, found in zip(t.column("doc_id").to_pylist(), encoder.encode_all(whole(t.column("text")))):
+                ids = bytes(found) + end
                 for k in range(0, len(ids), width):
                     part = ids[k:k + width]
                     out.append((doc, k // width, k // 4, len(part) // 4, zlib.crc32(part),
                                 *([np.frombuffer(part, np.int32)] if with_ids else [])))
-            yield pd.DataFrame(out, columns=names, dtype=object)
+            kinds = [t.schema.field("doc_id").type, pa.int32(), *[pa.int64()] * 3, pa.list_(pa.int32())]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = (f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, "
               "ids_crc32 long" + ", ids array<int>" * with_ids)
     names = [x.split()[0] for x in schema.split(", ")]
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 class Capacities:
