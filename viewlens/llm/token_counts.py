@@ -24,10 +24,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from viewlens.llm.chunks import Words, groups, whole
 from viewlens.llm.common import WordMemo, importable, worker_tables
 
 MARK = "▁"
@@ -46,11 +48,6 @@ def unigram_log_p(pieces: list[str]) -> dict[str, float]:
     return log_p
 
 
-def split_words(text: str) -> list[bytes]:
-    """The words between ASCII white space, in UTF-8."""
-    return text.encode("utf-8", "replace").split()
-
-
 class UnigramTrie:
     """Forward scores and token counts of all prefixes of the inserted pre-tokens."""
 
@@ -113,22 +110,24 @@ def _tables(model: str) -> tuple[WordMemo, UnigramTrie]:
               if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
     ranked = sorted(normal, key=lambda i: (-sp.get_score(i), i))
     trie = UnigramTrie(unigram_log_p([sp.id_to_piece(i) for i in ranked]))
-    return WordMemo(lambda word: trie.insert(MARK + word.decode()), 200_000), trie
+    return WordMemo(lambda word: trie.insert(MARK + word)), trie
 
 
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_pretokens``, ``n_tokens`` and the segmentation's ``log_p`` of every document."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terminal, trie = tables(model)
-        for b in batches:
-            out = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                words = split_words(text or "")
-                found = [terminal[w] if len(w) < LONG else trie.insert(MARK + w.decode()) for w in words]
-                out.append((doc, len(words), sum([f[0] for f in found]), math.fsum([f[1] for f in found])))
-            yield pd.DataFrame(out, columns=["doc_id", "n_pretokens", "n_tokens", "log_p"], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terminal, _ = tables(model)
+        for t in groups(batches):
+            words = Words(whole(t.column("text")))
+            found = [terminal[w] for w in words.vocabulary.to_pylist()]
+            count = np.fromiter((f[0] for f in found), np.int64, len(found))
+            score = np.fromiter((f[1] for f in found), np.float64, len(found))[words.codes]
+            yield pa.record_batch({
+                "doc_id": t.column("doc_id").combine_chunks(), "n_pretokens": pa.array(words.end - words.begin),
+                "n_tokens": pa.array(words.sums(count)),
+                "log_p": pa.array([float(score[i:j].sum()) for i, j in zip(words.begin.tolist(), words.end.tolist())])})
 
     importable(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, n_pretokens long, n_tokens long, log_p double")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_pretokens long, n_tokens long, log_p double")
