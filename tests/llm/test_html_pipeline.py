@@ -222,7 +222,7 @@ def test_stages_with_clashing_columns_nulls_and_repeats(spark, tmp_path):
 def test_every_number_is_registered():
     import __spark_entry__
     names = __spark_entry__.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 14))
     assert "pipeline" in names and set(Q.ORACLE_SQL) <= set(names)
 
 

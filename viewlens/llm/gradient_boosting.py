@@ -1,4 +1,7 @@
-"""Gradient-boosted regression trees for two classes, fitted on a bounded sample (numpy)."""
+"""Gradient-boosted regression trees for two classes, fitted on a bounded sample (numpy).
+
+Each tree may use a share of the columns only, the same ones at every run.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +11,10 @@ import numpy as np
 class BoostedTrees:
     """Logistic loss, Newton leaf values, splits on quantile bins; complete trees of ``depth``."""
 
-    def __init__(self, trees: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 32, ridge: float = 1.0):
+    def __init__(self, trees: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 32, ridge: float = 1.0,
+                 columns: float = 1.0):
         self.n_trees, self.depth, self.rate, self.bins, self.ridge = trees, depth, rate, bins, ridge
+        self.columns = columns
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
@@ -21,7 +26,9 @@ class BoostedTrees:
         self.feature = np.zeros((self.n_trees, splits), np.int64)
         self.cut = np.full((self.n_trees, splits), np.inf)
         self.leaf = np.zeros((self.n_trees, splits + 1))
+        rng, usable = np.random.default_rng(1), np.flatnonzero([len(c) > 0 for c in cuts])
         for t in range(self.n_trees):
+            mine = usable if self.columns >= 1 else np.sort(rng.permutation(usable)[:max(1, int(self.columns * len(usable)))])
             p = 1 / (1 + np.exp(-score))
             slope, curve = y - p, np.maximum(p * (1 - p), 1e-9)
             node = np.zeros(len(y), np.int64)
@@ -29,10 +36,8 @@ class BoostedTrees:
                 first, width = 2 ** level - 1, 2 ** level
                 best = np.full(width, 1e-6)
                 at = np.full((width, 2), -1)
-                for f in range(x.shape[1]):
+                for f in mine.tolist():
                     size = len(cuts[f]) + 1
-                    if size < 2:
-                        continue
                     key = node * size + binned[:, f]
                     g = np.bincount(key, slope, width * size).reshape(width, size).cumsum(axis=1)
                     h = np.bincount(key, curve, width * size).reshape(width, size).cumsum(axis=1)

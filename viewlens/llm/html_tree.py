@@ -34,8 +34,9 @@ ANY_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 MAY_HIDE = re.compile(r"hidden|none", re.I)
 STYLE_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)\s*(!\s*important)?")
-ATTRIBUTE_TOKEN = re.compile(r"[a-z]+")
+ATTRIBUTE_TOKEN = re.compile(r"[^\W\d_]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+TITLE_TAGS = re.compile(r"^<[^>]*>|</title\s*>$", re.I)
 WHITE = re.compile(r"\s+")
 
 
@@ -73,7 +74,7 @@ def hides_itself(attrs: str) -> bool:
 
 
 def parse(source: str) -> list[Node]:
-    """Nodes in page order; node 0 is the page.  Hidden elements and comments leave nothing."""
+    """Nodes in page order; node 0 is the page, its text the title.  Hidden elements and comments leave nothing."""
     nodes = [Node("#page", -1, 0)]
     # open elements: name, number of the block node (-1: inline), whether hidden
     stack: list[tuple[str, int, bool]] = [("#page", 0, False)]
@@ -124,6 +125,8 @@ def parse(source: str) -> list[Node]:
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
+            if m["raw"] and m["raw"].lower() == "title" and not nodes[0].text:
+                nodes[0].text = WHITE.sub(" ", html.unescape(TITLE_TAGS.sub("", m[0]))).strip()
             continue
         if m["end"]:
             i = innermost((tag,))
