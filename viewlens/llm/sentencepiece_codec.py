@@ -62,7 +62,37 @@ class Codec:
 
     def ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks one after another, and how many each has."""
-        return flat(self.lists(chunks))
+        return joined([flat(self.lists(c)) for c in slices(chunks)])
+
+    def both_ways(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Ids as ``ids`` gives them, and each chunk's decoded text after a space: decoding takes the marker
+        off the first chunk of a text only."""
+        found, texts = [], []
+        for c in slices(chunks):
+            lists = self.lists(c)
+            found.append(flat(lists))
+            texts.append(pa.array([" " + t for t in self.sp.decode(lists, num_threads=1)], pa.large_string()))
+        return *joined(found), pa.concat_arrays([*texts, pa.array([], pa.large_string())]).cast(pa.large_binary())
+
+
+# Bytes of chunks whose ids are Python lists at a time.
+SLICE_BYTES = 1 << 20
+
+
+def slices(chunks: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Runs of chunks of about ``size`` bytes."""
+    ends = np.cumsum(pc.binary_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(chunks):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield chunks.slice(start, stop - start)
+        start = stop
+
+
+def joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    none = np.empty(0, np.int64)
+    return tuple(np.concatenate([none, *[p[k] for p in parts]]) for k in (0, 1))
 
 
 def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,25 +126,18 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     """``doc_id``, ``ids`` (array<int>) and ``decoded`` of every document."""
     def make(c: Codec, texts: pa.Array) -> dict[str, pa.Array]:
         cut = c.cut(texts)
-        lists = c.lists(cut.vocabulary)
-        ids = cut.of_texts(id_bytes(*flat(lists), "<i4"))
+        ids, counts, decoded = c.both_ways(cut.vocabulary)
+        ids = cut.of_texts(id_bytes(ids, counts, "<i4"))
         return {"ids": pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())),
-                "decoded": pa.array([str(x[1:], "utf-8") for x in cut.of_texts(_decoded(c, lists))], pa.string())}
+                "decoded": pa.array([str(x[1:], "utf-8") for x in cut.of_texts(decoded)], pa.string())}
     return _mapped(docs, model, id_col, text_col, "ids array<int>, decoded string", make)
 
 
-def _decoded(c: Codec, lists: list[list[int]]) -> pa.Array:
-    """The decoded text of each chunk after a space: decoding takes the marker off the first chunk only."""
-    texts = c.sp.decode(lists, num_threads=1) if lists else []
-    return pa.array([" " + t for t in texts], pa.large_string()).cast(pa.large_binary())
-
-
 def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_tokens`` and the SHA-256 of the decimal ids and of the decoded text."""
     def make(c: Codec, texts: pa.Array) -> dict[str, pa.Array]:
         cut = c.cut(texts)
-        lists = c.lists(cut.vocabulary)
-        ids, counts = flat(lists)
+        ids, counts, decoded = c.both_ways(cut.vocabulary)
         written = c.decimal.take(pa.array(ids))
         offsets = np.frombuffer(written.buffers()[1], np.int64)[:len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
         ends = offsets[np.concatenate([[0], np.cumsum(counts)])]
@@ -122,6 +145,6 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         sha = lambda data: hashlib.sha256(data).hexdigest()
         return {"n_tokens": pa.array(cut.sums(counts)),
                 "ids_sha256": pa.array([sha(x[:-1]) for x in cut.of_texts(decimal)]),
-                "decoded_sha256": pa.array([sha(x[1:]) for x in cut.of_texts(_decoded(c, lists))])}
+                "decoded_sha256": pa.array([sha(x[1:]) for x in cut.of_texts(decoded)])}
     return _mapped(docs, model, id_col, text_col,
                    "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
