@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from viewlens.functions.scalars import (label, parse_date, parse_number, ratio,
                                         round_half_even, strip_chars, zero_if_missing)
 from viewlens.operators.aggregates import count_at_least, mean_sd
+from viewlens.operators.bitmaps import with_distinct_numbers
 from viewlens.operators.filters import drill, min_days, min_volume
 from viewlens.operators.windows import order_by, with_group_stats
 
@@ -57,14 +58,13 @@ def _sums(*counts: str) -> list:
     return [F.sum(c).alias(c) for c in (*counts, TOT, MEAS, VIEW)]
 
 
-def _days_and_publishers(clean: DataFrame, *aggs) -> DataFrame:
+def _days_and_publishers(clean: DataFrame) -> DataFrame:
     """Grouped by (day, publisher, placement), then by (day, publisher): the
     groups of each level are the distinct values the next one counts, NULL
     included, so no distinct count expands the rows."""
     level = clean.groupBy(DAY, PUB, PLC).agg(F.sum(TOT).alias(TOT), F.sum(MEAS).alias(MEAS),
-                                             F.sum(VIEW).alias(VIEW), *aggs)
-    counts = THRESHOLDS if aggs else ()
-    return level.groupBy(DAY, PUB).agg(F.count(F.lit(1)).alias("pub_placements"), *_sums(*counts))
+                                             F.sum(VIEW).alias(VIEW), *_volume_aggs())
+    return level.groupBy(DAY, PUB).agg(F.count(F.lit(1)).alias("pub_placements"), *_sums(*THRESHOLDS))
 
 
 def _in_key_order(df: DataFrame, ordered: bool, *keys: str) -> DataFrame:
@@ -74,7 +74,7 @@ def _in_key_order(df: DataFrame, ordered: bool, *keys: str) -> DataFrame:
 
 def daily_summary(clean: DataFrame, on_zero: str = "ieee", ordered: bool = False) -> DataFrame:
     """Per day: publishers, publisher-placements, volumes, rates, threshold counts."""
-    g = _days_and_publishers(clean, *_volume_aggs()).groupBy(DAY).agg(
+    g = _days_and_publishers(clean).groupBy(DAY).agg(
         F.count(F.lit(1)).alias("publishers"), *_sums("pub_placements", *THRESHOLDS))
     g = _in_key_order(_rates(g, on_zero), ordered, DAY)
     return g.select(DAY, "publishers", "pub_placements", TOT, MEAS, VIEW,
@@ -155,8 +155,8 @@ def placement_series(clean: DataFrame, publisher_id: str, placement_id: str,
 
 def placement_totals(clean: DataFrame, ordered: bool = False) -> DataFrame:
     """Per publisher-placement: distinct days and volume sums."""
-    days = clean.groupBy(PUB, PLC, DAY).agg(*_sums())
-    g = days.groupBy(PUB, PLC).agg(F.count(F.lit(1)).alias("days"), *_sums())
+    # two dates are a number of days apart, so a day is a bit
+    g = with_distinct_numbers(clean, [PUB, PLC], F.unix_date(DAY), "days", (TOT, MEAS, VIEW))
     return _in_key_order(g, ordered, PUB, PLC).select(PUB, PLC, "days", MEAS, TOT, VIEW)
 
 
@@ -167,7 +167,8 @@ def publishers_per_placement(totals: DataFrame, ordered: bool = False) -> DataFr
 
 def daily_rates(clean: DataFrame, on_zero: str = "ieee", ordered: bool = False) -> DataFrame:
     """Short daily recap: volumes, viewed and measured rates, publishers."""
-    g = _days_and_publishers(clean).groupBy(DAY).agg(F.count(F.lit(1)).alias("publishers"), *_sums())
+    by_publisher = clean.groupBy(DAY, PUB).agg(*_sums())
+    g = by_publisher.groupBy(DAY).agg(F.count(F.lit(1)).alias("publishers"), *_sums())
     return _in_key_order(g, ordered, DAY).select(DAY, TOT, MEAS, ratio(VIEW, MEAS, on_zero).alias("viewed_rate"),
                     ratio(MEAS, TOT, on_zero).alias("measured_rate"), "publishers")
 
