@@ -36,13 +36,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewlens.llm.common import hash_sample, importable, written
+from viewlens.llm.common import free_name, hash_sample, importable, written
 
 # Labelled documents that the regression is fitted on, at most.
 SAMPLE = 4000
 # What a classifier's probability weighs in the site counts against a label's 1.
 SOFT_WEIGHT = 0.25
-# The site can move a document's log odds by no more than this.
+# The site can move a document's log odds by no more than this, however sure its posterior is.
 SITE_LIMIT = 2.0
 # A document is rejected if its probability of being good is below this.
 REJECT_BELOW = 0.5
@@ -183,15 +183,19 @@ def best_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "qua
             .groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("good")))
 
 
-def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str):
-    """The document classifier, every document's evidence (written) and the posteriors of all paths."""
+def evidence_and_sites(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str,
+                       carried: list[Column], odds: str) -> tuple[DataFrame, DataFrame]:
+    """The columns ``carried`` of all documents with their evidence ``odds`` (written), and the posteriors of all paths.
+
+    The classifier sees each text once; what is needed later is written with its evidence.
+    """
     importable(docs.sparkSession)
     labels = written(labels, "labels")
     model = fit(docs, labels, id_col, text_col)
-    scored = written(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"),
-        evidence(model, F.col(text_col)).alias("doc_log_odds")), "evidence")
-    return model, scored, site_posteriors(scored, labels if model else labels.limit(0))
+    scored = written(docs.select(*carried, evidence(model, F.col(text_col)).alias(odds)), "evidence")
+    rows = scored.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{host_col}`").alias("host"),
+                         F.col(f"`{path_col}`").alias("path"), F.col(f"`{odds}`").alias("doc_log_odds"))
+    return scored, site_posteriors(rows, labels if model else labels.limit(0))
 
 
 def _score(doc_log_odds: str, path_rate: str, global_rate: str) -> Column:
@@ -204,7 +208,10 @@ def _score(doc_log_odds: str, path_rate: str, global_rate: str) -> Column:
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            host_col: str = "source", path_col: str = "lang") -> DataFrame:
     """``doc_id``, site, evidence, site rates, probability ``score`` of being good, and ``kept``."""
-    _, scored, sites = trained(docs, labels, id_col, text_col, host_col, path_col)
+    carried = [F.col(f"`{c}`") for c in dict.fromkeys((id_col, host_col, path_col))]
+    scored, sites = evidence_and_sites(docs, labels, id_col, text_col, host_col, path_col, carried, "__odds")
+    scored = scored.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{host_col}`").alias("host"),
+                           F.col(f"`{path_col}`").alias("path"), F.col("__odds").alias("doc_log_odds"))
     sites = sites.withColumnsRenamed({"host": "h", "path": "p"})
     score = _score("doc_log_odds", "path_rate", "global_rate")
     return scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))).select(
@@ -215,12 +222,11 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    host_col: str = "source", path_col: str = "lang") -> DataFrame:
     """``docs`` without the rejected ones, same columns."""
-    model, _, sites = trained(docs, labels, id_col, text_col, host_col, path_col)
-    own = [F.col("d." + f"`{c}`") for c in docs.columns]
-    sites = sites.select(F.col("host").alias("__site_host"), F.col("path").alias("__site_path"),
-                         "path_rate", "global_rate")
-    odds = docs.withColumn("__doc_log_odds", evidence(model, F.col(text_col))).alias("d")
-    same = (F.col(f"d.`{host_col}`").eqNullSafe(F.col("__site_host"))
-            & F.col(f"d.`{path_col}`").eqNullSafe(F.col("__site_path")))
-    score = _score("d.__doc_log_odds", "s.path_rate", "s.global_rate")
-    return odds.join(sites.alias("s"), same).where(score >= REJECT_BELOW).select(*own)
+    own, odds = [F.col(f"`{c}`") for c in docs.columns], free_name(docs, "doc_log_odds")
+    scored, sites = evidence_and_sites(docs, labels, id_col, text_col, host_col, path_col, own, odds)
+    names = {c: free_name(scored, f"site_{c}") for c in ("host", "path", "path_rate", "global_rate")}
+    sites = sites.select(*[F.col(c).alias(n) for c, n in names.items()])
+    same = (F.col(f"`{host_col}`").eqNullSafe(F.col(names["host"]))
+            & F.col(f"`{path_col}`").eqNullSafe(F.col(names["path"])))
+    score = _score(odds, names["path_rate"], names["global_rate"])
+    return scored.join(sites, same).where(score >= REJECT_BELOW).select(*own)
