@@ -44,7 +44,7 @@ from viewlens.llm.csr import Csr
 from viewlens.llm.sentencepiece_codec import MARK, Codec
 
 # Bytes of text that are aligned side by side: the matrices and groups of a block take about fifty times that.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_group_links")
 
 
@@ -261,6 +261,8 @@ def aligned_blocks(rows: DataFrame, a: str, b: str) -> DataFrame:
                 "links": pa.array([at.astype("<i4").tobytes()], pa.binary()),
                 "n_of_chunk": pa.array([found.n_links.astype("<i4").tobytes()], pa.binary())}, schema=schema(t))
             block += 1
+            del cut, found, shas, codes, mine, pairs, at, times, counts, numbers
+            pa.default_memory_pool().release_unused()  # a worker keeps no block's memory beyond it
 
     def schema(t: pa.Table) -> pa.Schema:
         long, longs, data = pa.int64(), pa.list_(pa.int64()), pa.binary()
