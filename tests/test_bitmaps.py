@@ -23,3 +23,15 @@ def test_distinct_numbers_equal_sets(spark):
     assert {k: n for k, n, _ in got} == {k: len(seen) for k, (seen, _) in want.items()}
     assert all(abs(x - sum(want[k][1])) < 1e-6 for k, _, x in got)
     assert with_distinct_numbers(df.limit(0), ["k"], F.col("n"), "distinct", ["x"]).count() == 0
+
+
+def test_placement_totals_hold_groups_and_not_rows(spark):
+    """No aggregate sorts whole rows: bitmaps are columns that a hash aggregate changes in place."""
+    from conftest import SF_SMALL
+    from viewlens.plans.registry import all_queries
+    p = all_queries()["placement_totals"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in p and "SortAggregate" not in p and "Sort [" not in p, p
+    # at most a row per group and range leaves a task: days, one after the other, repeated and missing
+    days = [None, None, *range(8000, 8512), *range(8000, 8512), -1, -512, -513]
+    df = spark.createDataFrame([("a", d, 1.0) for d in days], "k string, n int, x double").coalesce(1)
+    assert rows(with_distinct_numbers(df, ["k"], F.col("n"), "distinct", ["x"])) == [("a", 516, float(len(days)))]

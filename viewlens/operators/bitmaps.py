@@ -1,11 +1,14 @@
 """Exact distinct counts by mergeable bitmaps: a distinct value is a bit, and partial results are OR-ed.
 
-For values that are numbers of a small range already, such as days.  A bitmap of 4 KB
-holds 32,768 neighbouring numbers, so a group needs one for each such range that it
-meets, and rows are reduced to bitmaps before the only large shuffle.  Values that
-would have to be numbered first (publishers, placements) are counted by nested
-grouping instead: numbering them costs a pass and a join of its own, and measured
-slower (README, "Performance").
+For values that are numbers of a small range already, such as days.  A bitmap is a few
+64-bit columns for neighbouring numbers, so a group needs one for each such range that
+it meets, and rows are reduced to bitmaps before the only large shuffle.  Columns of
+fixed width are OR-ed in place in a hash aggregate, whose memory grows with the groups
+and ranges of a task; Spark's own bitmaps are 4 KB of binary each, for which it sorts
+whole rows on both sides of the shuffle (figures in the README).  Values that would have
+to be numbered first (publishers, placements) are counted by nested grouping instead:
+numbering them costs a pass and a join of its own, and measured slower (README,
+"Performance").
 """
 
 from __future__ import annotations
@@ -15,14 +18,19 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# 64-bit columns of a bitmap (a power of two): days of about 17 months.
+WORDS = 8
+
 
 def with_distinct_numbers(df: DataFrame, keys: list[str], number: Column, name: str, sums: Iterable[str]) -> DataFrame:
     """Per group of ``keys``: the distinct values of an integer column as ``name``, NULL counting as one, and sums."""
     sums = list(sums)
-    parts = (df.withColumn("_no", number)
-             .groupBy(*keys, F.bitmap_bucket_number("_no").alias("_range"))
-             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_no")).alias("_bits"), F.count("_no").alias("_numbers"),
-                  F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(c) for c in sums]))
-    missing = F.max((F.col("_rows") > F.col("_numbers")).cast("bigint"))
-    return parts.groupBy(*keys).agg((F.sum(F.bitmap_count("_bits")) + missing).alias(name),
-                                    *[F.sum(c).alias(c) for c in sums])
+    no, words = F.col("_no"), [f"_bits{i}" for i in range(WORDS)]
+    bit, word = F.expr("shiftleft(1L, CAST(_no & 63 AS INT))"), F.shiftright(no, 6).bitwiseAND(F.lit(WORDS - 1))
+    parts = (df.withColumn("_no", number.cast("bigint"))
+             .groupBy(*keys, F.shiftright(no, (64 * WORDS).bit_length() - 1).alias("_range"))
+             .agg(*[F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(w)
+                    for i, w in enumerate(words)], *[F.sum(c).alias(c) for c in sums]))
+    # the missing numbers of a group are a range of their own
+    found = F.when(F.col("_range").isNull(), 1).otherwise(sum((F.bit_count(w) for w in words), F.lit(0)))
+    return parts.groupBy(*keys).agg(F.sum(found).alias(name), *[F.sum(c).alias(c) for c in sums])
