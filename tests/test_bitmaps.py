@@ -35,3 +35,13 @@ def test_placement_totals_hold_groups_and_not_rows(spark):
     days = [None, None, *range(8000, 8512), *range(8000, 8512), -1, -512, -513]
     df = spark.createDataFrame([("a", d, 1.0) for d in days], "k string, n int, x double").coalesce(1)
     assert rows(with_distinct_numbers(df, ["k"], F.col("n"), "distinct", ["x"])) == [("a", 516, float(len(days)))]
+
+
+def test_key_order_sorts_groups_only(spark):
+    from conftest import SF_SMALL
+    from viewlens.plans import placements as P
+    from viewlens.sources.fixtures import placement_raw
+    totals = P.placement_totals(P.placement_clean(placement_raw(spark, SF_SMALL)), ordered=True)
+    p = totals.select("publisher_id", "placement_id", "days")._jdf.queryExecution().executedPlan().toString()
+    # the one sort is that of the result by its keys
+    assert "SortAggregate" not in p and p.count("Sort [") == 1, p
