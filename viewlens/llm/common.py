@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,11 +74,19 @@ def worker_tables(make, *args):
     """
     key = (make, *args)
     if key not in _TABLES:
-        _TABLES.clear()
+        drop_tables()
         _TABLES[key] = make(*args)
     return _TABLES[key]
 
 
+def drop_tables() -> None:
+    """Gives back what this Python worker keeps of the last operator; for operators that need no tables."""
+    if _TABLES:
+        _TABLES.clear()
+        gc.collect()  # a memo and its tables refer to each other
+        pa.default_memory_pool().release_unused()
+
+
 def hash_sample(df: DataFrame, key: str, size: int, total: int | None = None) -> DataFrame:
     """At most ``size`` rows, those with the least hashes of ``key`` among about four times as many.
 

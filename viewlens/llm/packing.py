@@ -41,6 +41,8 @@ END_ID = 0
 # Pieces per packing group, and how many of its sequences a group hands on.
 GROUP_ROWS = 50_000
 LOOSE = 16
+# Bytes of text that are cut into words together; a longer text is a group of its own.
+TEXT_BYTES = 4 << 20
 # Sequence numbers are (group << 32) + number in the group; groups of the second round start here.
 SECOND_ROUND = 1 << 30
 
@@ -102,7 +104,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens(tokenizer)
-        for t in groups(batches):
+        for t in groups(batches, size_of_group=TEXT_BYTES):
             out = []
             for doc, found in zip(t.column("doc_id").to_pylist(), encoder.encode_all(whole(t.column("text")))):
                 ids = bytes(found) + end
@@ -112,6 +114,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                                 *([np.frombuffer(part, np.int32)] if with_ids else [])))
             kinds = [t.schema.field("doc_id").type, pa.int32(), *[pa.int64()] * 3, pa.list_(pa.int32())]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+            del t, out, found, ids, part
+            pa.default_memory_pool().release_unused()  # a worker keeps no group's memory beyond it
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = (f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, "

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewlens.llm.common import free_name, hash_sample, importable, written
+from viewlens.llm.common import drop_tables, free_name, hash_sample, importable, written
 
 # Labelled documents that the regression is fitted on, at most.
 SAMPLE = 4000
@@ -110,6 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_tables()
         for b in batches:
             yield pd.DataFrame({"x": [statistics(t) for t in b["text"]], "good": b["good"]})
 
@@ -127,6 +128,7 @@ def evidence(model: Regression | None, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def log_odds(texts: pd.Series) -> pd.Series:
+        drop_tables()
         if texts.empty:
             return pd.Series([], dtype=float)
         return pd.Series(model.log_odds(np.array([statistics(t) for t in texts])))
