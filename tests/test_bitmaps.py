@@ -45,3 +45,36 @@ def test_key_order_sorts_groups_only(spark):
     p = totals.select("publisher_id", "placement_id", "days")._jdf.queryExecution().executedPlan().toString()
     # the one sort is that of the result by its keys
     assert "SortAggregate" not in p and p.count("Sort [") == 1, p
+
+
+def test_key_order_gathers_groups_before_the_hash_aggregate(spark):
+    """A read split with rows of many groups fills no hash map: the rows are brought together by group first."""
+    from conftest import SF_SMALL
+    from viewlens.plans import placements as P
+    from viewlens.sources.fixtures import placement_raw
+    totals = P.placement_totals(P.placement_clean(placement_raw(spark, SF_SMALL)), ordered=True)
+    p = totals.select("publisher_id", "placement_id", "days")._jdf.queryExecution().executedPlan().toString()
+    lowest = p[p.rindex("HashAggregate"):]
+    # 200 partitions: more would hold rows in memory while the shuffle is written
+    assert "REBALANCE_PARTITIONS_BY_COL" in lowest and ", 200), REBALANCE" in lowest, p
+
+
+def test_hot_group_is_split_and_counted_once(spark):
+    days = [i % 700 for i in range(60_000)]
+    data = [("hot" if i % 3 else f"k{i % 50}", d, 1.0) for i, d in enumerate(days)]
+    df = spark.createDataFrame(data, "k string, n int, x double").repartition(8)
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        out = with_distinct_numbers(df, ["k"], F.col("n"), "distinct", ["x"])
+        got = {k: (n, x) for k, n, x in rows(out)}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    want = {}
+    for k, d, _ in data:
+        want.setdefault(k, []).append(d)
+    assert got == {k: (len(set(v)), float(len(v))) for k, v in want.items()}
+    assert "AQEShuffleRead skewed" in plan or "AQEShuffleRead coalesced and skewed" in plan, plan
